@@ -27,9 +27,44 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.html import extract_pages
+
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.licenses import scan_licenses
+
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.language import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.decontamination import decontaminate
+
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_html": op2_html,
+    "op3_simhash": op3_simhash,
+    "op5_licenses": op5_licenses,
+    "op8_language": op8_language,
     "op9_tokens": op9_tokens,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}

@@ -194,7 +194,7 @@ class WordEncoder:
 
     MOST = 600_000
     SAFE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\sa-zà-öø-ÿ0-9]+")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
     def __init__(self, tokenizer_json: str):
         import json

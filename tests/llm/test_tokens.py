@@ -56,6 +56,8 @@ def test_table_matches_whole_text_encoding(spark, path):
     words = ["the", "don't", "Éa", "x.", "--", "42", "l'été", "'tis", "a's."]
     rng = random.Random(1)
     rows += [(100 + i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 400)))) for i in range(40)]
+    safe = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+    rows += [(200 + i, "".join(rng.choice(safe) for _ in range(rng.randint(1, 200)))) for i in range(300)]
     df = spark.createDataFrame([(a, b, "clash", 1) for a, b in rows], SCHEMA).repartition(5)
     got = [tuple(r) for r in T.token_table(df, path).orderBy("start").collect()]
     assert got == brute(rows, path)

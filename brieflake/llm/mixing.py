@@ -6,7 +6,8 @@ target stops at `most` times its source's words, the excess goes to the others b
 Fit of one source: whole copies first, then one more copy of some documents. Those are chosen by their exact
 lengths: each length gets its even part of the rest, what then remains goes to the longest lengths that fit, down
 to a budget of `window` words, and a bounded-knapsack dynamic program over the left-over lengths fills that budget
-as exactly as the lengths allow. Which documents of a length are taken follows a seeded hash.
+as exactly as the lengths allow. If a gap is left, up to `window` words of taken copies are given back, shortest
+first, and the program runs over all that is free then. Which documents of a length are taken follows a seeded hash.
 
 Only counts by (source, length) and by (source, length, hash bucket) are gathered: a source may hold any share of
 the rows. A source has as many distinct lengths as its documents have, at most the longest document's length.
@@ -84,6 +85,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WIND
     return taken + knapsack(lengths, spare, left)
 
 
+def copies_by_length(lengths: np.ndarray, counts: np.ndarray, target: int, most: int = MOST, window: int = WINDOW) -> np.ndarray:
+    """Copies of the documents of each length in all, at most `most` each; their words come nearest below target."""
+    total = int((lengths * counts).sum())
+    whole = min(target // total, most) if total else 0
+    have = counts * whole
+    if whole < most and total:
+        have = have + fit(lengths, counts, target - whole * total, window)
+    gap = min(target, most * total) - int((have * lengths).sum())
+    if gap > 0:
+        back, free = np.zeros(len(lengths), np.int64), window
+        for i in np.argsort(lengths, kind="stable"):
+            if lengths[i] > 0:
+                back[i] = min(int(have[i]), free // int(lengths[i]))
+                free -= int(back[i] * lengths[i])
+        have = have - back
+        have = have + knapsack(lengths, most * counts - have, gap + int((back * lengths).sum()))
+    return have
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """sizes: one row per source (source, source_size). Adds target. Water level by distributed passes.
 
@@ -115,14 +135,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST, window: int = WINDOW, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document.
+    """doc_id, source, text_hash, size, source_size, target, taken of every document.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last in the order. Repeated rows: each
     counts; equal rows share the hash, the order among them is by doc_id and then arbitrary between identical rows.
     Empty table: no rows. Other columns of docs are ignored.
     """
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     base = materialize(base.withColumn("h", hashed).withColumn("bucket", F.shiftrightunsigned("h", 64 - int(np.log2(buckets))).cast("int")), "mix-sizes")
     lengths = materialize(base.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
     goal = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
@@ -131,10 +151,8 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
         pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
         size, n = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         total, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-        copies = min(int(target // total), most) if total else 0
-        rest = int(target - copies * total) if copies < most else 0
-        more = fit(size, n, rest, window) if rest > 0 and total else np.zeros(len(n), np.int64)
-        return pdf.assign(copies=copies, more=more)[["source", "size", "source_size", "target", "copies", "more"]]
+        have = copies_by_length(size, n, min(int(target), most * total), most, window)
+        return pdf.assign(copies=have // n, more=have % n)[["source", "size", "source_size", "target", "copies", "more"]]
 
     joined = lengths.join(F.broadcast(goal) if goal.count() <= 10_000 else goal, lengths["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     quota = joined.groupBy("source").applyInPandas(plan, "source string, size long, source_size long, target double, copies int, more long")
@@ -150,4 +168,20 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     rows = base.join(rule, base["source"].eqNullSafe(rule["q_source"]) & (base["size"] == rule["q_size"]) & (base["bucket"] == rule["q_bucket"]))
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
     extra = (rank + F.col("before") <= F.col("more")).cast("int")
-    return rows.withColumn("extra", extra).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("extra"))).alias("taken"))
+    return rows.withColumn("extra", extra).select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.col("extra"))).alias("taken"))
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all their columns, as often as the mix takes each (not at all, once or more).
+
+    Documents without words take no part. Equal rows (doc_id, source, text) are numbered on both sides, so that
+    each gets its own number of copies.
+    """
+    plan = mix(docs, **options).filter("taken > 0").select("doc_id", "source", "text_hash", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    same = Window.partitionBy("p_id", "p_source", "p_hash")
+    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("text_hash").alias("p_hash"), "copies")
+    plan = plan.withColumn("p_no", F.row_number().over(same.orderBy(F.desc("copies"))))
+    numbered = docs.withColumn("__h", F.xxhash64("text"))
+    numbered = numbered.withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", "source", "__h").orderBy("__h")))
+    match = numbered["doc_id"].eqNullSafe(plan["p_id"]) & numbered["source"].eqNullSafe(plan["p_source"]) & (numbered["__h"] == plan["p_hash"]) & (numbered["__no"] == plan["p_no"])
+    return numbered.join(plan, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)

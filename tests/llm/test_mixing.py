@@ -42,6 +42,15 @@ def test_fit_of_a_large_budget_is_near():
     assert (got <= counts).all() and (got * lengths).sum() == budget
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), min_size=1, max_size=5), st.integers(0, 300))
+def test_small_sources_are_fitted_best(hist, target):
+    lengths, counts = np.array(list(hist)), np.array(list(hist.values()))
+    got = M.copies_by_length(lengths, counts, target)
+    best = max(t for c in itertools.product(*[range(2 * n + 1) for n in counts]) if (t := int(np.dot(c, lengths))) <= target)
+    assert (got <= 2 * counts).all() and int((got * lengths).sum()) == best
+
+
 def test_mix(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), ["a", "b", "B", None, "é"][min(4, int(rng.integers(0, 9)) // 2)], "x", 1, 0.5) for i in range(900)]

@@ -111,3 +111,9 @@ def identify(docs: DataFrame, model: dict[str, bytes] | None = None, min_margin:
     model = fit(docs) if model is None else model
     found = docs.select("doc_id", in_hold_out(F.col("doc_id")).alias("held_out"), classify(F.col("text"), model, min_margin).alias("r"))
     return found.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), F.col("r.score").alias("score"), F.col("r.rejected").alias("rejected"))
+
+
+def keep_identified(docs: DataFrame, model: dict[str, bytes] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs, all their columns, whose text isn't rejected."""
+    model = fit(docs) if model is None else model
+    return docs.filter(~classify(F.col("text"), model, min_margin)["rejected"])

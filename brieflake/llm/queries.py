@@ -45,6 +45,24 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.pii import digest, find
+
+    return digest(find(read_table(spark, sf_dir, "documents")))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.chat import format_chats
+
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brieflake.llm.language import identify
 
@@ -61,7 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_html": op2_html,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_licenses": op5_licenses,
+    "op6_ann": op6_ann,
+    "op7_chat": op7_chat,
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
     "op10_decontaminate": op10_decontaminate,

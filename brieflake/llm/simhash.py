@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brieflake.llm.common import materialize
@@ -60,14 +60,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document."""
+    """(doc_id, text_hash, fp) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [fingerprint(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(got, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -119,6 +119,15 @@ def links(fps: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _named(docs: DataFrame, group_most: int) -> DataFrame:
+    """doc_id, text_hash, fp, component_id."""
+    fps = materialize(with_fingerprints(docs), "simhash")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
+    found = connected_components(links(classes.filter("node is not null"), group_most), "simhash-components")
+    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(named.hint("merge"), "fp").select("doc_id", "text_hash", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) of every document.
 
@@ -126,8 +135,17 @@ def near_duplicates(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     doc_id of its fingerprint's class (null if there is none). Repeated rows: returned as often as they come.
     Empty table: no rows. Other columns are ignored.
     """
-    fps = materialize(with_fingerprints(docs), "simhash")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
-    found = connected_components(links(classes.filter("node is not null"), group_most), "simhash-components")
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _named(docs, group_most).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
+    """The rows of docs, all their columns, that stay when each group of near-duplicates keeps one: the document
+    with the least doc_id, then the least text hash. Documents whose doc_id is null and whose fingerprint no other
+    document has stay, one a fingerprint."""
+    loose = F.when(F.col("component_id").isNull(), F.col("fp"))
+    kept = _named(docs, group_most).groupBy("component_id", loose.alias("loose")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    stay = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["k_id"]) & (hashed["__h"] == kept["k_hash"]), "left_semi")
+    first = Window.partitionBy("doc_id", "__h").orderBy("__h")
+    return stay.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select(*docs.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brieflake.functions import text as X
+from brieflake.operators.retrieval import small
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -40,7 +41,7 @@ def matched_votes(pred_votes: DataFrame, truth_votes: DataFrame, names: DataFram
     """Votes that both sides have; names (justice, short) maps predicted names to those of the truth."""
     p = pred_votes
     if names is not None:
-        p = p.join(F.broadcast(names), "justice").drop("justice").withColumnRenamed("short", "justice")
+        p = p.join(small(names), "justice").drop("justice").withColumnRenamed("short", "justice")
     t = truth_votes.select("docket", "justice", F.col("vote").alias("true_vote"))
     return p.join(t, ["docket", "justice"]).withColumn("vote_correct", F.col("vote") == F.col("true_vote"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brieflake.functions import stats as S
 from brieflake.operators.evaluation import ratio
+from brieflake.operators.retrieval import small
 
 KEY = ["docket", "llm_model", "replicate"]
 
@@ -152,7 +153,7 @@ def run_plan(terms: DataFrame, cases: DataFrame, conditions: DataFrame, models:
     """Terms x their cases x conditions x models x replicates; all but cases are short configuration lists."""
     reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
     grid = conditions.select("condition").crossJoin(models.select("llm_model")).select("*", reps)
-    return cases.join(F.broadcast(terms.select("term").distinct()), "term").select("term", "docket").crossJoin(F.broadcast(grid))
+    return cases.join(small(terms.select("term").distinct()), "term").select("term", "docket").crossJoin(small(grid))
 
 
 def full_report(results: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ SQL_LISTS = (
 FROM benchmark i JOIN embeddings q ON q.vec_id = i.item_id CROSS JOIN embeddings v JOIN documents d ON d.doc_id = v.vec_id QUALIFY rank <= 10),
 lists AS (SELECT query_id, rank, doc_id, 0 AS list FROM bm UNION ALL SELECT query_id, rank, doc_id, 1 AS list FROM vec),
 once AS (SELECT l.*, row_number() OVER (PARTITION BY query_id, text ORDER BY {o}) AS n FROM lists l JOIN documents d USING (doc_id))
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {o}) AS INT) AS rank, doc_id, list FROM once WHERE n = 1 QUALIFY rank <= 10"""
+SELECT query_id, CAST(place AS INT) AS rank, doc_id, list FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {o}) AS place FROM once WHERE n = 1) WHERE place <= 10"""
 )
 
 

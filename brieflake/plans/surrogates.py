@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from brieflake.sources.readers import table
 
 KEY = ["docket", "llm_model", "replicate"]
+#: The order of a voter's rows.
+SEQ = ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
 
 def cases(s: SparkSession, d: str) -> DataFrame:
@@ -31,7 +33,7 @@ def truth_rows(s: SparkSession, d: str) -> DataFrame:
     said = F.when(F.col("l_returnflag") == "A", "Dissent in part").when(F.col("l_returnflag") == "R", "Majority").when(F.col("l_linestatus") == "F", "equally divided").otherwise("  ")
     return li.join(c, li["l_orderkey"] == c["o_orderkey"]).select(
         "docket", "term", "case_name", party.alias("winning_party"), F.concat(F.lit("J"), F.col("l_linenumber").cast("string")).alias("justice"), said.alias("vote_description"),
-        F.when(F.col("l_quantity") > 45, "Petitioner").otherwise("").alias("actual_vote"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("seq"),
+        F.when(F.col("l_quantity") > 45, "Petitioner").otherwise("").alias("actual_vote"), F.struct(*SEQ).alias("seq"),
     )
 
 
@@ -39,7 +41,7 @@ SQL_TRUTH_ROWS = (
     SQL_CASES
     + """, truth_rows AS (SELECT docket, term, case_name, CASE WHEN winner = 'Petitioner' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Appellant, in part' ELSE 'Petitioner(s)' END ELSE 'The other side' END AS winning_party,
   'J' || l_linenumber AS justice, CASE WHEN l_returnflag = 'A' THEN 'Dissent in part' WHEN l_returnflag = 'R' THEN 'Majority' WHEN l_linestatus = 'F' THEN 'equally divided' ELSE '  ' END AS vote_description,
-  CASE WHEN l_quantity > 45 THEN 'Petitioner' ELSE '' END AS actual_vote, l_partkey * 1000000 + l_suppkey AS seq FROM lineitem JOIN cases ON l_orderkey = o_orderkey)"""
+  CASE WHEN l_quantity > 45 THEN 'Petitioner' ELSE '' END AS actual_vote, (l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS seq FROM lineitem JOIN cases ON l_orderkey = o_orderkey)"""
 )
 
 
@@ -47,11 +49,11 @@ def truth_votes(s: SparkSession, d: str) -> DataFrame:
     """docket (order key as text), justice, vote; the last row wins."""
     li = table(s, d, "lineitem")
     vote = F.when(F.col("l_linestatus") == "F", "Petitioner").otherwise("Respondent")
-    return li.groupBy(F.col("l_orderkey").cast("string").alias("docket"), F.col("l_linenumber").alias("justice")).agg(F.max_by(vote, F.struct("l_partkey", "l_suppkey")).alias("vote"))
+    return li.groupBy(F.col("l_orderkey").cast("string").alias("docket"), F.col("l_linenumber").alias("justice")).agg(F.max_by(vote, F.struct(*SEQ)).alias("vote"))
 
 
 SQL_TRUTH_VOTES = """truth_votes AS (SELECT CAST(l_orderkey AS VARCHAR) AS docket, l_linenumber AS justice,
-  arg_max(CASE WHEN l_linestatus = 'F' THEN 'Petitioner' ELSE 'Respondent' END, l_partkey * 1000000 + l_suppkey) AS vote FROM lineitem GROUP BY 1, 2)"""
+  arg_max(CASE WHEN l_linestatus = 'F' THEN 'Petitioner' ELSE 'Respondent' END, (l_partkey, l_suppkey, l_shipdate, l_extendedprice)) AS vote FROM lineitem GROUP BY 1, 2)"""
 
 
 def pred_votes(s: SparkSession, d: str) -> DataFrame:
@@ -59,13 +61,13 @@ def pred_votes(s: SparkSession, d: str) -> DataFrame:
     li = table(s, d, "lineitem")
     vote = F.when(F.col("l_returnflag") == "A", "Petitioner").when(F.col("l_returnflag") == "R", "Respondent").otherwise("unsure")
     keys = [F.col("l_orderkey").cast("string").alias("docket"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("llm_model"), (1 + F.col("l_partkey") % 2).cast("int").alias("replicate"), F.col("l_linenumber").alias("justice")]
-    last = F.max_by(F.struct(vote.alias("vote"), F.round(1 - F.col("l_discount") * 5, 6).alias("confidence")), F.struct("l_partkey", "l_suppkey"))
+    last = F.max_by(F.struct(vote.alias("vote"), F.round(1 - F.col("l_discount") * 5, 6).alias("confidence")), F.struct(*SEQ))
     return li.groupBy(*keys).agg(last.alias("v")).select("docket", "llm_model", "replicate", "justice", "v.*")
 
 
 SQL_PRED_VOTES = """pred_votes AS (SELECT docket, llm_model, replicate, justice, v.vote AS vote, v.confidence AS confidence FROM (
   SELECT CAST(l_orderkey AS VARCHAR) AS docket, 'm' || (l_suppkey % 3) AS llm_model, CAST(1 + l_partkey % 2 AS INT) AS replicate, l_linenumber AS justice,
-  arg_max({'vote': CASE l_returnflag WHEN 'A' THEN 'Petitioner' WHEN 'R' THEN 'Respondent' ELSE 'unsure' END, 'confidence': round(1 - l_discount * 5, 6)}, l_partkey * 1000000 + l_suppkey) AS v
+  arg_max({'vote': CASE l_returnflag WHEN 'A' THEN 'Petitioner' WHEN 'R' THEN 'Respondent' ELSE 'unsure' END, 'confidence': round(1 - l_discount * 5, 6)}, (l_partkey, l_suppkey, l_shipdate, l_extendedprice)) AS v
   FROM lineitem GROUP BY 1, 2, 3, 4))"""
 
 SQL_TALLY = """tally AS (SELECT docket, llm_model, replicate, CAST(sum(CASE WHEN vote = 'Petitioner' THEN 1 ELSE 0 END) AS BIGINT) AS petitioner_votes,
@@ -86,12 +88,12 @@ def rounds(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     li = table(s, d, "lineitem")
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_partkey", "l_suppkey")
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
     vote = F.when(F.col("l_returnflag") == "A", "Petitioner").otherwise("Respondent")
     return li.select(F.col("l_orderkey").alias("docket"), F.col("l_linenumber").alias("justice"), F.row_number().over(w).alias("round"), vote.alias("vote"), F.round(1 - F.col("l_discount") * 5, 6).alias("confidence"))
 
 
-SQL_ROUNDS = """rounds AS (SELECT l_orderkey AS docket, l_linenumber AS justice, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) AS INT) AS round,
+SQL_ROUNDS = """rounds AS (SELECT l_orderkey AS docket, l_linenumber AS justice, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS INT) AS round,
   CASE WHEN l_returnflag = 'A' THEN 'Petitioner' ELSE 'Respondent' END AS vote, round(1 - l_discount * 5, 6) AS confidence FROM lineitem)"""
 
 

@@ -11,8 +11,8 @@ def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
+        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_CPUS", "8"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")

@@ -10,6 +10,9 @@ from brieflake.plans.catalog import ORACLES, QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.fixture(scope="session")
 def duck(sf):
     c = duckdb.connect()
@@ -36,6 +39,8 @@ def test_against_sql(spark, sf, duck, name):
     want = duck.sql(ORACLES[name])
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
+    kinds = dict(zip(want.columns, map(str, want.types)))
+    assert {c: KINDS.get(t, t) for c, t in got.dtypes} == {c: kinds[c] for c in got.columns}
     a = sorted((tuple(plain(v) for v in r) for r in got.select(*cols).collect()), key=order)
     b = sorted((tuple(plain(v) for v in r) for r in want.select(*[f'"{c}"' for c in cols]).fetchall()), key=order)
     assert len(a) == len(b)

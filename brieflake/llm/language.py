@@ -2,8 +2,10 @@
 
 Each language has a zstandard raw-content dictionary of its normalised training text. A text is cut into pieces of
 PIECE bytes (all of them, so that the dictionary counts along the whole text), each piece is compressed with every
-dictionary, and the language with the smallest sum wins. The text is rejected when the margin between the smallest
-and the next sum is below MIN_MARGIN of the latter.
+dictionary, and the language with the smallest sum wins. A text under SHORT bytes is written twice before: its second
+half is one match in any language, which pays for the block's overhead, so that single matches of the first half
+show in the size. The text is rejected when the margin between the smallest and the next sum is below MIN_MARGIN of
+the latter.
 
 The model is fitted on a bounded sample: at most SAMPLE_DOCS labelled documents a language, at most SAMPLE_BYTES of
 each, DICT_BYTES a dictionary.
@@ -19,8 +21,10 @@ SAMPLE_DOCS = 400
 SAMPLE_BYTES = 3000
 DICT_BYTES = 100_000
 PIECE = 4096
-LEVEL = 3
-MIN_MARGIN = 0.01
+SHORT = 2000
+LEVEL = 9
+MIN_MATCH = 3
+MIN_MARGIN = 0.005
 UNDETERMINED = "und"
 
 #: ASCII letters in lower case, other ASCII characters as spaces, other bytes as they are.
@@ -47,9 +51,12 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     At least one document of a language is used if any of the sampled ones has a letter; a language without is not
     learned. Only sample keys are ranked (narrow rows); texts are then fetched by key.
     """
-    keys = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_hold_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h"))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_hold_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h"))
+    # a share of each language that holds the sample with room to spare, so that no language is ranked whole; one number a language
+    sizes = labelled.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(3.0 * sample_docs) / F.col("count"))).select("lang", "share")
+    near = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(1 << 31)) <= F.col("share") * (1 << 31))
     best = Window.partitionBy("lang").orderBy("h", "doc_id")
-    keys = keys.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= sample_docs).select("doc_id", "lang", "r").dropDuplicates(["doc_id", "lang"])
+    keys = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= sample_docs).select("doc_id", "lang", "r").dropDuplicates(["doc_id", "lang"])
     # at most sample_docs keys a language
     text = F.substring("text", 1, sample_bytes).alias("text")
     rows = docs.filter("text is not null").select("doc_id", "lang", text).join(F.broadcast(keys), ["doc_id", "lang"]).select("lang", "r", "text").collect()
@@ -71,14 +78,16 @@ class Classifier:
         self.coders = []
         for lang in self.langs:
             d = z.ZstdCompressionDict(model[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.coders.append(z.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            params = z.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE, dict_size=len(model[lang]), min_match=MIN_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d.precompute_compress(compression_params=params)
+            self.coders.append(z.ZstdCompressor(dict_data=d, compression_params=params))
 
     def one(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected). score: the margin over the next language, as a share of its size."""
         norm = normalize(text)
         if not self.langs or not has_letter(text, norm):
             return UNDETERMINED, 0.0, True
+        norm = norm + b" " + norm if len(norm) < SHORT else norm
         pieces = [norm[i : i + PIECE] for i in range(0, len(norm), PIECE)]
         sums = [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
         order = sorted(range(len(sums)), key=lambda i: (sums[i], i))

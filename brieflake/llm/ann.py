@@ -181,6 +181,9 @@ def build_index(rows: DataFrame, keep: int, shard: int = SHARD, m: int = M, ef:
         exact = np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()
         return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "vectors": [p["vectors"]], "exact": [exact], "entry": [p["entry"]], "layers": [p["layers"]], "nodes": [p["nodes"]], "ids": [[x.tolist() for x in pdf["ids"]]]})
 
+    # a task a shard, however small their data: building takes time, not space
+    total = int(shards.agg(F.sum("shards")).first()[0] or 1)
+    placed = placed.repartition(min(2 * total, 50_000), "dim", "shard")
     schema = "dim int, shard int, n int, vectors binary, exact binary, entry int, layers array<binary>, nodes array<binary>, ids array<array<long>>"
     return materialize(placed.groupBy("dim", "shard").applyInPandas(build, schema), "ann-index", row_group_bytes=16 << 20)
 

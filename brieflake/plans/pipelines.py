@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brieflake.functions import patterns as P
@@ -75,6 +75,25 @@ def research(chunks: DataFrame, cases: DataFrame, config: Config) -> DataFrame:
     return got.select("docket", F.substring("context", 1, config.research_chars).alias("research"))
 
 
+def profile_synthesis(opinions: DataFrame, cases: DataFrame, predict_term: int, config: Config, ask: Provider | None = None) -> DataFrame:
+    """docket, justice, profile: opinion chunks (justice, term, doc_id, content) of earlier terms, the best for the case's
+    two queries (name, issue), one of each prefix; the provider's profile, or a plain one where it gives none."""
+    old = opinions.filter(FL.before_term(F.col("term"), predict_term))
+    asked = cases.select("docket", F.posexplode(F.array("case_name", D.issue(F.col("case_name")))).alias("query_no", "query"))
+    scored = old.crossJoin(R.small(asked)).withColumn("score", F.round(R.overlap_score(F.col("query"), F.col("content")), 9))
+    hits = R.top(scored, config.justice_hits, [F.desc("score"), F.col("doc_id")], ["docket", "justice", "query_no"])
+    first = Window.partitionBy("docket", "justice", F.substring("content", 1, 200)).orderBy("query_no", "rank", "doc_id")
+    once = hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    best = R.top(once.drop("rank"), config.justice_hits, [F.col("query_no"), F.desc("score"), F.col("doc_id")], ["docket", "justice"])
+    text = R.context_text(best, ["docket", "justice"], F.concat(F.lit("[term "), F.col("term").cast("string"), F.lit("]")), F.col("content"))
+    spark = cases.sparkSession
+    every = cases.select("docket").crossJoin(F.broadcast(justices(spark).select("justice")))
+    grid = every.join(text, ["docket", "justice"], "left").na.fill("No prior opinions found.", ["context"])
+    answer = ask(F.col("justice"), F.substring("context", 1, 6000)) if ask else F.lit(None).cast("string")
+    plain = F.concat(F.lit("Methodology: textual reading.\n"), F.substring("context", 1, 6000))
+    return grid.select("docket", "justice", F.coalesce(answer, plain).alias("profile"))
+
+
 def initial_votes(chunks: DataFrame, cases: DataFrame, config: Config, ask: Provider, prefix: str = "") -> DataFrame:
     """Round 1: every voter of every (case, model, replicate) answers a prompt of context and research."""
     spark = cases.sparkSession

@@ -466,7 +466,48 @@ def set_operations(s, d):
     return both.crossJoin(p.agg(F.count_distinct("llm_model").alias("models"))).crossJoin(t.agg(F.count_distinct("term").alias("terms")))
 
 
+def monitor_summary(s, d):
+    """Contaminated runs per condition: list of dockets, count, total."""
+    r = V.results(s, d).withColumn("bad", F.col("seq") % 7 == 0)
+    got = r.groupBy("condition").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("docket")))), ",").alias("dockets"), F.count_if("bad").alias("contamination_count"), F.count("*").alias("total"))
+    return got
+
+
+def historical_stats(s, d):
+    """Voting statistics from cases before a term: two digits of the docket's term."""
+    v = V.truth_votes(s, d).join(V.cases(s, d).select(F.col("o_orderkey").cast("string").alias("docket"), F.col("docket").alias("name")), "docket")
+    return PR.voting_stats(v.filter(FL.historical(F.col("name"), 98)))
+
+
+def present_segments(s, d):
+    seg = IO.table(s, d, "lineitem").select(F.col("l_linenumber").alias("term"), F.concat(F.col("l_partkey").cast("string"), F.lit(".pdf")).alias("pdf_filename"), "l_orderkey")
+    cat = IO.table(s, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("pdf_filename"), (F.col("p_size") % 10).cast("int").alias("term"), "p_name")
+    have, missing = IO.present_segments(seg, cat)
+    return have.agg(F.count("*").alias("segments")).crossJoin(missing.agg(F.count("*").alias("missing")))
+
+
+def justice_contexts(s, d):
+    n = IO.table(s, d, "nation")
+    have = n.filter("n_regionkey = 1").select(F.col("n_name").alias("justice"), F.concat(F.lit("about "), "n_name").alias("context"))
+    return PR.justice_context(have, n.select(F.col("n_name").alias("justice")), "No prior opinions found.")
+
+
+def author_notes(s, d):
+    from brieflake.functions import prompts as PT
+
+    c = IO.table(s, d, "customer")
+    name = F.when(F.col("c_custkey") % 9 == 0, PT.CHIEF).otherwise("another")
+    side = F.when(F.col("c_acctbal") > 0, "Petitioner").otherwise("Respondent")
+    lead = F.when(F.col("c_nationkey") % 2 == 0, "Petitioner").otherwise("Respondent")
+    return c.select("c_custkey", PT.prefixed(PT.author_note(name, side, lead), "Note: ").alias("note"))
+
+
 QUERIES = {
+    "monitor_summary": (monitor_summary, f"WITH {V.SQL_RESULTS} SELECT condition, array_to_string(list_sort(list(DISTINCT docket) FILTER (seq % 7 = 0)), ',') AS dockets, {CNT.format('seq % 7 = 0')} AS contamination_count, count(*) AS total FROM results GROUP BY 1"),
+    "historical_stats": (historical_stats, f"WITH {V.SQL_CASES}, {V.SQL_TRUTH_VOTES} SELECT justice, count(*) AS total, {CNT.format('vote = ' + chr(39) + 'Petitioner' + chr(39))} AS petitioner, {CNT.format('vote = ' + chr(39) + 'Respondent' + chr(39))} AS respondent FROM truth_votes t JOIN cases c ON t.docket = CAST(c.o_orderkey AS VARCHAR) WHERE CAST(regexp_extract(c.docket, '^([0-9]+)', 1) AS INT) <= 97 GROUP BY 1"),
+    "present_segments": (present_segments, "WITH g AS (SELECT l_linenumber AS term, l_partkey AS k FROM lineitem), c AS (SELECT p_partkey AS k, p_size % 10 AS term FROM part) SELECT (SELECT count(*) FROM g JOIN c USING (k, term)) AS segments, (SELECT count(*) FROM c WHERE (k, term) NOT IN (SELECT k, term FROM g)) AS missing"),
+    "justice_contexts": (justice_contexts, "SELECT n_name AS justice, CASE WHEN n_regionkey = 1 THEN 'about ' || n_name ELSE 'No prior opinions found.' END AS context FROM nation"),
+    "author_notes": (author_notes, "SELECT c_custkey, 'Note: ' || CASE WHEN c_custkey % 9 = 0 AND (c_acctbal > 0) = (c_nationkey % 2 = 0) THEN 'As chief justice in the majority you assign the opinion.' ELSE '' END AS note FROM customer"),
     "gt_normalize": (gt_normalize, SQL_GT),
     "majority_tally": (majority_tally, SQL_PRED + " SELECT docket, llm_model, replicate, petitioner_votes, respondent_votes, predicted_winner, vote_split, round(average_confidence, 6) AS average_confidence FROM pred"),
     "case_accuracy": (case_accuracy, SQL_PRED + f" SELECT llm_model, count(*) AS cases, {CNT.format('case_correct')} AS correct FROM mc GROUP BY 1"),

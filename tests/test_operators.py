@@ -220,6 +220,22 @@ def test_predict_and_experiment(spark):
     assert var.count() == 18 and PR.flips_against(var.filter("variation = 'base'"), var.filter("variation = 'x'")).first().votes == 9
 
 
+def test_profiles_and_prompts(spark):
+    from brieflake.functions import paths, prompts
+
+    cases, _ = small_cases(spark)
+    opinions = spark.createDataFrame([("John Roberts", t, t, f"Able{t % 3} on Baker in term {t}") for t in range(18, 24)], "justice string, term int, doc_id int, content string")
+    got = PL.profile_synthesis(opinions, cases, 21, PL.Config()).collect()
+    assert len(got) == 27
+    chief = [r.profile for r in got if r.justice == "John Roberts"]
+    assert all("term 20" in p and "term 21" not in p for p in chief) and all("No prior opinions" in r.profile for r in got if r.justice != "John Roberts")
+    row = spark.createDataFrame([(("text", ["a", "b"], ["q"], None),)], "p struct<methodology:string,doctrines:array<string>,questions:array<string>,quotes:array<string>>")
+    assert row.select(prompts.profile_text(F.col("p"))).first()[0] == "Methodology: text\nDoctrines: a, b\nQuestions: q"
+    back = row.select(prompts.from_prompt_json(prompts.to_prompt_json(F.col("p")), row.dtypes[0][1], F.col("p")).alias("b"), "p").first()
+    assert back.b.doctrines == back.p.doctrines
+    assert paths.result_path("b", "e", "22-1", "A", "x/y z", 1) == "b/e/22-1_condA_x_y_z_r1" and paths.docket_dir("b", 22, "22-1") == "b/term_22/22-1_pdfs"
+
+
 def test_arms_retries_resume(spark):
     cases = spark.createDataFrame([(f"22-{i}", 2020 + i % 5, f"A{i} v. B", "Petitioner") for i in range(60)], "docket string, term int, case_name string, winner string")
     pool = spark.createDataFrame([(i, f"q{i}", "a") for i in range(8)], "id long, instruction string, output string")

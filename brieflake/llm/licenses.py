@@ -156,3 +156,21 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def oracle_sql(phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> str:
+    """The scan as DuckDB SQL over `documents` (unique doc_id): every block against every template, no filters."""
+    quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
+    said = ", ".join(f"({quoted(words_of(p))}, '{label}')" for p, label in phrases)
+    made = ", ".join(f"({quoted(sorted(words))}, '{label}')" for words, label in template_sets(templates))
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT doc_id, label, list_filter(range(1, len(w) - len(q) + 2), lambda i: w[i:i + len(q) - 1] = q) AS s FROM t, (VALUES {said}) p(q, label)),
+base AS (SELECT doc_id, CAST(sum(len(s)) AS BIGINT) AS n_base, min(list_min(s)) - 1 AS first_word, max(list_max(s)) - 1 AS last_word FROM b GROUP BY 1),
+blocks AS (SELECT doc_id, list_distinct(w[{block_words // 2} * k + 1:{block_words // 2} * k + {block_words}]) AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - {block_words}) / {block_words / 2}) AS BIGINT)) + 1)) AS k FROM t)),
+hits AS (SELECT doc_id, label, len(list_intersect(s, q))::DOUBLE / len(q) AS c FROM blocks, (VALUES {made}) p(q, label) WHERE len(list_intersect(s, q)) >= ceil({threshold} * len(q) - 1e-9)),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b WHERE len(s) > 0 UNION ALL SELECT doc_id, label FROM hits) GROUP BY 1),
+bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b WHERE len(s) > 0 GROUP BY 1),
+sc AS (SELECT doc_id, max(c) AS c FROM hits GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0) END::DOUBLE AS score
+FROM t JOIN base USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN sc USING (doc_id)"""

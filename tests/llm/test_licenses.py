@@ -53,3 +53,15 @@ def test_long_text_and_empty(spark):
     r = L.scan_licenses(spark.createDataFrame([(1, text, "x", 1)], SCHEMA)).first()
     assert (r.n_words, r.n_base, r.first_word, r.base_labels) == (300_002, 1, 300_000, "apache")
     assert L.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_against_its_sql(spark, sf):
+    import duckdb
+
+    from brieflake.llm.queries import ORACLES, QUERIES
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.sql(ORACLES["op5_licenses"])
+    got = QUERIES["op5_licenses"](spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)

@@ -192,7 +192,7 @@ class WordEncoder:
     are encoded whole by the library. Both give the same ids. The cache is emptied when it holds MOST words.
     """
 
-    MOST = 600_000
+    MOST = 200_000
     SAFE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -278,6 +278,19 @@ class WordEncoder:
         return ids, np.diff(bound)
 
 
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of text, at least a row each: bounds what encoding holds at once."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(size[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -319,7 +332,7 @@ def write_token_groups(docs: DataFrame, tokenizer_json: str, end_id: int = END_I
             seq, start, held, ids, names, lens = seq + 1, start + len(every), 0, [], [], []
             return row
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             got, counts = encoder.encode_batch(batch.column("text"))
             keys = batch.column("doc_id").to_pylist()
             # the end id after each document

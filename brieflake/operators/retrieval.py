@@ -33,15 +33,18 @@ def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     Tokens are split at white space, case matters; an idf below zero is replaced by EPSILON times the mean idf of
     the vocabulary; the score sums over the occurrences of query tokens.
     """
-    sized = docs.select("doc_id", tokens(F.col("content")).alias("tokens")).withColumn("len", F.size("tokens"))
-    tf = sized.select("doc_id", "len", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
+    words = docs.select("doc_id", tokens(F.col("content")).alias("tokens"))
+    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_len"))
+    # document frequencies of the whole vocabulary: each task counts its own terms before anything is shuffled
+    df = words.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
     idf = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # the query vocabulary prunes postings before anything is shuffled by document
+    # only the queries' terms are counted within documents
+    wanted = small(asked.select("term").distinct(), 200_000)
+    posted = words.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term")
+    tf = posted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     asked = small(asked.join(idf, "term"), 200_000)
     hit = tf.join(asked, "term").crossJoin(F.broadcast(totals.select("mean_len")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))

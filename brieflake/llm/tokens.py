@@ -189,10 +189,11 @@ class WordEncoder:
     Where the tokenizer's parts show that no id crosses white space (NFC, white space, lower case; a Split on
     letters, digits and the rest, then bytes) and a text keeps to characters whose classes are the same in `re`,
     texts are cut into words by Arrow and each new word goes through the library's own model; all other texts
-    are encoded whole by the library. Both give the same ids. The cache is emptied when it holds MOST words.
+    are encoded whole by the library. Both give the same ids. The caches are emptied when they hold MOST words or MOST_PIECES pieces.
     """
 
-    MOST = 200_000
+    MOST = 500_000
+    MOST_PIECES = 150_000
     SAFE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -261,8 +262,10 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
-        if len(self.words) > self.MOST or len(self.pieces) > self.MOST:
-            self.words, self.pieces = {}, {}
+        if len(self.words) > self.MOST:
+            self.words = {}
+        if len(self.pieces) > self.MOST_PIECES:
+            self.pieces = {}
         words = coded.dictionary.to_pylist()
         known = self.words
         got = [b"" if not w else known[w] if w in known else self.word(w) for w in words]
@@ -278,7 +281,7 @@ class WordEncoder:
         return ids, np.diff(bound)
 
 
-def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes of text, at least a row each: bounds what encoding holds at once."""
     import pyarrow.compute as pc
 

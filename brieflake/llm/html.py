@@ -2,9 +2,10 @@
 
 A page is a sequence of tags and words. Words score by where they stand (nearest block element, boilerplate
 container or not), tags score below zero; the weights are log odds learned from labelled pages, which are those
-with exactly one <article> (at most SAMPLE_PAGES of them, by hash of page_id): what stands in it is content. One
-linear scan finds the contiguous region of the largest sum. Its text is returned without the containers inside it
-that aren't article text.
+with exactly one <article> (at most SAMPLE_PAGES of them, by hash of page_id): what stands in it is content. They
+tell nothing of text on other pages, all of whose features would count as outside: those pages, and pages with nothing
+in their <article>, are scored by the prior weights. One linear scan finds the contiguous region of the largest sum.
+Its text is returned without the containers inside it that aren't article text.
 """
 
 from __future__ import annotations
@@ -135,12 +136,19 @@ def scan(page: str | None) -> Iterator[tuple[str, str, str | None, bool, bool, b
                 at = close.end()
 
 
+def labelled(items: list[tuple[str, str, str | None, bool, bool, bool]], page: str | None) -> bool:
+    """Whether the page, scanned to items, has exactly one <article>, with words of content in it."""
+    one = page and len(re.findall(r"<article[\s>]", page, re.I)) == 1
+    return bool(one) and any(kind == "w" and inside and not boiler and raw.strip() for kind, _, raw, _, inside, boiler in items)
+
+
 def label_counts(page: str | None) -> dict[str, list[int]]:
     """feature -> [content, other] of a labelled page; empty if it isn't one."""
-    if not page or len(re.findall(r"<article[\s>]", page, re.I)) != 1:
+    items = list(scan(page))
+    if not labelled(items, page):
         return {}
     found: dict[str, list[int]] = {}
-    for kind, feature, raw, _, inside, boiler in scan(page):
+    for kind, feature, raw, _, inside, boiler in items:
         n = len(raw.split()) if kind == "w" else 1
         if n:
             found.setdefault(feature, [0, 0])[0 if inside and not boiler else 1] += n
@@ -171,6 +179,7 @@ def weight(model: dict[str, float], feature: str) -> float:
 
 def extract(page: str | None, model: dict[str, float]) -> str:
     items = list(scan(page))
+    model = model if labelled(items, page) else {}  # a label is part of the features: learned weights hold for such pages only
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, feature, raw, _, _, _) in enumerate(items):
         if total <= 0:

@@ -48,3 +48,24 @@ def test_rows(spark):
     got = sorted((r.page_id, r.url or "", r.text, r.n_chars) for r in H.extract_pages(df).collect())
     assert got == [(1, "", "", 0), (2, "u", "", 0), (2, "u", WANT, len(WANT)), (2, "u", WANT, len(WANT))]
     assert H.extract_pages(df.limit(0)).count() == 0
+
+
+def test_labelled_pages_do_not_cost_other_pages_their_text(spark):
+    outside = "<body><p>Top of the site</p><div>Some plain words</div><ul><li>One of these</li></ul><h2>Two words</h2>{}<p>All the rest</p><div>Last plain words</div></body>"
+    label = [(i, "u", outside.format("<article><h1>A title</h1>" + "<p>" + "real words here " * 20 + "</p></article>"), "a") for i in range(90)]
+    said = [f"Paragraph {i} has its own words here" for i in range(6)]
+    comment = '<article class="comment"><p>A reader wrote this</p></article>'
+    other = {
+        100: "<body><main>" + "".join(f"<p>{x}</p>" for x in said) + "</main></body>",
+        101: "<body><div class=post>" + "".join(f"<div>{x}</div>" for x in said) + "</div></body>",
+        102: "<body><ul>" + "".join(f"<li>{x}</li>" for x in said) + "</ul></body>",
+        103: "<body><nav><a href=x>Home</a></nav><div class=post><div><h2>Short heading</h2></div>" + "".join(f"<p>{x}</p>" for x in said) + "<div><h3>The end</h3></div></div></body>",
+        104: f"<body><main>{''.join(f'<p>{x}</p>' for x in said)}</main>{comment}</body>",
+        105: "<body><article></article><main>" + "".join(f"<p>{x}</p>" for x in said) + "</main></body>",
+        106: "<body><article><p>" + said[0] + "</p></article><article><p>" + said[1] + "</p></article></body>",
+    }
+    df = spark.createDataFrame(label + [(i, "u", h, "a") for i, h in other.items()], "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in H.extract_pages(df).collect()}
+    assert all(got[i] == "A title\n" + ("real words here " * 20).strip() for i in range(90))
+    want = dict.fromkeys((100, 101, 102, 104, 105), "\n".join(said)) | {103: "\n".join(["Short heading", *said, "The end"]), 106: "\n".join(said[:2])}
+    assert {i: got[i] for i in other} == want

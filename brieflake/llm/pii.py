@@ -4,14 +4,14 @@ Base: email, ip, card and phone by regular expression, leftmost and non-overlapp
 each kind. The expressions below find the same matches as the plain ones, in time linear in the text: a search
 can only start where a run of its characters starts, or where the match before it ended.
 
-Bootstrap: the identifier-like tokens of the corpus (TOKEN: white-space delimited, with a digit or an @) stand in
-contexts: the word before them, lower-cased, digits as 0. Base spans are the seeds. Contexts and token values form
-a bipartite graph. In each of ROUNDS rounds a context scores, per kind, the mean of its values' scores (with a prior
+Bootstrap: the identifier-like values of the corpus (RUN: adjacent white-space delimited tokens with a digit or an @,
+up to a base span and without the punctuation behind the last one) stand in contexts: the word before them,
+lower-cased, digits as 0. Base spans are the seeds. Contexts and values form a bipartite graph. In each of ROUNDS rounds a context scores, per kind, the mean of its values' scores (with a prior
 of PRIOR values that score 0; at least SUPPORT different seed values of the kind must stand in it), and a value that is no seed
 scores the best of its contexts. Values of a context that scores at least CONFIDENT in the end, and that overlap no
 base span, are found, as spans of the context's best kind.
 
-Everything gathered is keyed by context or value and pre-aggregated; only identifier-like tokens are ever shuffled.
+Everything gathered is keyed by context or value and pre-aggregated; only identifier-like values are ever shuffled.
 """
 
 from __future__ import annotations
@@ -32,7 +32,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: A longest run of digits with single spaces or hyphens between, if it has 14 to 19 digits.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+TOKEN = r"(?=[^\s0-9@]*+[0-9@])\S++"
+RUN = rf"(?<!\S){TOKEN}(?:\s++{TOKEN})*+"
+#: Punctuation and symbols behind a value.
+TRAILING = r"(?<![\p{P}\p{S}&&[^@]])[\p{P}\p{S}&&[^@]]++$"
 
 
 def _before(values: Column) -> Column:
@@ -108,7 +111,7 @@ def _joined(spans: Column) -> Column:
 
 
 def _context(left: Column) -> Column:
-    """The last word before a token, in lower case, digits as 0; `^` if another token or the text's start is before it."""
+    """The last word before a run of tokens, in lower case, digits as 0; `^` if the text's start is before it."""
     word = F.regexp_extract(F.right(left, F.lit(64)), r"(\S+)\s*$", 1)
     return F.when(word == "", "^").otherwise(F.regexp_replace(F.lower(word), "[0-9]", "0"))
 
@@ -120,17 +123,21 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, prior: f
     Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.transform(_spans(text, TOKEN, text.rlike("[0-9@]")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), _context(x["left"]).alias("context")))
+    tokens = F.transform(_spans(text, RUN, text.rlike("[0-9@]")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(x["left"]).alias("context")))
     table = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), tokens.alias("tokens")), "pii")
 
-    # each token: the base kinds that start in it, or -1 if it overlaps none, or nothing if it continues one
+    # each run: the base kinds that start in its first token, or -1 and the tokens up to a base span, if there are any
     token = table.filter(F.size("tokens") > 0).select("doc_id", "h", "base", F.explode("tokens").alias("t"))
     over = F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    starts = F.filter(over, lambda b: b["start"] >= F.col("t.start"))
+    first = F.col("t.start") + F.length(F.regexp_extract("t.value", r"^\S++", 0))
+    starts = F.filter(over, lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < first))
+    ahead = F.substring(F.col("t.value"), F.lit(1), (F.get(over, F.lit(0))["start"] - F.col("t.start")).cast("int"))
+    ahead = F.when(F.size(over) == 0, F.col("t.value")).otherwise(F.regexp_replace(ahead, r"(?<!\S)\S*+$", ""))
+    loose = F.regexp_replace(F.regexp_replace(ahead, r"(?<!\s)\s++$", ""), TRAILING, "")
     # a seed's value is its whole span, of which the token may be the first part
-    seen = F.transform(starts, lambda b: F.struct(b["k"].alias("kind"), F.lower(b["value"]).alias("value")))
-    seen = F.when(F.size(over) == 0, F.array(F.struct(F.lit(-1).alias("kind"), F.col("t.value").alias("value")))).otherwise(seen)
-    token = token.withColumn("v", F.explode(seen)).select("doc_id", "h", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("v.value").alias("value"), F.col("t.context").alias("context"), F.col("v.kind").alias("kind"))
+    seen = F.transform(starts, lambda b: F.struct(b["k"].alias("kind"), b["value"].alias("value")))
+    seen = F.when(loose != "", F.array(F.struct(F.lit(-1).alias("kind"), loose.alias("value")))).otherwise(seen)
+    token = token.withColumn("v", F.explode(seen)).select("doc_id", "h", F.col("t.start").alias("start"), (F.col("t.start") + F.length("v.value")).alias("end"), F.lower("v.value").alias("value"), F.col("t.context").alias("context"), F.col("v.kind").alias("kind"))
     token = materialize(token.filter("context <> '^'"), "pii-tokens")
 
     edges = materialize(token.groupBy("context", "value", "kind").agg(F.count("*").alias("n")), "pii-edges")

@@ -79,3 +79,19 @@ def test_repeated_null_and_empty(spark):
     got = P.digest(P.find(spark.createDataFrame(rows, SCHEMA))).collect()
     assert len(got) == 3 and all(r.spans == "email:0:5" for r in got)
     assert P.digest(P.find(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_bootstrap_finds_values_of_several_tokens(spark):
+    texts = [f"Call phone: +1 (555) 555-01{i:02d} now or mail: u{i}@x.org today" for i in range(20)]
+    texts += ["Call phone: 555 123\n4567. Then", "phone: 555-0199x, mail: user(at)x9!) today", "phone: 77 88; a@b.org 99 later", "phone: 77 x=a@b.org", "phone: 1" + "." * 50_000 + "1 " * 50_000, "phone: @... so", "555 123 alone"]
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        check(got[i], t)
+    assert all(got[i].n_found == 0 for i in range(20))
+    assert got[20].spans == "phone:12:24"
+    assert got[21].spans == "phone:7:16,email:24:34"
+    assert got[22].spans == "phone:7:12,email:14:21"
+    assert got[23].spans == "phone:7:9,email:12:19"
+    assert got[24].spans == f"phone:7:{len(texts[24]) - 1}"
+    assert got[25].spans == "phone:7:8"
+    assert got[26].spans == ""

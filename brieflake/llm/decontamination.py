@@ -6,12 +6,15 @@ edits. Cut into k + 1 pieces, at least one piece is exact in every match; an aut
 the exact hits in one pass over the text. Around each hit the item is verified by Myers' bit-parallel distance
 after one more pigeonhole count (of the item's 8-byte chunks, k edits destroy at most k).
 
-Items of fewer than MIN_WORDS words identify nothing and never match. Items are taken in blocks of at most
+Items of fewer than MIN_WORDS words match exactly only (k = 0), and at word bounds. In scripts without spaces two
+characters count as a word, and a bound is anywhere. Items without a letter or digit never match. Items are taken in blocks of at most
 BLOCK_BYTES, so that what is sent to the executors is bounded; documents are scanned once per block.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +28,8 @@ MIN_WORDS = 5
 BLOCK_BYTES = 4 << 20
 CHUNK = 8
 
+#: Scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _TABLE = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -32,6 +37,25 @@ def normalize(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split())
 
 
+def words_of(norm: bytes) -> int:
+    """Words of a normal form; two characters of a script without spaces count as one."""
+    text = norm.decode("utf-8", "ignore")
+    unspaced = len(_UNSPACED.findall(text))
+    return max(len(norm.split()), (unspaced + 1) // 2 + len(_UNSPACED.sub(" ", text).split()))
+
+
+def _joins(char: str) -> bool:
+    """Whether a word goes on at this character (empty: the text's end)."""
+    return bool(char) and unicodedata.category(char)[0] in "LMN" and not _UNSPACED.match(char)
+
+
+def at_bounds(norm: bytes, start: int, end: int) -> bool:
+    """Whether norm[start:end] neither starts nor ends inside a word."""
+    left, right = norm[max(0, start - 4) : start].decode("utf-8", "ignore")[-1:], norm[end : end + 4].decode("utf-8", "ignore")[:1]
+    first, last = norm[start : start + 4].decode("utf-8", "ignore")[:1], norm[max(start, end - 4) : end].decode("utf-8", "ignore")[-1:]
+    return not (_joins(left) and _joins(first)) and not (_joins(last) and _joins(right))
+
+
 def myers(pattern_masks: dict[int, int], m: int, text: bytes, k: int) -> tuple[int, int]:
     """Least edit distance of the pattern to any substring of text, and where that ends; (k + 1, -1) if above k."""
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -59,18 +83,19 @@ def myers(pattern_masks: dict[int, int], m: int, text: bytes, k: int) -> tuple[i
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE, min_words: int = MIN_WORDS):
         import ahocorasick
 
         self.items, pieces = [], {}
         for item_id, norm in items:
-            m, k = len(norm), int(rate * len(norm))
+            short = words_of(norm) < min_words
+            m, k = len(norm), 0 if short else int(rate * len(norm))
             masks: dict[int, int] = {}
             for i, c in enumerate(norm):
                 masks[c] = masks.get(c, 0) | 1 << i
             chunks = [norm[i : i + CHUNK] for i in range(0, m - CHUNK + 1, CHUNK)]
             x = len(self.items)
-            self.items.append((item_id, norm, k, masks, chunks))
+            self.items.append((item_id, norm, k, masks, chunks, short))
             cuts = [m * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(norm[a:b].decode("latin-1"), []).append((x, a, b - a))
@@ -94,7 +119,11 @@ class Matcher:
                 if x in found and not found[x]:
                     continue
                 start = end + 1 - size - offset
-                item_id, item, k, masks, chunks = items[x]
+                item_id, item, k, masks, chunks, short = items[x]
+                if short:  # its one piece is the item
+                    if at_bounds(norm, start, end + 1):
+                        found[x] = 0
+                    continue
                 near = (x, start // (k + 1))
                 if near in tried:
                     continue
@@ -111,7 +140,7 @@ class Matcher:
         return sorted(items[x][0] for x in found), min(found.values(), default=None)
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> Iterator[list[tuple[int, bytes]]]:
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """Normalised items in blocks; a block comes to the driver, never the whole table. Null ids and texts are left out."""
     rows = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     part = Window.partitionBy("salt").orderBy("item_id", "text").rowsBetween(Window.unboundedPreceding, -1)
@@ -123,7 +152,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_words:
     for key in rows.select("salt", "block").distinct().collect() if salts > 1 else [None]:
         here = rows if key is None else rows.filter((F.col("salt") == key.salt) & (F.col("block") == key.block))
         got = sorted((r.item_id, normalize(r.text)) for r in here.select("item_id", "text").collect())
-        got = [(i, t) for i, t in got if t.count(b" ") + 1 >= min_words]
+        got = [(i, t) for i, t in got if any(map(str.isalnum, t.decode("utf-8", "ignore")))]
         if got:
             yield got
 

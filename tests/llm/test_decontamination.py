@@ -82,3 +82,15 @@ def test_empty_tables(spark):
     assert clean.count() == len(docs) and flags.filter("contaminated").count() == 0
     flags, clean = D.decontaminate(d.limit(0), b)
     assert clean.count() == 0 == flags.count()
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 60])
+def test_short_items_match_exactly_at_word_bounds(spark, block_bytes):
+    items = [(1, "Tea, for two"), (2, "naïve café"), (3, "日本国憲法の前文を読む人々"), (4, "憲法"), (5, "?! «»"), (6, "gpt"), (7, "สวัสดี")]
+    docs = ["we had tea for TWO there", "tea for two", "steal tea for twos", "teas for two", "tea for two's", "tea or two", "un naïve-café.", "un naïve cafés", "昔、日本国憲法の前文を読む人々がいた", "昔、日本国憲法の前丈を読む人々がいた", "使用gpt模型 gpts", "chatgpt gpts", "คำว่าสวัสดีครับ", "?! «»", ""]
+    want = [[1], [1], [], [], [1], [], [2], [], [3, 4], [3, 4], [6], [], [7], [], []]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(docs)], DOCS)
+    flags, clean = D.decontaminate(d, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    got = {r.doc_id: sorted(r.item_ids) for r in flags.collect()}
+    assert [got[i] for i in range(len(docs))] == want
+    assert sorted(r.doc_id for r in clean.collect()) == [i for i, w in enumerate(want) if not w]

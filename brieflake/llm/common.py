@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -35,3 +39,54 @@ def materialize(df: DataFrame, name: str, row_group_bytes: int | None = None, co
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+# ---------------------------------------------------------------- in Python workers
+
+#: Bytes of text that one step of a worker holds as Python objects.
+SLICE_BYTES = 4 << 20
+
+_held: dict[Any, Any] = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def worker_model(key: Any, build: Callable[[], Any]) -> Any:
+    """The model of that key, built once a worker process and kept for its later tasks; a worker holds one model at
+    most: another key's is dropped first."""
+    if key not in _held:
+        _held.clear()
+        give_back()
+        _held[key] = build()
+    return _held[key]
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes of `column`, at least a row each."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(size[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """All batches by slices(); freed memory goes back when they end."""
+    for batch in batches:
+        yield from slices(batch, column, most)
+    give_back()

@@ -17,6 +17,7 @@ The state is 32 bits, renormalised by 16, frequencies sum to 2**16. Lane j holds
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brieflake.llm.common import materialize, shuffle_partitions
+from brieflake.llm.common import materialize, shuffle_partitions, sliced, worker_model
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
@@ -80,10 +81,11 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, cum: np.ndarray, lanes: int
     marks: list[tuple[int, int, np.ndarray]] = []
     written = 0
     sixteen = np.uint64(16)
+    fs, cs = freq[ids], cum[ids]
     for t in range(steps - 1, -1, -1):
-        row = ids[t * lanes : (t + 1) * lanes]
-        k = len(row)
-        f, c, y = freq[row], cum[row], x[:k]
+        f, c = fs[t * lanes : (t + 1) * lanes], cs[t * lanes : (t + 1) * lanes]
+        k = len(f)
+        y = x[:k]
         full = y >= (f << sixteen)
         if full.any():
             words = y[full]
@@ -183,19 +185,69 @@ def decode_group(payload: bytes) -> np.ndarray:
 # ---------------------------------------------------------------- tokenizing
 
 
+class Known:
+    """Ids of strings that came before, as Arrow arrays: some 30 bytes a string, no Python objects.
+
+    It holds at most `most` strings; when it is full, those that came up again since the last time stay, the youngest half of the room at most.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.names = pa.array([], pa.large_string())
+        self.ids = pa.array([], pa.large_binary())
+        self.again = np.zeros(0, bool)
+
+    def lookup(self, names: pa.Array, make) -> pa.Array:
+        """The ids of distinct strings; make gives those of an array of new ones."""
+        import pyarrow.compute as pc
+
+        at = pc.index_in(names, value_set=self.names)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        self.again[place[~missing]] = True
+        if not missing.any():
+            return self.ids.take(pa.array(place))
+        new = names.filter(pa.array(missing))
+        made = make(new)
+        place[missing] = len(self.ids) + np.arange(len(new))
+        ids = pa.concat_arrays([self.ids, made])
+        got = ids.take(pa.array(place))
+        self.names, self.ids = pa.concat_arrays([self.names, new]), ids
+        self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
+        if len(self.names) > self.most:
+            stay = np.flatnonzero(self.again)[-(self.most // 2) :]
+            self.names, self.ids = self.names.take(pa.array(stay)), self.ids.take(pa.array(stay))
+            self.again = np.zeros(len(stay), bool)
+        return got
+
+
+def _bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a large_binary array, one after the other as u16, and where each starts and the last ends."""
+    if not len(array):
+        return np.zeros(0, "<u2"), np.zeros(1, np.int64)
+    at = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] // 2
+    return np.frombuffer(array.buffers()[2] or b"", "<u2"), at
+
+
+def _binary(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    """flat[at[i]:at[i + 1]] as the values of a large_binary array."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((2 * at).astype(np.int64).tobytes()), pa.py_buffer(flat.astype("<u2").tobytes())])
+
+
 class WordEncoder:
     """Ids of texts, through the tokenizers library, with a cache by word.
 
     Where the tokenizer's parts show that no id crosses white space (NFC, white space, lower case; a Split on
     letters, digits and the rest, then bytes) and a text keeps to characters whose classes are the same in `re`,
-    texts are cut into words by Arrow and each new word goes through the library's own model; all other texts
-    are encoded whole by the library. Both give the same ids. The caches are emptied when they hold MOST words or MOST_PIECES pieces.
+    texts are cut into words by Arrow, words that aren't known are cut into pieces together, and the library's own
+    model gives the ids of each piece that isn't known; all other texts are encoded whole by the library. Both give
+    the same ids.
     """
 
-    MOST = 500_000
-    MOST_PIECES = 150_000
-    SAFE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+    MOST_WORDS = 500_000
+    MOST_PIECES = 250_000
+    SAFE = r"^[\t\n\r -~À-ÖØ-öø-ÿ]*\z"
+    PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
     def __init__(self, tokenizer_json: str):
         import json
@@ -212,48 +264,71 @@ class WordEncoder:
             and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
             and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or re.search(r"\s", x["content"]) for x in spec.get("added_tokens", []))
         )
-        self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in spec.get("added_tokens", [])) or r"(?!)")
+        self.words, self.pieces = Known(self.MOST_WORDS), Known(self.MOST_PIECES)
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.bytes_as = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def piece(self, piece: str) -> bytes:
-        mapped = "".join(map(self.bytes_as.__getitem__, piece.encode()))
-        got = np.array([x.id for x in self.whole.model.tokenize(mapped)], "<u2").tobytes()
-        self.pieces[piece] = got
-        return got
+    def _encode_pieces(self, pieces: pa.Array) -> pa.Array:
+        # the model takes bytes as characters; a line feed maps to one that no other byte maps to
+        names = "\n".join(pieces.to_pylist()).encode().decode("latin-1").translate(self.bytes_as).split(self.bytes_as[10])
+        tokenize = self.whole.model.tokenize
+        got = [[x.id for x in tokenize(name)] for name in names]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((i for ids in got for i in ids), "<u2", int(size.sum()))
+        return _binary(flat, np.concatenate([[0], np.cumsum(size)]))
+
+    def _encode_words(self, words: pa.Array) -> pa.Array:
+        """Words are joined by line feeds, which no word holds, and cut into pieces at once."""
+        import pyarrow.compute as pc
 
-    def word(self, word: str) -> bytes:
-        if any(a in word for a in self.added):
-            got = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        joined = "\n".join(words.to_pylist())
+        special = self.added.search(joined) is not None
+        found = pa.array(self.PIECES.findall(joined.lower()), pa.large_string())
+        breaks = np.flatnonzero(pc.equal(found, "\n").to_numpy(zero_copy_only=False))
+        coded = found.dictionary_encode()
+        distinct = coded.dictionary
+        cut = pc.index(distinct, "\n").as_py()
+        if cut >= 0:  # not a piece: no ids
+            known = self.pieces.lookup(distinct.filter(pc.not_equal(distinct, "\n")), self._encode_pieces)
+            table = pa.concat_arrays([known.slice(0, cut), pa.array([b""], pa.large_binary()), known.slice(cut)])
         else:
-            known = self.pieces
-            got = b"".join([known.get(p) or self.piece(p) for p in self.PIECES.findall(word.lower())])
-        self.words[word] = got
+            table = self.pieces.lookup(distinct, self._encode_pieces)
+        flat, at = _bytes_of(table.take(coded.indices))
+        got = _binary(flat, at[np.concatenate([[0], breaks, [len(found)]])])
+        if special:
+            ids = got.to_pylist()
+            for i, word in enumerate(words.to_pylist()):
+                if self.added.search(word):
+                    ids[i] = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+            got = pa.array(ids, pa.large_binary())
         return got
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and each text's count."""
         import pyarrow.compute as pc
 
-        plain = texts.to_pylist()
-        fast = [self.by_word and t is not None and self.SAFE.fullmatch(t) is not None for t in plain]
-        lens = np.zeros(len(plain), np.int64)
-        if all(fast) and plain:
-            return self._fast(pc.cast(texts, pa.large_string()))
-        parts = []
-        for i, (t, ok) in enumerate(zip(plain, fast)):
-            if t is None:
-                got = np.zeros(0, "<u2")
-            elif ok:
-                got = self._fast(pa.array([t], pa.large_string()))[0]
+        lens = np.zeros(len(texts), np.int64)
+        fast = pc.fill_null(pc.match_substring_regex(texts, self.SAFE), False).to_numpy(zero_copy_only=False) if self.by_word else np.zeros(len(texts), bool)
+        parts: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):  # runs of texts of one way
+            end = at + 1
+            while end < len(texts) and fast[end] == fast[at]:
+                end += 1
+            run = texts.slice(at, end - at)
+            if fast[at]:
+                got, lens[at:end] = self._fast(pc.cast(run, pa.large_string()))
+                parts.append(got)
             else:
-                got = np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u2")
-            parts.append(got)
-            lens[i] = len(got)
+                for i, text in enumerate(run.to_pylist(), at):
+                    if text is not None:
+                        got = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
+                        parts.append(got)
+                        lens[i] = len(got)
+            at = end
         return (np.concatenate(parts) if parts else np.zeros(0, "<u2")), lens
 
     def _fast(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -262,36 +337,15 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(lists.values.slice(offsets[0], offsets[-1] - offsets[0]))
-        if len(self.words) > self.MOST:
-            self.words = {}
-        if len(self.pieces) > self.MOST_PIECES:
-            self.pieces = {}
-        words = coded.dictionary.to_pylist()
-        known = self.words
-        got = [b"" if not w else known[w] if w in known else self.word(w) for w in words]
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
-        flat = np.frombuffer(b"".join(got), "<u2")
-        first = np.cumsum(size) - size
-        index = coded.indices.to_numpy()
-        n = size[index]
-        end = np.cumsum(n)
-        total = int(end[-1]) if len(end) else 0
-        ids = flat[np.repeat(first[index] - (end - n), n) + np.arange(total)] if total else np.zeros(0, "<u2")
-        bound = np.concatenate([[0], end])[offsets - offsets[0]]
-        return ids, np.diff(bound)
-
-
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about `most` bytes of text, at least a row each: bounds what encoding holds at once."""
-    import pyarrow.compute as pc
-
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = int(size[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
+        words = coded.dictionary
+        blank = pc.index(words, "").as_py()  # at either end of a text
+        if blank >= 0:
+            known = self.words.lookup(words.filter(pc.not_equal(words, "")), self._encode_words)
+            table = pa.concat_arrays([known.slice(0, blank), pa.array([b""], pa.large_binary()), known.slice(blank)])
+        else:
+            table = self.words.lookup(words, self._encode_words)
+        flat, at = _bytes_of(table.take(coded.indices))
+        return flat[at[0] : at[-1]], np.diff(at[offsets - offsets[0]])
 
 
 # ---------------------------------------------------------------- Spark
@@ -306,12 +360,14 @@ def write_token_groups(docs: DataFrame, tokenizer_json: str, end_id: int = END_I
     spark = docs.sparkSession
     n = partitions or shuffle_partitions(spark)
     shared = spark.sparkContext.broadcast(tokenizer_json)  # one vocabulary file
+    digest = hashlib.sha256(tokenizer_json.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = WordEncoder(shared.value)
+        # kept by the worker process: parsed once, its cache warm for the next task
+        encoder = worker_model(("tokenizer", digest), lambda: WordEncoder(shared.value))
         seq = start = held = 0
         ids: list[np.ndarray] = []
         names: list = []
@@ -335,7 +391,7 @@ def write_token_groups(docs: DataFrame, tokenizer_json: str, end_id: int = END_I
             seq, start, held, ids, names, lens = seq + 1, start + len(every), 0, [], [], []
             return row
 
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in sliced(batches, most=8 << 20):
             got, counts = encoder.encode_batch(batch.column("text"))
             keys = batch.column("doc_id").to_pylist()
             # the end id after each document

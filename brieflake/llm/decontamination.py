@@ -13,15 +13,16 @@ BLOCK_BYTES, so that what is sent to the executors is bounded; documents are sca
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brieflake.llm.common import materialize
+from brieflake.llm.common import materialize, worker_model
 
 RATE = 0.1
 MIN_WORDS = 5
@@ -157,45 +158,47 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
             yield got
 
 
-def matches(text: Column, items: list[tuple[int, bytes]], rate: float = RATE) -> Column:
+def matches(text: Column, items: list[tuple[int, bytes]], rate: float = RATE, min_words: int = MIN_WORDS) -> Column:
     """A column of struct<items array<long>, distance int>."""
-    cache: list[Matcher] = []
+    key = ("benchmark", rate, min_words, hashlib.sha256(repr(items).encode()).hexdigest())
 
-    @F.pandas_udf("items array<long>, distance int")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        if not cache:
-            cache.append(Matcher(items, rate))
-        got = [cache[0].match(t) for t in texts]
-        return pd.DataFrame({"items": [g[0] for g in got], "distance": pd.array([g[1] for g in got], dtype="Int32")})
+    @F.arrow_udf("struct<items array<long>, distance int>")
+    def run(texts: pa.Array) -> pa.Array:
+        match = worker_model(key, lambda: Matcher(items, rate, min_words)).match
+        held, distances = zip(*[match(t.as_py()) for t in texts]) if len(texts) else ((), ())  # a text at a time
+        return pa.StructArray.from_arrays([pa.array(held, pa.list_(pa.int64())), pa.array(distances, pa.int32())], names=["items", "distance"])
 
     return run(text)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text hash, items, distance of every document that holds an item.
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, text_hash, items, distance of every document that holds an item, a row for each block with one.
 
-    Null or empty text holds none; an empty benchmark finds none. Repeated rows are returned as often as they come.
+    Documents are scanned once a block; what a block finds is written once and not touched again.
     """
-    found = None
+    found = docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.array().cast("array<long>").alias("items"), F.lit(0).alias("distance"))
     for items in item_blocks(benchmark, block_bytes):
-        got = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), matches(F.col("text"), items, rate).alias("r")).filter(F.size("r.items") > 0)
-        got = got.select("doc_id", "text_hash", "r.items", "r.distance")
-        found = got if found is None else materialize(found.unionByName(got), "contamination")
-    if found is None:
-        found = docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.array().cast("array<long>").alias("items"), F.lit(0).alias("distance"))
+        got = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), matches(F.col("text"), items, rate, min_words).alias("r")).filter(F.size("r.items") > 0)
+        found = found.unionByName(materialize(got.select("doc_id", "text_hash", "r.items", "r.distance"), "contamination"))
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_bytes: int = BLOCK_BYTES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(flags, clean): flags has doc_id, contaminated, n_items, item_ids, distance of every document in order of no
-    guarantee; clean has the rows of docs, all their columns, that hold no item."""
+    guarantee; clean has the rows of docs, all their columns, whatever they are called, that hold no item.
+
+    Items of fewer than min_words words match exactly and at word bounds; with min_words 0 every item may have its
+    share of edits. Null and empty texts hold none; null item ids and texts and items without a letter or digit are
+    left out; an empty benchmark finds none. Very long texts are searched whole. Repeated rows are judged alike and
+    returned as often as they come; of items with equal texts each id is listed. Null doc_ids are kept. Empty table:
+    no rows.
+    """
     blocks = list(item_blocks(benchmark, block_bytes)) if _small(benchmark, block_bytes) else None
     if blocks is not None and len(blocks) <= 1:
-        r = matches(F.col("text"), blocks[0] if blocks else [], rate)
+        r = matches(F.col("text"), blocks[0] if blocks else [], rate, min_words)
         flags = docs.select(F.col("doc_id").cast("long"), r.alias("r")).select("doc_id", (F.size("r.items") > 0).alias("contaminated"), F.size("r.items").cast("long").alias("n_items"), F.col("r.items").alias("item_ids"), F.col("r.distance").alias("distance"))
-        clean = docs.filter(F.size(matches(F.col("text"), blocks[0] if blocks else [], rate)["items"]) == 0)
-        return flags, clean
-    found = contamination(docs, benchmark, rate, block_bytes)
+        return flags, docs.filter(F.size(r["items"]) == 0)
+    found = contamination(docs, benchmark, rate, block_bytes, min_words)
     held = found.groupBy(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"), F.min("distance").alias("distance"))
     held = materialize(held, "contaminated")
     same = docs["doc_id"].eqNullSafe(held["f_id"]) & (F.xxhash64(docs["text"]) == held["f_hash"])

@@ -7,17 +7,22 @@ half is one match in any language, which pays for the block's overhead, so that
 show in the size. The text is rejected when the margin between the smallest and the next sum is below MIN_MARGIN of
 the latter.
 
-The model is fitted on a bounded sample: at most SAMPLE_DOCS labelled documents a language, at most SAMPLE_BYTES of
-each, DICT_BYTES a dictionary.
+The model is fitted on a bounded sample: at most SAMPLE_DOCS labelled documents a language and SAMPLE_TOTAL in all (one
+a language at least), at most SAMPLE_BYTES of each, DICT_BYTES a dictionary.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brieflake.llm.common import worker_model
+
 SAMPLE_DOCS = 400
+SAMPLE_TOTAL = 40_000
 SAMPLE_BYTES = 3000
 DICT_BYTES = 100_000
 PIECE = 4096
@@ -45,23 +50,26 @@ def in_hold_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, dict_bytes: int = DICT_BYTES, sample_total: int = SAMPLE_TOTAL) -> dict[str, bytes]:
     """The raw dictionary content of each language of the labelled documents that aren't held out.
 
-    At least one document of a language is used if any of the sampled ones has a letter; a language without is not
-    learned. Only sample keys are ranked (narrow rows); texts are then fetched by key.
+    The driver gets at most max(sample_total, number of languages) texts of sample_bytes: with very many languages each
+    has a smaller sample, none is left out. Only sample keys are ranked (narrow rows); texts are then fetched by key,
+    one for each key, however often a row is repeated. A language whose sampled texts have no letter is not learned.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_hold_out(F.col("doc_id"))).select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h"))
-    # a share of each language that holds the sample with room to spare, so that no language is ranked whole; one number a language
-    sizes = labelled.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), F.lit(3.0 * sample_docs) / F.col("count"))).select("lang", "share")
-    near = labelled.join(F.broadcast(sizes), "lang").filter(F.pmod("h", F.lit(1 << 31)) <= F.col("share") * (1 << 31))
-    best = Window.partitionBy("lang").orderBy("h", "doc_id")
-    keys = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= sample_docs).select("doc_id", "lang", "r").dropDuplicates(["doc_id", "lang"])
-    # at most sample_docs keys a language
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~in_hold_out(F.col("doc_id")))
+    labelled = labelled.select("doc_id", "lang", F.xxhash64(F.lit(5), "doc_id").alias("h"))
+    sizes = labelled.groupBy("lang").count()
+    langs = sizes.count()
+    most = max(1, min(sample_docs, sample_total // max(1, langs)))
+    # a share of each language that holds the sample with room to spare, so that no language is ranked whole
+    sizes = sizes.withColumn("share", F.least(F.lit(1.0), F.lit(3.0 * most) / F.col("count"))).select("lang", "share")
+    near = labelled.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 31)) <= F.col("share") * (1 << 31)).select("lang", "h", "doc_id").distinct()
+    keys = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= most)
     text = F.substring("text", 1, sample_bytes).alias("text")
-    rows = docs.filter("text is not null").select("doc_id", "lang", text).join(F.broadcast(keys), ["doc_id", "lang"]).select("lang", "r", "text").collect()
+    rows = docs.filter("text is not null").select("doc_id", "lang", text).join(keys, ["doc_id", "lang"]).groupBy("lang", "r").agg(F.min("text").alias("text")).collect()
     found: dict[str, dict[bytes, None]] = {}
-    for row in sorted(rows, key=lambda x: (x["lang"], x["r"], x["text"])):
+    for row in sorted(rows, key=lambda x: (x["lang"], x["r"])):
         norm = normalize(row["text"])
         if has_letter(row["text"], norm):
             found.setdefault(row["lang"], {})[norm] = None
@@ -100,13 +108,13 @@ class Classifier:
 
 def classify(text: Column, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> Column:
     """A column of struct<lang string, score double, rejected boolean>."""
-    cache: list[Classifier] = []
+    key = ("language", min_margin, hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest())
 
-    @F.pandas_udf("lang string, score double, rejected boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        if not cache:
-            cache.append(Classifier(model, min_margin))
-        return pd.DataFrame([cache[0].one(t) for t in texts], columns=["lang", "score", "rejected"])
+    @F.arrow_udf("struct<lang string, score double, rejected boolean>")
+    def run(texts: pa.Array) -> pa.Array:
+        one = worker_model(key, lambda: Classifier(model, min_margin)).one
+        langs, scores, rejected = zip(*[one(t.as_py()) for t in texts]) if len(texts) else ((), (), ())  # a text at a time
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang", "score", "rejected"])
 
     return run(text)
 
@@ -114,7 +122,7 @@ def classify(text: Column, model: dict[str, bytes], min_margin: float = MIN_MARG
 def identify(docs: DataFrame, model: dict[str, bytes] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document; only its text counts.
 
-    Null or empty text, or one without a letter: `und`, score 0, rejected. Ties: the language that comes first by
+    Null or empty text, or one without a letter: `und`, score 0, rejected. Very long texts: all their pieces count. Ties: the language that comes first by
     name, score 0, rejected. No labelled rows: all `und`. Repeated rows: as often as they come. Empty table: no rows.
     """
     model = fit(docs) if model is None else model
@@ -123,6 +131,10 @@ def identify(docs: DataFrame, model: dict[str, bytes] | None = None, min_margin:
 
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows of docs, all their columns, whose text isn't rejected."""
+    """The rows of docs, all their columns, whatever they are called, whose text isn't rejected.
+
+    Null and empty texts, texts without a letter, and exact ties of two languages are rejected. Repeated rows stay as
+    often as they come. Empty table, or no labelled rows: no rows.
+    """
     model = fit(docs) if model is None else model
     return docs.filter(~classify(F.col("text"), model, min_margin)["rejected"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brieflake.llm.common import materialize
+from brieflake.llm.common import materialize, sliced, worker_model
 from brieflake.llm.graph import connected_components
 
 #: (lowest bit, bits) of each segment of the ring.
@@ -63,7 +63,8 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_model("simhash", lambda: None)  # drops the model of an earlier stage
+        for batch in sliced(batches):
             got = [fingerprint(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(got, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
@@ -140,12 +141,17 @@ def near_duplicates(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
 
 def representatives(docs: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
     """The rows of docs, all their columns, that stay when each group of near-duplicates keeps one: the document
-    with the least doc_id, then the least text hash. Documents whose doc_id is null and whose fingerprint no other
-    document has stay, one a fingerprint."""
+    with the least doc_id, then the least text hash.
+
+    Null and empty texts are near-duplicates of each other. Documents whose doc_id is null and whose fingerprint no
+    other document has stay, one a fingerprint. Repeated rows: one stays. Other columns may have any name. Empty
+    table: no rows.
+    """
     loose = F.when(F.col("component_id").isNull(), F.col("fp"))
     kept = _named(docs, group_most).groupBy("component_id", loose.alias("loose")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
     kept = kept.select(F.col("k.doc_id").alias("k_id"), F.col("k.text_hash").alias("k_hash"))
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
-    stay = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["k_id"]) & (hashed["__h"] == kept["k_hash"]), "left_semi")
-    first = Window.partitionBy("doc_id", "__h").orderBy("__h")
-    return stay.withColumn("__r", F.row_number().over(first)).filter("__r = 1").select(*docs.columns)
+    # the row is one column while names of our own stand beside it
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("h"))
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_hash")), "left_semi")
+    once = stay.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h")))
+    return once.filter("r = 1").select("row.*")

@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brieflake.llm.common import sliced
+
 BLOCK_WORDS = 64
 THRESHOLD = 0.8
+SHORT = 8
 
 # Phrases of the contract, and well-known sentences of public licenses.
 PHRASES = (
@@ -39,11 +42,21 @@ TEMPLATES = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this work is licensed under a creative commons attribution international license", "cc-by"),
     ("this work is licensed under a creative commons attribution sharealike international license", "cc-by-sa"),
+    ("this work is licensed under a creative commons attribution noncommercial international license", "cc-by-nc"),
+    ("this work is licensed under a creative commons attribution noderivatives international license", "cc-by-nd"),
     ("licensed under cc by nc", "cc-by-nc"),
     ("licensed under cc by sa", "cc-by-sa"),
+    ("licensed under cc by nd", "cc-by-nd"),
+    ("licensed under cc by nc sa", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd", "cc-by-nc-nd"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 )
+# Words that tell the licenses of a family from each other.
+FAMILIES = (
+    (("gpl", "lgpl", "agpl"), ("affero", "lesser")),
+    (("cc-by", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by-nc-nd", "cc-by-nc-sa"), ("nc", "nd", "noncommercial", "noderivatives", "sa", "sharealike")),
+)
 
 #: Word bytes as they are in lower case (digits, letters, everything beyond ASCII), all others as spaces.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -57,12 +70,23 @@ def template_sets(templates=TEMPLATES) -> list[tuple[frozenset[bytes], str]]:
     return [(frozenset(words_of(t)), label) for t, label in templates]
 
 
+def needed(words: frozenset[bytes], threshold: float) -> int:
+    """How many of a template's words a block must hold."""
+    return len(words) if len(words) < SHORT else math.ceil(threshold * len(words) - 1e-9)
+
+
+def telling(words: frozenset[bytes], label: str) -> tuple[frozenset[bytes], frozenset[bytes]]:
+    """Of the words that tell the license's family apart: those of the template, which a block must hold, and the others, which it mustn't."""
+    apart = frozenset(w.encode() for labels, told in FAMILIES if label in labels for w in told)
+    return apart & words, apart - words
+
+
 def word_frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """Occurrences of the templates' words over all documents: one row per word and task, then one per word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text"):
                 total.update(filter(vocabulary.__contains__, words_of(text.as_py())))
         yield pa.RecordBatch.from_pydict({"w": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
@@ -79,10 +103,10 @@ class Scanner:
         self.templates = []
         for t, (words, label) in enumerate(template_sets(templates)):
             order = sorted(words, key=lambda w: (frequency.get(w, 0), w))
-            need = math.ceil(threshold * len(order) - 1e-9)
+            need = needed(words, threshold)
             for i, w in enumerate(order[: len(order) - need + 1]):
                 self.index.setdefault(w, []).append((t, i))
-            self.templates.append((order, words, need, label))
+            self.templates.append((order, words, need, label, *telling(words, label)))
 
     def base(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str]]:
         """Places, first and last start, labels of the phrases."""
@@ -117,14 +141,14 @@ class Scanner:
                     if t in done:
                         continue
                     done.add(t)
-                    order, members, need, label = self.templates[t]
+                    order, members, need, label, must, never = self.templates[t]
                     if len(block) < need:
                         continue
                     i = next(k for k, x in enumerate(order) if x in block)  # the rarest shared word
                     if len(order) - i < need:
                         continue
                     shared = len(members & block)
-                    if shared >= need:
+                    if shared >= need and must <= block and not never & block:
                         found[label] = max(found.get(label, 0.0), shared / len(order))
         return found
 
@@ -139,7 +163,7 @@ class Scanner:
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
 
-    Null or empty text: no words, no labels, score 0. score: 1 with a base phrase, else the largest containment of a
+    Null or empty text: no words, no labels, score 0. Very long texts: every block counts. score: 1 with a base phrase, else the largest containment of a
     matching template. Repeated rows: as often as they come. Empty table: no rows. Other columns are ignored.
     """
     vocabulary = frozenset(w for t, _ in template_sets(templates) for w in t)
@@ -149,7 +173,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
         scanner = Scanner(frequency, phrases, templates, threshold)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
         names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [scanner.scan(t.as_py()) for t in batch.column("text")]
             cols = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", *names])
@@ -162,13 +186,13 @@ def oracle_sql(phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOL
     """The scan as DuckDB SQL over `documents` (unique doc_id): every block against every template, no filters."""
     quoted = lambda words: "[" + ", ".join(f"'{w.decode()}'" for w in words) + "]"
     said = ", ".join(f"({quoted(words_of(p))}, '{label}')" for p, label in phrases)
-    made = ", ".join(f"({quoted(sorted(words))}, '{label}')" for words, label in template_sets(templates))
+    made = ", ".join(f"({quoted(sorted(words))}, '{label}', {needed(words, threshold)}, {', '.join(quoted(sorted(x)) + '::VARCHAR[]' for x in telling(words, label))})" for words, label in template_sets(templates))
     upper = "".join(map(chr, range(65, 91)))
     return f"""WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT doc_id, label, list_filter(range(1, len(w) - len(q) + 2), lambda i: w[i:i + len(q) - 1] = q) AS s FROM t, (VALUES {said}) p(q, label)),
 base AS (SELECT doc_id, CAST(sum(len(s)) AS BIGINT) AS n_base, min(list_min(s)) - 1 AS first_word, max(list_max(s)) - 1 AS last_word FROM b GROUP BY 1),
 blocks AS (SELECT doc_id, list_distinct(w[{block_words // 2} * k + 1:{block_words // 2} * k + {block_words}]) AS s FROM (SELECT doc_id, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - {block_words}) / {block_words / 2}) AS BIGINT)) + 1)) AS k FROM t)),
-hits AS (SELECT doc_id, label, len(list_intersect(s, q))::DOUBLE / len(q) AS c FROM blocks, (VALUES {made}) p(q, label) WHERE len(list_intersect(s, q)) >= ceil({threshold} * len(q) - 1e-9)),
+hits AS (SELECT doc_id, label, len(list_intersect(s, q))::DOUBLE / len(q) AS c FROM blocks, (VALUES {made}) p(q, label, need, must, never) WHERE len(list_intersect(s, q)) >= need AND list_has_all(s, must) AND NOT list_has_any(s, never)),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b WHERE len(s) > 0 UNION ALL SELECT doc_id, label FROM hits) GROUP BY 1),
 bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b WHERE len(s) > 0 GROUP BY 1),
 sc AS (SELECT doc_id, max(c) AS c FROM hits GROUP BY 1)

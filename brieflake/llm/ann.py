@@ -1,11 +1,16 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, results merged.
 
 Equal vectors are one node; of its ids only the KEEP smallest can be in an answer and are kept, so a vector that
-holds a large part of the rows is no hot group. Nodes go by hash into shards of about SHARD nodes (a shard holds
-one vector length). A shard's graph is stored as flat arrays of neighbour numbers: layer 0 as nodes x 2M, each
-upper layer as its nodes and their M neighbours; -1 is empty. Every row is indexed.
+holds a large part of the rows is no hot group. Nodes go by hash into shards of about SHARD nodes, fewer where they
+would exceed SHARD_BYTES (a shard holds one vector length): both are memory bounds of a task, to be raised with the
+executors' memory, as each query visits every shard. A shard's graph is stored as flat arrays of neighbour numbers: layer 0 as nodes
+x 2M, each upper layer as its nodes and their M neighbours; -1 is empty. Every row is indexed.
 
-A query is searched in every shard of its vector length. Queries go in blocks of about QUERY_BLOCK, so a task holds
+Graphs are walked in float32, each shard's vectors scaled by their largest component, so that none overflows; answers are
+ranked by the distances of the original vectors in double precision. A query beyond the shard's scale is compared
+with all of its vectors.
+
+A query is searched in every shard of its vector length. Queries go in blocks of about QUERY_BYTES, so a task holds
 one shard's graph and one block.
 """
 
@@ -21,11 +26,14 @@ from pyspark.sql import functions as F
 
 from brieflake.llm.common import materialize
 
-SHARD = 4096
+SHARD = 32_768
+SHARD_BYTES = 128 << 20
 M = 16
 EF_BUILD = 80
-EF_SEARCH = 120
-QUERY_BLOCK = 2048
+EF_SEARCH = 160
+QUERY_BYTES = 8 << 20
+#: A query this many times larger than a shard's largest component isn't told from its neighbours in float32.
+FAR = 1e4
 
 
 class Graph:
@@ -133,12 +141,13 @@ class Graph:
             self.entry = i
 
     def pack(self) -> dict:
-        return {"vectors": self.v.tobytes(), "entry": self.entry, "layers": [x.tobytes() for x in self.near], "nodes": [x.tobytes() for x in self.nodes]}
+        return {"entry": self.entry, "layers": [x.tobytes() for x in self.near], "nodes": [x.tobytes() for x in self.nodes]}
 
     @classmethod
-    def unpack(cls, n: int, dim: int, vectors: bytes, entry: int, layers: list[bytes], nodes: list[bytes], m: int = M) -> Graph:
+    def unpack(cls, vectors: np.ndarray, entry: int, layers: list[bytes], nodes: list[bytes], m: int = M) -> Graph:
         g = cls.__new__(cls)
-        g.v, g.entry, g.m = np.frombuffer(vectors, np.float32).reshape(n, dim), entry, m
+        n = len(vectors)
+        g.v, g.entry, g.m = np.ascontiguousarray(vectors, np.float32), entry, m
         g.nodes = [np.frombuffer(x, np.int32) for x in nodes]
         g.near = [np.frombuffer(x, np.int32).reshape(len(k), -1) for x, k in zip(layers, g.nodes)]
         g.place = []
@@ -157,6 +166,20 @@ class Graph:
         return [i for _, i in self._search(q, start, max(ef, k), 0)]
 
 
+def distances(exact: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; where the squares overflow or vanish, by scaled differences."""
+    diff = exact - q
+    with np.errstate(over="ignore", under="ignore"):
+        d = np.sqrt((diff**2).sum(1))
+    odd = ~np.isfinite(d) | (d < 1e-150)
+    if odd.any():
+        half = np.abs(exact[odd] / 2 - q / 2)
+        most = half.max(1, keepdims=True)
+        with np.errstate(invalid="ignore", over="ignore"):
+            d[odd] = np.where(most[:, 0] > 0, 2 * (most[:, 0] * np.sqrt(((half / np.where(most > 0, most, 1)) ** 2).sum(1))), 0.0)
+    return d
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>) of the rows that take part: no null, zero or non-finite vectors, no null ids."""
     v = F.col("embedding").cast("array<double>")
@@ -165,33 +188,34 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def build_index(rows: DataFrame, keep: int, shard: int = SHARD, m: int = M, ef: int = EF_BUILD) -> DataFrame:
-    """One row per shard: dim, shard, n, vectors, entry, layers, nodes, ids (the kept ids of each node)."""
+    """One row per shard: dim, shard, n, scale, exact (vectors), entry, layers, nodes, ids (the kept ids of each node)."""
     same = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.dropDuplicates(["vec_id", "v"]).withColumn("r", F.row_number().over(same)).filter(F.col("r") <= keep)
     nodes = kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = materialize(nodes.select("ids", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h")), "ann-nodes")
-    # shards of each vector length, as many as its nodes need
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("long").alias("shards"))
-    placed = nodes.join(F.broadcast(shards) if shards.count() <= 10_000 else shards, "dim").withColumn("shard", F.pmod("h", "shards").cast("int"))
+    # shards of each vector length, as many as its nodes need: a node takes its vector twice and its links
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(shard)), F.lit(float(SHARD_BYTES)) / (12 * F.col("dim") + 16 * m)))
+    shards = nodes.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / most).cast("long").alias("shards"))
+    placed = nodes.join(shards, "dim").withColumn("shard", F.pmod("h", "shards").cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h", kind="stable")  # an order that doesn't follow ids
-        g = Graph(np.stack(pdf["v"].to_numpy()), m, ef)
-        p = g.pack()
-        exact = np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()
-        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "vectors": [p["vectors"]], "exact": [exact], "entry": [p["entry"]], "layers": [p["layers"]], "nodes": [p["nodes"]], "ids": [[x.tolist() for x in pdf["ids"]]]})
+        exact = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        scale = float(np.abs(exact).max())
+        p = Graph((exact / scale).astype(np.float32), m, ef).pack()
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "scale": [scale], "exact": [exact.tobytes()], "entry": [p["entry"]], "layers": [p["layers"]], "nodes": [p["nodes"]], "ids": [[x.tolist() for x in pdf["ids"]]]})
 
     # a task a shard, however small their data: building takes time, not space
     total = int(shards.agg(F.sum("shards")).first()[0] or 1)
     placed = placed.repartition(min(2 * total, 50_000), "dim", "shard")
-    schema = "dim int, shard int, n int, vectors binary, exact binary, entry int, layers array<binary>, nodes array<binary>, ids array<array<long>>"
+    schema = "dim int, shard int, n int, scale double, exact binary, entry int, layers array<binary>, nodes array<binary>, ids array<array<long>>"
     return materialize(placed.groupBy("dim", "shard").applyInPandas(build, schema), "ann-index", row_group_bytes=16 << 20)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """queries: (vec_id, v). query_id, rank, vec_id, score: the k nearest found, ties to the smaller vec_id."""
-    n_queries = queries.count()
-    blocks = max(1, -(-n_queries // query_block))
+    asked_bytes = queries.agg(F.sum(8 * F.size("v") + 64)).first()[0] or 0
+    blocks = max(1, -(-asked_bytes // query_bytes))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     # new names on either side: both come from index and q
     shards = index.select(F.col("dim").alias("s_dim"), F.col("shard").alias("s_shard"))
@@ -204,13 +228,16 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH, qu
         if len(left) and len(right):
             r = left.iloc[0]
             n, dim = int(r["n"]), int(r["dim"])
-            g = Graph.unpack(n, dim, r["vectors"], int(r["entry"]), list(r["layers"]), list(r["nodes"]))
-            exact = np.frombuffer(r["exact"], np.float64).reshape(n, dim)
+            exact, scale = np.frombuffer(r["exact"], np.float64).reshape(n, dim), float(r["scale"])
+            g = Graph.unpack((exact / scale).astype(np.float32), int(r["entry"]), list(r["layers"]), list(r["nodes"]))
             ids = r["ids"]
             for query_id, v in zip(right["query_id"].tolist(), right["q"]):
                 v = np.asarray(v, np.float64)
-                near = g.query(v.astype(np.float32), k + 1, ef)
-                d = np.sqrt(((exact[near] - v) ** 2).sum(1))
+                if np.abs(v).max() / scale > FAR:
+                    near = np.argsort(distances(exact, v), kind="stable")[: k + 1]
+                else:
+                    near = g.query((v / scale).astype(np.float32), k + 1, ef)
+                d = distances(exact[near], v)
                 found = sorted({(float(x), int(i)) for x, node in zip(d, near) for i in ids[node] if i != query_id})
                 out += [(query_id, i, x) for x, i in found[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})

@@ -54,3 +54,50 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert A.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert A.nearest(spark.createDataFrame([(1, [1.0], 1, 0.0)], SCHEMA)).count() == 0
+
+
+def test_components_of_any_size(spark):
+    for unit in (1e50, 1e200, 1e-200):
+        rows = [(k * 100, [k * unit, 1.0 if unit > 1 else unit], 1, 0.0) for k in range(1, 6)]
+        df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+        got = {}
+        for r in A.nearest(df).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score / unit))
+        for k in range(1, 6):
+            want = sorted((abs(k - j), 100 * j) for j in range(1, 6) if j != k)
+            assert {i for i, _ in got[100 * k]} == {i for _, i in want} and np.allclose([x for _, x in got[100 * k]], [d for d, _ in want], rtol=1e-12)
+
+
+def test_a_query_far_beyond_its_shard(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist(), 1, 0.0) for i in range(1, 400)] + [(1000, [1e60] * 8, 1, 0.0)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    got = A.nearest(df, query_every=1000, shard=8).collect()
+    assert len(got) == 10 and all(r.query_id == 1000 and r.score > 1e60 for r in got)
+
+
+def test_recall_on_the_table(spark):
+    """At least 0.9 of the exact ten nearest, at the shard size that queries use."""
+    import pathlib
+
+    folder = pathlib.Path("/root/testdata/sf0.1/embeddings.parquet")
+    if not folder.exists():
+        return
+    table = spark.read.parquet(str(folder))
+    rows = [(r.vec_id, list(r.embedding), 1, 0.0) for r in table.collect() if r.embedding is not None]
+    want, hit, total = brute_matrix(rows, 100, 10), 0, 0
+    for r in A.nearest(table).collect():
+        hit += r.vec_id in want[r.query_id]
+        total += 1
+    assert total == sum(map(len, want.values())) and hit / total >= 0.95
+
+
+def brute_matrix(rows, every, k):
+    ids = np.array([r[0] for r in rows])
+    x = np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[ids == ids[i]] = np.inf
+        out[int(ids[i])] = set(ids[np.lexsort((ids, d))[:k]].tolist())
+    return out

@@ -5,13 +5,15 @@ each kind. The expressions below find the same matches as the plain ones, in tim
 can only start where a run of its characters starts, or where the match before it ended.
 
 Bootstrap: the identifier-like values of the corpus (RUN: adjacent white-space delimited tokens with a digit or an @,
-up to a base span and without the punctuation behind the last one) stand in contexts: the word before them,
-lower-cased, digits as 0. Base spans are the seeds. Contexts and values form a bipartite graph. In each of ROUNDS rounds a context scores, per kind, the mean of its values' scores (with a prior
-of PRIOR values that score 0; at least SUPPORT different seed values of the kind must stand in it), and a value that is no seed
-scores the best of its contexts. Values of a context that scores at least CONFIDENT in the end, and that overlap no
-base span, are found, as spans of the context's best kind.
-
-Everything gathered is keyed by context or value and pre-aggregated; only identifier-like values are ever shuffled.
+up to a base span and without quotes and brackets before and punctuation behind) stand in lexical patterns: the word before them, the two and the three
+words before, and the word before with the word behind; lower-cased, digits as 0. Seeds are the base spans, and strings that can only be keys
+(SECRET: a kind of its own that isn't reported by itself). Patterns and values form a bipartite graph, scored in ROUNDS rounds. In
+each, a pattern scores, per kind, the sum of its accepted values' scores over the number of its values plus PRIOR; with SUPPORT different
+accepted values and a score of at least CONFIDENT it is a pattern of that kind (the best, if several). The values that stand in
+it are accepted then, with the score of their best pattern, so they make new patterns in the next round. In the
+end, values in a pattern that overlap no base span are found, as spans of the pattern's kind.
+
+Everything gathered is keyed by pattern or value and pre-aggregated; only identifier-like values are ever shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from pyspark.sql import functions as F
 
 from brieflake.llm.common import materialize
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds that have a base pattern.
+BASE_KINDS = KINDS[:4]
 ROUNDS = 3
 SUPPORT = 3
 PRIOR = 1.0
@@ -34,7 +38,12 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?=[^\s0-9@]*+[0-9@])\S++"
 RUN = rf"(?<!\S){TOKEN}(?:\s++{TOKEN})*+"
-#: Punctuation and symbols behind a value.
+#: A key: 20 characters or more, letters and at least three digits.
+SECRET = r"^(?=[^A-Za-z]*+[A-Za-z])(?=(?:[^0-9]*+[0-9]){3})[A-Za-z0-9_-]{20,}+$"
+#: Characters before a value in which the words of its patterns are looked for, and behind it.
+REACH = 256
+#: Quotes and brackets before a value, punctuation and symbols behind it.
+LEADING = r"""^[\"'(\[{<\u00ab\u201c\u2018\u201e]++"""
 TRAILING = r"(?<![\p{P}\p{S}&&[^@]])[\p{P}\p{S}&&[^@]]++$"
 
 
@@ -61,17 +70,18 @@ def _before(values: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str, gate: Column) -> Column:
-    """array<struct<start, end, value, left>> of all matches; left: the text between the match before and this one."""
+    """array<struct<start, end, value, left, right>> of all matches; left, right: the text up to the next match on either side."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
 
     def build(pair: Column) -> Column:
-        sizes = F.zip_with(pair["m"], F.slice(pair["p"], 1, F.size(pair["m"])), lambda m, p: (F.length(m) + F.length(p)).cast("long"))
-        placed = F.arrays_zip(pair["m"].alias("m"), F.slice(pair["p"], 1, F.size(pair["m"])).alias("p"), _before(sizes).alias("s"))
-        return F.transform(placed, lambda x: F.struct((x["s"] + F.length(x["p"])).alias("start"), (x["s"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"), x["p"].alias("left")))
+        n = F.size(pair["m"])
+        sizes = F.zip_with(pair["m"], F.slice(pair["p"], 1, n), lambda m, p: (F.length(m) + F.length(p)).cast("long"))
+        placed = F.arrays_zip(pair["m"].alias("m"), F.slice(pair["p"], 1, n).alias("p"), _before(sizes).alias("s"), F.transform(F.slice(pair["p"], 2, n), lambda p: F.left(p, F.lit(REACH))).alias("r"))
+        return F.transform(placed, lambda x: F.struct((x["s"] + F.length(x["p"])).alias("start"), (x["s"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"), x["p"].alias("left"), x["r"].alias("right")))
 
     made = F.transform(F.array(F.struct(found.alias("m"), between.alias("p"))), build)[0]
-    return F.when(gate, made).otherwise(F.array().cast("array<struct<start:long,end:long,value:string,left:string>>"))
+    return F.when(gate, made).otherwise(F.array().cast("array<struct<start:long,end:long,value:string,left:string,right:string>>"))
 
 
 def _luhn(value: Column) -> Column:
@@ -110,50 +120,76 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _context(left: Column) -> Column:
-    """The last word before a run of tokens, in lower case, digits as 0; `^` if the text's start is before it."""
-    word = F.regexp_extract(F.right(left, F.lit(64)), r"(\S+)\s*$", 1)
-    return F.when(word == "", "^").otherwise(F.regexp_replace(F.lower(word), "[0-9]", "0"))
+def _patterns(left: Column, right: Column) -> Column:
+    """array<string>: the lexical patterns of a value with that text before and behind it; none without a word before."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.right(left, F.lit(REACH))), "[0-9]", "0"), r"\s+"), lambda w: w != "")
+    behind = F.regexp_replace(F.lower(F.regexp_extract(right, r"^\s*+(\S++)", 1)), "[0-9]", "0")
+
+    def build(x: Column) -> Column:
+        w, n = x["w"], F.size(x["w"])
+        last = F.element_at(w, -1)
+        before = [F.when(n >= k, F.concat(F.array_join(F.slice(w, -k, k), " "), F.lit(" *"))) for k in (1, 2, 3)]
+        around = F.when(x["b"] != "", F.concat(last, F.lit(" * "), x["b"]))
+        return F.when(n > 0, F.array_compact(F.array(*before, around))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(F.struct(words.alias("w"), behind.alias("b"))), build)[0]
+
+
+def scored_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, prior: float = PRIOR, confident: float = CONFIDENT) -> DataFrame:
+    """edges: distinct (pattern, value, kind), kind below 0 where the value is no seed. pattern, k, score of the patterns of the last round."""
+    pairs = materialize(edges.select("pattern", "value").distinct(), "pii-pairs")
+    size = materialize(pairs.groupBy("pattern").agg(F.count("*").alias("values")).filter(F.col("values") >= support), "pii-sizes")
+    seeds = materialize(edges.filter("kind >= 0").select("value", F.col("kind").alias("k")).distinct().withColumn("v", F.lit(1.0)), "pii-seeds")
+    loose = edges.filter("kind < 0").select("pattern", "value")
+    accepted, patterns = seeds, None
+    for _ in range(rounds):
+        held = pairs.join(accepted, "value").groupBy("pattern", "k").agg(F.count("*").alias("n"), F.sum("v").alias("s")).filter(F.col("n") >= support)
+        scores = held.join(size, "pattern").withColumn("score", F.col("s") / (F.col("values") + F.lit(prior))).filter(F.col("score") >= confident)
+        best = scores.groupBy("pattern").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
+        patterns = materialize(best.select("pattern", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score")), "pii-patterns")
+        gained = loose.join(patterns, "pattern").groupBy("value", "k").agg(F.max("score").alias("v"))
+        accepted = materialize(seeds.unionByName(gained).groupBy("value", "k").agg(F.max("v").alias("v")), "pii-accepted")
+    return patterns
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, prior: float = PRIOR, confident: float = CONFIDENT) -> DataFrame:
     """doc_id, spans_base, spans_all (arrays of struct<start, k, end, value>) of every document.
 
-    Null or empty text: no spans. Repeated rows: returned as often as they come, found alike. Empty table: no rows.
-    Other columns are ignored.
+    Null or empty text: no spans. Very long texts: searched whole; the words of a pattern are those within REACH
+    characters of the value, a longer word counts with the part within. A value with no word before it within REACH is
+    only found by the base patterns. Ties of kinds: the first of KINDS. Repeated rows: returned as often as they come, found alike. Empty
+    table: no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.transform(_spans(text, RUN, text.rlike("[0-9@]")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _context(x["left"]).alias("context")))
+    tokens = F.transform(_spans(text, RUN, text.rlike("[0-9@]")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), _patterns(x["left"], x["right"]).alias("patterns")))
     table = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), tokens.alias("tokens")), "pii")
 
     # each run: the base kinds that start in its first token, or -1 and the tokens up to a base span, if there are any
-    token = table.filter(F.size("tokens") > 0).select("doc_id", "h", "base", F.explode("tokens").alias("t"))
+    token = table.filter(F.size("tokens") > 0).select("doc_id", "h", "base", F.explode("tokens").alias("t")).filter(F.size("t.patterns") > 0)
     over = F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
     first = F.col("t.start") + F.length(F.regexp_extract("t.value", r"^\S++", 0))
     starts = F.filter(over, lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < first))
     ahead = F.substring(F.col("t.value"), F.lit(1), (F.get(over, F.lit(0))["start"] - F.col("t.start")).cast("int"))
     ahead = F.when(F.size(over) == 0, F.col("t.value")).otherwise(F.regexp_replace(ahead, r"(?<!\S)\S*+$", ""))
-    loose = F.regexp_replace(F.regexp_replace(ahead, r"(?<!\s)\s++$", ""), TRAILING, "")
+    opened = F.regexp_replace(ahead, LEADING, "")
+    loose = F.regexp_replace(F.regexp_replace(opened, r"(?<!\s)\s++$", ""), TRAILING, "")
+    skipped = F.length(ahead) - F.length(opened)
     # a seed's value is its whole span, of which the token may be the first part
-    seen = F.transform(starts, lambda b: F.struct(b["k"].alias("kind"), b["value"].alias("value")))
-    seen = F.when(loose != "", F.array(F.struct(F.lit(-1).alias("kind"), loose.alias("value")))).otherwise(seen)
-    token = token.withColumn("v", F.explode(seen)).select("doc_id", "h", F.col("t.start").alias("start"), (F.col("t.start") + F.length("v.value")).alias("end"), F.lower("v.value").alias("value"), F.col("t.context").alias("context"), F.col("v.kind").alias("kind"))
-    token = materialize(token.filter("context <> '^'"), "pii-tokens")
-
-    edges = materialize(token.groupBy("context", "value", "kind").agg(F.count("*").alias("n")), "pii-edges")
-    size = edges.groupBy("context").agg(F.count("*").alias("values"))
-    seeds = edges.filter("kind >= 0").groupBy("context", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    patterns = materialize(seeds.join(size, "context"), "pii-patterns")  # context, kind, seeds, values
-    loose = edges.filter("kind < 0").select("context", "value")
-    scores = patterns.withColumn("score", F.col("seeds") / (F.col("values") + F.lit(prior)))
-    for _ in range(rounds - 1):
-        value = loose.join(scores.select("context", "kind", "score"), "context").groupBy("value", "kind").agg(F.max("score").alias("v"))
-        gain = loose.join(value, "value").groupBy("context", "kind").agg(F.sum("v").alias("gain"))
-        scores = patterns.join(gain, ["context", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / (F.col("values") + F.lit(prior)))
-        scores = materialize(scores.drop("gain"), "pii-scores")
-    best = scores.groupBy("context").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b")).filter(F.col("b.score") >= confident).select("context", (-F.col("b.k")).alias("k"))
-
-    more = token.filter("kind < 0").join(best, "context").select("doc_id", "h", F.struct("start", "k", "end", "value").alias("span"))
+    no_skip = F.lit(0)
+    seen = F.transform(starts, lambda b: F.struct(b["k"].alias("kind"), b["value"].alias("value"), no_skip.alias("skip")))
+    kind = F.when(loose.rlike(SECRET), KINDS.index("secret")).otherwise(-1)
+    seen = F.when(loose != "", F.array(F.struct(kind.alias("kind"), loose.alias("value"), skipped.alias("skip")))).otherwise(seen)
+    token = token.withColumn("v", F.explode(seen)).withColumn("from", F.col("t.start") + F.col("v.skip"))
+    token = token.select("doc_id", "h", F.col("from").alias("start"), (F.col("from") + F.length("v.value")).alias("end"), F.lower("v.value").alias("value"), F.col("t.patterns").alias("patterns"), F.col("v.kind").alias("kind"))
+    token = materialize(token, "pii-tokens").withColumn("pattern", F.explode("patterns")).drop("patterns")
+
+    edges = materialize(token.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")).select("pattern", "value", "kind"), "pii-edges")
+    best = scored_patterns(edges, rounds, support, prior, confident)
+
+    # values that overlap no base span: with the kind of the best of their patterns
+    more = token.filter((F.col("kind") < 0) | (F.col("kind") >= len(BASE_KINDS))).join(best, "pattern")
+    more = more.groupBy("doc_id", "h", "start", "end", "value").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
+    more = more.select("doc_id", "h", F.struct("start", (-F.col("b.k")).alias("k"), "end", "value").alias("span"))
     more = more.groupBy(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h")).agg(F.array_sort(F.collect_set("span")).alias("more"))
     joined = table.join(more, table["doc_id"].eqNullSafe(more["m_id"]) & (table["h"] == more["m_h"]), "left")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
@@ -162,5 +198,5 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, prior: f
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, hash of the base spans, all spans as text, n_found beyond the base."""
-    n = [_count("spans_base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    n = [_count("spans_base", k).alias(f"n_{name}") for k, name in enumerate(BASE_KINDS)]
     return found.select("doc_id", *n, F.sha2(_joined(F.col("spans_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans_all")).alias("spans"), (F.size("spans_all") - F.size("spans_base")).cast("long").alias("n_found"))

@@ -27,6 +27,7 @@ SHARE = 1.5
 MOST = 2
 WINDOW = 1 << 16
 BUCKETS = 64
+BUCKET_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -138,13 +139,17 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
     """doc_id, source, text_hash, size, source_size, target, taken of every document.
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last in the order. Repeated rows: each
-    counts; equal rows share the hash, the order among them is by doc_id and then arbitrary between identical rows.
+    counts; very long texts: all their words; equal rows share the hash, the order among them is by doc_id and then arbitrary between identical rows.
     Empty table: no rows. Other columns of docs are ignored.
     """
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
     base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    base = materialize(base.withColumn("h", hashed).withColumn("bucket", F.shiftrightunsigned("h", 64 - int(np.log2(buckets))).cast("int")), "mix-sizes")
+    base = materialize(base.withColumn("h", hashed), "mix-sizes")
     lengths = materialize(base.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
+    # as many buckets (a power of two) as the largest group needs, however many rows share a source and a length
+    largest = lengths.agg(F.max("n")).first()[0] or 0
+    bits = max(1, int(buckets).bit_length() - 1, (largest // BUCKET_ROWS).bit_length())
+    base = base.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     goal = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,14 +179,15 @@ def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE,
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all their columns, as often as the mix takes each (not at all, once or more).
 
-    Documents without words take no part. Equal rows (doc_id, source, text) are numbered on both sides, so that
+    Documents without words take no part; other columns may have any name. Empty table: no rows. Equal rows (doc_id, source, text) are numbered on both sides, so that
     each gets its own number of copies.
     """
     plan = mix(docs, **options).filter("taken > 0").select("doc_id", "source", "text_hash", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
     same = Window.partitionBy("p_id", "p_source", "p_hash")
     plan = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("text_hash").alias("p_hash"), "copies")
     plan = plan.withColumn("p_no", F.row_number().over(same.orderBy(F.desc("copies"))))
-    numbered = docs.withColumn("__h", F.xxhash64("text"))
-    numbered = numbered.withColumn("__no", F.row_number().over(Window.partitionBy("doc_id", "source", "__h").orderBy("__h")))
-    match = numbered["doc_id"].eqNullSafe(plan["p_id"]) & numbered["source"].eqNullSafe(plan["p_source"]) & (numbered["__h"] == plan["p_hash"]) & (numbered["__no"] == plan["p_no"])
-    return numbered.join(plan, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    # the row is one column while names of our own stand beside it
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), F.xxhash64("row.text").alias("h"))
+    rows = rows.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("h")))
+    match = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("h") == F.col("p_hash")) & (F.col("no") == F.col("p_no"))
+    return rows.join(plan, match).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

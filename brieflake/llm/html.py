@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brieflake.llm.common import sliced
+
 SAMPLE_PAGES = 2000
 
 # Elements and class, id and role words of the HTML vocabulary.
@@ -37,6 +39,8 @@ BOILER_WORDS = frozenset(
     "recommendations widget widgets search pagination pager toolbar masthead copyright hidden".split()
 )
 HEADER_WORDS = frozenset("header topbar".split())
+#: Words that may stand beside those in a class or id without another sense.
+BESIDE_WORDS = frozenset("area bar block blocks bottom box button buttons container content count form group hidden icon icons inner item items js link links list main message outer panel post posts row section site text title top wrap wrapper".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NEVER_BOILER = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 #: Log odds of words before any page is seen, by nearest block.
@@ -44,7 +48,19 @@ PRIOR = {"p": 2.0, "h1": 2.0, "h2": 1.5, "h3": 1.5, "h4": 1.0, "h5": 1.0, "h6":
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|<[!?/][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def _marked(value: str, in_article: bool, tag: str) -> bool:
+    """Whether a class or id attribute has a name that only says boilerplate: each of its words does or stands beside one that does."""
+    for name in value.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        said = words & BOILER_WORDS if in_article else words & (BOILER_WORDS | HEADER_WORDS)
+        if tag == "article":  # an article is one unless it is a reader's or an advertiser's
+            said &= {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"}
+        if said and words <= said | BOILER_WORDS | BESIDE_WORDS:
+            return True
+    return False
 _INLINE_KEEP = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 
 
@@ -56,12 +72,10 @@ def _boiler(tag: str, attrs: str, in_article: bool) -> bool:
     if not attrs or tag in NEVER_BOILER:
         return False
     for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, raw = m[1].lower(), m[2] or m[3] or m[4] or ""
+        value = raw.lower()
         if name in ("class", "id"):
-            words = set(_WORDS.findall(value))
-            if tag == "article":
-                words &= {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"}
-            if words & BOILER_WORDS or (words & HEADER_WORDS and not in_article):
+            if _marked(raw, in_article, tag):
                 return True
         elif name == "role" and value in BOILER_ROLES:
             return True
@@ -79,7 +93,7 @@ def scan(page: str | None) -> Iterator[tuple[str, str, str | None, bool, bool, b
 
     def text(raw: str):
         boiler, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        return "w", f"w:{'x' if boiler else block}{'/a' if inside else ''}", raw, False, inside, boiler
+        return "w", "w:in" if boiler else f"w:{block}{'/a' if inside else ''}", raw, False, inside, boiler
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -105,10 +119,10 @@ def scan(page: str | None) -> Iterator[tuple[str, str, str | None, bool, bool, b
                     if tag == "p" or tag[0] == "h":
                         block = stack[-1][0] if stack else "body"
             inside = stack[-1][2] if stack and tag != "article" else inside and tag != "article"
-            yield "t", f"t:/{known}{'/a' if inside else ''}", None, tag in BLOCKS, inside, boiler
+            yield "t", "t:in" if boiler else f"t:/{known}{'/a' if inside else ''}", None, tag in BLOCKS, inside, boiler
             continue
         here = boiler or _boiler(tag, m[3], inside)
-        yield "t", f"t:{'x' if here else known}{'/a' if inside else ''}", None, tag in BLOCKS, inside, here
+        yield "t", "t:in" if boiler else f"t:{'x' if here else known}{'/a' if inside else ''}", None, tag in BLOCKS, inside, here
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             if tag in ("title", "textarea", "script", "style", "iframe", "noscript", "template") or close:
@@ -150,7 +164,7 @@ def label_counts(page: str | None) -> dict[str, list[int]]:
     found: dict[str, list[int]] = {}
     for kind, feature, raw, _, inside, boiler in items:
         n = len(raw.split()) if kind == "w" else 1
-        if n:
+        if n and not feature.endswith(":in"):
             found.setdefault(feature, [0, 0])[0 if inside and not boiler else 1] += n
     return found
 
@@ -168,31 +182,34 @@ def weights(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
 
 
 def weight(model: dict[str, float], feature: str) -> float:
-    got = model.get(feature)
+    """Of a word or tag. What is inside a boilerplate container counts nothing, its first tag counts once: text goes on behind it."""
+    got = 0.0 if feature.endswith(":in") else model.get(feature)
     if got is not None:
         return got
     name = feature[2:].removesuffix("/a")
     if feature[0] == "w":
-        return (-0.02 if feature.endswith("/a") else -0.1) if name == "x" else min(1.0, PRIOR.get(name, 0.3 if not feature.endswith("/a") else 1.0))
+        return min(1.0, PRIOR.get(name, 0.3 if not feature.endswith("/a") else 1.0))
     return -0.02 if feature.endswith("/a") else -2.0 if name == "x" else -0.3
 
 
-def extract(page: str | None, model: dict[str, float]) -> str:
-    items = list(scan(page))
-    model = model if labelled(items, page) else {}  # a label is part of the features: learned weights hold for such pages only
-    best, best_at, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, feature, raw, _, _, _) in enumerate(items):
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(start, end) of the contiguous part with the largest sum, the first of equal ones; (0, 0) if none is above zero."""
+    best, at, total, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
-        if kind == "w":
-            n = len(raw.split())
-            total += n * weight(model, feature) if n else 0.0
-        else:
-            total += weight(model, feature)
+        total += score
         if total > best:
-            best, best_at = total, (start, i + 1)
+            best, at = total, (start, i + 1)
+    return at
+
+
+def extract(page: str | None, model: dict[str, float]) -> str:
+    items = list(scan(page))
+    model = model if labelled(items, page) else {}  # a label is part of the features: learned weights hold for such pages only
+    start, end = best_region([weight(model, feature) * (len(raw.split()) if kind == "w" else 1) for kind, feature, raw, _, _, _ in items])
     blocks, now = [], []
-    for kind, feature, raw, cut, _, boiler in items[best_at[0] : best_at[1]]:
+    for kind, feature, raw, cut, _, boiler in items[start:end]:
         if kind == "w":
             if not boiler:
                 now.append(_html.unescape(raw))
@@ -207,8 +224,10 @@ def extract(page: str | None, model: dict[str, float]) -> str:
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from at most sample_pages labelled pages; features are pairs of a fixed vocabulary."""
-    keys = pages.filter(F.lower("html").contains("<article")).select("page_id", F.xxhash64(F.lit(3), "page_id").alias("h")).orderBy("h", "page_id").limit(sample_pages).select("page_id").distinct()
-    sample = pages.join(F.broadcast(keys), "page_id").select("html")
+    rows = pages.filter("page_id is not null").select("page_id", "html", F.xxhash64("html").alias("hh"))
+    keys = rows.filter(F.lower("html").contains("<article")).select("page_id", "hh", F.xxhash64(F.lit(3), "page_id", "hh").alias("h")).distinct().orderBy("h", "page_id").limit(sample_pages).select("page_id", "hh")
+    # at most sample_pages keys, and a page for each, however often a row is repeated
+    sample = rows.join(F.broadcast(keys), ["page_id", "hh"]).dropDuplicates(["page_id", "hh"]).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, list[int]] = {}
@@ -227,13 +246,13 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
 def extract_pages(pages: DataFrame, model: dict[str, float] | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    Null or empty html, or one without words: empty text, 0. No labelled pages: prior weights alone. Repeated rows
+    Null or empty html, or one without words: empty text, 0. Very long pages: read whole. Equal regions: the first. No labelled pages: prior weights alone. Repeated rows
     and ids: each row is a page. Empty table: no rows. Other columns are ignored.
     """
     model = fit(pages) if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "html"):
             texts = [extract(p.as_py(), model) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -69,3 +69,43 @@ def test_labelled_pages_do_not_cost_other_pages_their_text(spark):
     assert all(got[i] == "A title\n" + ("real words here " * 20).strip() for i in range(90))
     want = dict.fromkeys((100, 101, 102, 104, 105), "\n".join(said)) | {103: "\n".join(["Short heading", *said, "The end"]), 106: "\n".join(said[:2])}
     assert {i: got[i] for i in other} == want
+
+
+def test_best_region_against_all_regions():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(400):
+        scores = [rng.choice([-5.0, -2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 14))]
+        a, b = H.best_region(scores)
+        every = [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        assert sum(scores[a:b]) == max([0.0, *every])
+
+
+def test_names_that_only_sound_like_boilerplate():
+    said = "Some real words that make up a paragraph here"
+    inside = [
+        f"<div class='related-work'><p>{said} one</p></div>", f"<section id='search-methods'><h2>Methods</h2><p>{said} two</p></section>",
+        f"<div class='noticeboard-history'><p>{said} three</p></div>", f"<div class='comment-box'><p>{said} gone</p></div>", f"<div id='relatedPosts'><p>{said} gone</p></div>",
+    ]
+    want = f"Title\n{said} one\nMethods\n{said} two\n{said} three"
+    assert H.extract(f"<body><article><h1>Title</h1>{''.join(inside)}</article></body>", {}) == want
+    assert H.extract(f"<body><div><h1>Title</h1>{''.join(inside)}</div></body>", {}) == want
+
+
+def test_text_goes_on_behind_boilerplate():
+    said = "Some real words that make up a paragraph here"
+    nav = "<nav><ul>" + "<li><a href=x>Link there</a></li>" * 30 + "</ul></nav>"
+    ad = "<div class='ad-banner'>" + "<div><span>Buy</span></div>" * 20 + "</div>"
+    page = f"<body>{nav}<p>{said} one</p>{nav}<p>{said} two</p>{ad}<p>{said} three</p><footer><p>Legal words and many more of them in here</p></footer></body>"
+    assert H.extract(page, {}) == f"{said} one\n{said} two\n{said} three"
+
+
+def test_repeated_pages_in_the_sample(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "a")] * 50 + [(2, "u", PAGE, "b")], "page_id long, url string, html string, text string")
+    once = H.fit(df.dropDuplicates(["page_id"]))
+    assert H.fit(df) == once and once
+
+
+def test_very_long_page():
+    assert H.extract("<div>" + "<p>some words here</p>" * 100_000 + "</div>", {}).count("\n") == 99_999

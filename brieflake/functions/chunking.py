@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brieflake.functions import patterns as P
+from brieflake.functions import text as X
 
 # Separator lists, coarse to fine.
 CASE_SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -71,65 +74,79 @@ def chunks(text: Column, size: int = 1500, overlap: int = 300, separators=CASE_S
     return run(text)
 
 
-_NAME = r"(?:(?:CHIEF\s+)?JUSTICE\s+(\w+)|(\w+),\s*(?:C\.\s*)?J\.%s)"
-_HEADERS = [(re.compile(before + _NAME % (r"\s*," if kind == "majority" else r"\s*,?" if not before else "") + after, re.I), kind) for before, after, kind in P.HEADER_FORMS]
-_JOINING = re.compile(r"with\s+whom\s+(?:CHIEF\s+)?JUSTICES?\s+(.+?)\s+joins?", re.I)
+# ---------------------------------------------------------------- opinions
 
 
-def justice(name: str) -> str | None:
-    return P.LAST_NAMES.get(re.sub(r"'S$", "", name.upper().strip()))
+class Header(NamedTuple):
+    """One match of a header form; `rank` is the form's place in the order of tests."""
 
+    rank: int
+    at: int
+    end: int
+    kind: str
+    justice: str | None
 
-def joiners(text: str) -> list[str]:
-    m = _JOINING.search(text)
-    parts = re.split(r"\s*(?:,\s*(?:and\s+)?|and\s+)", m[1]) if m else []
-    names = [justice(re.sub(r"(?:CHIEF\s+)?JUSTICE\s+", "", p, flags=re.I)) for p in parts]
-    return [n for n in names if n]
 
+_FORMS = [(re.compile(form, re.I), kind) for form, kind in P.OPINION_HEADERS]
 
-def boundaries(text: str, reserve_first: bool = True) -> list[tuple[int, str, str, list[str]]]:
-    """(offset, justice, type, joining) of each opinion header, by offset.
 
-    Forms are tested in order; a match within 100 characters of an accepted one is passed over, as are citations
-    (after an open parenthesis, or after digits on the same line). reserve_first: a place counts as accepted even if
-    its name isn't known.
-    """
-    found, taken = [], []
-    for pattern, kind in _HEADERS:
-        for m in pattern.finditer(text):
-            at = m.start()
-            before = text[max(0, at - 30) : at]
-            bare = before.rstrip()
-            cited = bare.endswith("(") or (re.search(r"\d\s*\(?$", bare) and "\n" not in before[-15:])
-            if cited or any(abs(at - x) < 100 for x in taken):
-                continue
-            name = justice(m[1] or m[2] or "")
-            if name or reserve_first:
-                taken.append(at)
-            if name:
-                found.append((at, name, kind, joiners(text[max(0, at - 20) : m.end() + 200])))
-    return sorted(found, key=lambda x: x[0])
+def headers(text: str) -> list[Header]:
+    """Every match of every form, by form and place."""
 
+    def known(m: re.Match) -> str | None:
+        last = (m[1] or m[2] or "").strip().upper()
+        return P.LAST_NAMES.get(last.removesuffix("'S"))
 
-def segments(text: str | None, author: str | None) -> list[tuple[str, str, list[str], str]]:
-    """(justice, type, joining, text) of each opinion in a document. Under 500 characters: none; no header: the whole
-    to the catalog's author; segments under 200 characters are dropped."""
+    return [Header(rank, m.start(), m.end(), kind, known(m)) for rank, (form, kind) in enumerate(_FORMS) for m in form.finditer(text)]
+
+
+def is_citation(text: str, at: int) -> bool:
+    """An open parenthesis stands before the place, or a number on its line."""
+    lead = text[max(0, at - P.CITED_WITHIN) : at]
+    if lead.rstrip().endswith("("):
+        return True
+    return "\n" not in lead[-P.SAME_LINE_WITHIN :] and lead.rstrip().removesuffix("(").rstrip()[-1:].isdecimal()
+
+
+def boundaries(text: str, reserve_first: bool = True) -> list[Header]:
+    """The headers at which opinions start, by place: of the candidates, in order of form and place, those that are no
+    citation and have no accepted one within HEADER_GAP. reserve_first: one whose name isn't known keeps its
+    surroundings, too, though it starts no opinion."""
+    places: list[int] = []  # accepted, ascending
+    kept = []
+    for h in headers(text):
+        i = bisect.bisect_left(places, h.at)
+        near = [x for x in places[max(0, i - 1) : i + 1] if abs(x - h.at) < P.HEADER_GAP]
+        if near or (h.justice is None and not reserve_first) or is_citation(text, h.at):
+            continue
+        places.insert(i, h.at)
+        if h.justice is not None:
+            kept.append(h)
+    return sorted(kept, key=lambda h: h.at)
+
+
+def segments(text: str | None, author: str | None) -> list[tuple[str, str, str, str]]:
+    """(justice, type, text around the header, text) of each opinion in a document. Under 500 characters: none; no header:
+    the whole to the catalog's author; segments under 200 characters are dropped."""
     if not text or len(text) < 500:
         return []
     marks = boundaries(text)
     if not marks:
-        return [(author, "per_curiam" if author == "Per Curiam" else "majority", [], text)] if author else []
-    ends = [m[0] for m in marks[1:]] + [len(text)]
-    cut = [(name, kind, who, text[at:end].strip()) for (at, name, kind, who), end in zip(marks, ends)]
-    return [c for c in cut if len(c[3]) >= 200]
+        return [(author, "per_curiam" if author == "Per Curiam" else "majority", "", text)] if author else []
+    found = []
+    for h, until in zip(marks, [*[m.at for m in marks[1:]], len(text)]):
+        own = text[h.at : until].strip()
+        if len(own) >= 200:
+            found.append((h.justice, h.kind, text[max(0, h.at - P.JOINING_BEFORE) : h.end + P.JOINING_BEHIND], own))
+    return found
 
 
 def opinion_segments(text: Column, author: Column) -> Column:
-    """array<struct<justice, opinion_type, joining_justices, text>>."""
+    """array<struct<justice, opinion_type, joining_justices, text>>; the joining names are read by Spark."""
 
-    @F.pandas_udf("array<struct<justice string, opinion_type string, joining_justices array<string>, text string>>")
+    @F.pandas_udf("array<struct<justice string, opinion_type string, around string, text string>>")
     def run(texts: pd.Series, authors: pd.Series) -> pd.Series:
-        names = ("justice", "opinion_type", "joining_justices", "text")
+        names = ("justice", "opinion_type", "around", "text")
         return pd.Series([[dict(zip(names, s)) for s in segments(t, a)] for t, a in zip(texts, authors)])
 
-    return run(text, author)
+    return F.transform(run(text, author), lambda s: F.struct(s["justice"].alias("justice"), s["opinion_type"].alias("opinion_type"), X.joining_justices(s["around"]).alias("joining_justices"), s["text"].alias("text")))

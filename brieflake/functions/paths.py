@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def term_dir(base: str, term: int) -> str:
     return f"{base}/term_{term:02d}"
@@ -27,6 +30,15 @@ def index_dir(base: str) -> str:
     return f"{base}/indices"
 
 
+def folder_of_name(name: Column) -> Column:
+    """A voter's name as a folder name."""
+    return F.translate(name, " ", "_")
+
+
+def name_of_folder(folder: Column) -> Column:
+    return F.translate(folder, "_", " ")
+
+
 def result_path(base: str, experiment: str, docket: str, condition: str, model: str, replicate: int) -> str:
     safe = model.translate(str.maketrans("/: ", "___"))
     return f"{base}/{experiment}/{docket}_cond{condition}_{safe}_r{replicate}"

@@ -12,8 +12,7 @@ from brieflake.functions import patterns as P
 
 def any_match(text: Column, patterns) -> Column:
     """True if one of the patterns is found; false for null text. Case is ignored."""
-    tests = [text.rlike("(?i)" + p) for p in patterns]
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+    return F.coalesce(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
 
 
 def collapse_space(text: Column) -> Column:

@@ -5,27 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brieflake.functions import patterns as P
 from brieflake.functions import text as X
+from brieflake.operators.ordered import nth_smallest
 
 SEED = 42
 
 
-def numbered(df: DataFrame, order: list[Column | str], name: str = "n") -> DataFrame:
-    """Rows numbered from 0 in a global order without one task holding them: range partitions, then offsets."""
-    keyed = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order]).sortWithinPartitions(*order)
-    rdd = keyed.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(rdd, df.schema.add(name, "long"))
-
-
 def split_cases(cases: DataFrame, ratio: float = 0.3, new_from: int = 2024, least: int = 10, seed: int = SEED) -> DataFrame:
     """cases (docket, term, ..) with `part`: new for late terms; of the others, by seeded order, max(least, floor(n *
     ratio)) eval, the rest train."""
     ranked = cases.withColumn("__h", X.pick(seed, "split", F.col("docket")))
     old = ranked.filter(F.col("term") < new_from)
     size = old.agg(F.greatest(F.lit(least), F.floor(F.count("*") * ratio)).alias("n_eval"))
-    limit = size.first()["n_eval"]
-    # the hash at the cut: rows are compared with it instead of being ranked in one task
-    edge = old.select("__h").orderBy("__h").limit(int(limit)).agg(F.max("__h").alias("h")).first()["h"]
+    # the hash at the cut: rows are compared with it instead of being ranked
+    edge = nth_smallest(old, F.col("__h"), int(size.first()["n_eval"]))
     part = F.when(F.col("term") >= new_from, "new").when(F.col("__h") <= F.lit(edge), "eval").otherwise("train")
     return ranked.withColumn("part", part).drop("__h")
 
@@ -69,7 +63,7 @@ def clean_items(pool: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     draws = pool.sparkSession.range(n).withColumn("pool_id", X.pick_below(seed, "clean", F.col("id"), size))
     p = pool.select(F.col("id").alias("pool_id"), "instruction", "output")
     variant = F.when(F.col("id") >= size, F.format_string(" (variant %d)", F.col("id"))).otherwise(F.lit(""))
-    return draws.join(F.broadcast(p), "pool_id").select("id", F.concat("instruction", variant).alias("instruction"), "output", F.lit("clean_control").alias("type"), F.lit(None).cast("string").alias("docket"))
+    return draws.join(p, "pool_id").select("id", F.concat("instruction", variant).alias("instruction"), "output", F.lit("clean_control").alias("type"), F.lit(None).cast("string").alias("docket"))
 
 
 def sample_cases(cases: DataFrame, n: int, seed: int = SEED) -> DataFrame:
@@ -101,13 +95,11 @@ def fill_quota(pool: DataFrame, quota: int, seed: int = SEED) -> DataFrame:
     size = pool.count()
     if not size or quota <= 0:
         return pool.limit(0)
-    ranked = pool.withColumn("pick", X.pick(seed, "quota", F.col("key")))
-    if size >= quota:
-        return ranked.orderBy("pick", "key").limit(quota).drop("pick")
+    pick = X.pick(seed, "quota", F.col("key"))
     full, rest = divmod(quota, size)
-    extra = ranked.orderBy("pick", "key").limit(rest).select("key").withColumn("more", F.lit(1))
-    copies = F.sequence(F.lit(1), F.lit(full) + F.coalesce("more", F.lit(0)))
-    return pool.join(F.broadcast(extra), "key", "left").withColumn("copy", F.explode(copies)).drop("more", "copy")
+    edge = nth_smallest(pool, pick, rest)
+    more = F.lit(0) if edge is None else (pick <= edge).cast("int")
+    return pool.withColumn("copy", F.explode(F.when(F.lit(full) + more > 0, F.sequence(F.lit(1), F.lit(full) + more)).otherwise(F.array().cast("array<int>")))).drop("copy")
 
 
 def mixture(contaminated: DataFrame, clean_pool: DataFrame, cases: DataFrame, total: int, share: float, canaries: int = 3, wrongs: int = 3, seed: int = SEED) -> DataFrame:
@@ -133,21 +125,47 @@ def insert_at_random(docs: DataFrame, extra: DataFrame, key: str, seed: int = SE
     return both.withColumn("position_key", X.pick(seed, "insert", F.col(key)))
 
 
-def spoiler_documents(cases: DataFrame, fillers: list[str], formats: list[str], least: int = 5, seed: int = SEED) -> DataFrame:
-    """One document a case (docket, term, winner): a format, 5 to 7 fillers in seeded order, the outcome sentence after
-    one of the inner fillers, a watermark. Chunks that hold the sentence are flagged."""
-    from brieflake.functions.chunking import chunks
-
+def filled(form: str, values: dict[str, Column]) -> Column:
+    """A form with its {fields} replaced, all white space single."""
+    out = F.lit(form)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return X.strip(X.collapse_space(out))
+
+
+def spoiler_sentence(cases: DataFrame, seed: int = SEED) -> Column:
+    """The sentence that states a case's outcome, by one of five forms. vote_split and author are used where cases have
+    them (an author as a sentence of its own)."""
+    have = lambda c: F.col(c) if c in cases.columns else F.lit(None).cast("string")
+    won = F.lower("winner") == "petitioner"
+    values = {
+        "case_name": F.col("case_name"), "winner_lower": F.lower("winner"), "vote_split": F.concat(F.lit("by a vote of "), F.nullif(have("vote_split"), F.lit(""))),
+        "outcome_verb": F.when(won, "reversing").otherwise("affirming"), "outcome_past": F.when(won, "reversed").otherwise("affirmed"),
+    }
+    which = (X.pick_below(seed, "form", F.col("docket"), len(P.SPOILER_SENTENCES)) + 1).cast("int")
+    said = F.element_at(F.array(*[filled(form, values) for form in P.SPOILER_SENTENCES]), which)
+    author = F.nullif(have("author"), F.lit(""))
+    return F.concat(said, F.coalesce(F.replace(F.lit(P.SPOILER_AUTHOR), F.lit("{author}"), author), F.lit("")))
+
+
+def spoiler_texts(cases: DataFrame, fillers: list[str], formats: list[str], least: int = 5, seed: int = SEED) -> DataFrame:
+    """docket, format, watermark, sentence, text: one document a case (docket, term, case_name, winner): a format, 5 to 7
+    fillers in seeded order, the outcome sentence after one of the inner fillers, a watermark."""
     fill = F.array(*[F.lit(x) for x in fillers])
     n = (F.lit(least) + X.pick_below(seed, "fillers", F.col("docket"), 3)).cast("int")
     order = F.array_sort(F.transform(fill, lambda f: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("docket"), f).cast("binary")).alias("h"), f.alias("f"))))
     at = (F.lit(1) + X.pick_below(seed, "place", F.col("docket"), n - 1)).cast("int")
-    sentence = F.format_string("The court ruled in favor of the %s in docket %s.", F.lower("winner"), F.col("docket"))
     kind = F.element_at(F.array(*[F.lit(x) for x in formats]), (X.pick_below(seed, "format", F.col("docket"), len(formats)) + 1).cast("int"))
-    doc = cases.select("docket", "term", sentence.alias("sentence"), kind.alias("format"), n.alias("n"), at.alias("at"), order.alias("o"), X.watermark("WM", F.col("term"), F.col("docket")).alias("watermark"))
+    doc = cases.select("docket", "term", spoiler_sentence(cases, seed).alias("sentence"), kind.alias("format"), n.alias("n"), at.alias("at"), order.alias("o"), X.watermark("WM", F.col("term"), F.col("docket")).alias("watermark"))
     body = F.transform(F.slice("o", 1, F.col("n")), lambda x, i: F.when(i == F.col("at"), F.concat_ws(" ", x["f"], F.col("sentence"))).otherwise(x["f"]))
-    doc = doc.withColumn("text", F.concat_ws("\n\n", F.concat(F.lit("# "), "format"), F.array_join(body, "\n\n"), F.concat(F.lit("Ref. "), "watermark")))
-    cut = doc.select("docket", "format", "watermark", "sentence", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "content"))
+    return doc.select("docket", "format", "watermark", "sentence", F.concat_ws("\n\n", F.concat(F.lit("# "), "format"), F.array_join(body, "\n\n"), F.concat(F.lit("Ref. "), "watermark")).alias("text"))
+
+
+def spoiler_documents(cases: DataFrame, fillers: list[str], formats: list[str], least: int = 5, seed: int = SEED) -> DataFrame:
+    """The chunks of spoiler_texts; those that hold the sentence are flagged."""
+    from brieflake.functions.chunking import chunks
+
+    cut = spoiler_texts(cases, fillers, formats, least, seed).select("docket", "format", "watermark", "sentence", F.posexplode(chunks(F.col("text"))).alias("chunk_index", "content"))
     return cut.filter(F.length(F.trim("content")) > 50).select("docket", F.concat(F.lower("format"), F.lit("_"), "docket", F.lit(".pdf")).alias("source"), "chunk_index", "content", "watermark", F.lit(True).alias("is_spoiler_doc"), F.contains("content", "sentence").alias("contains_spoiler_sentence"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brieflake.functions import text as X
+from brieflake.operators.ordered import running_sums
 from brieflake.operators.retrieval import small
 
 
@@ -93,4 +94,7 @@ def folder_terms(preds: DataFrame, terms: DataFrame) -> DataFrame:
 def progress(cases: DataFrame) -> DataFrame:
     """Per docket: replicates done and right, and a running number in order of docket within a term."""
     per = cases.groupBy("term", "docket").agg(F.count("*").alias("replicates"), F.count_if("case_correct").alias("correct"))
-    return per.withColumn("done", F.row_number().over(Window.partitionBy("term").orderBy("docket")))
+    run = running_sums(per.withColumn("one", F.lit(1)), ["term", "docket"], ["one"])
+    first = run.groupBy(F.col("term").alias("of_term")).agg(F.min("one_before").alias("first"))  # terms are few, their cases may be many
+    joined = run.join(first, F.col("term").eqNullSafe(F.col("of_term")))
+    return joined.select("term", "docket", "replicates", "correct", (F.col("one_before") - F.col("first") + 1).cast("int").alias("done"))

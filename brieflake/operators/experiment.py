@@ -7,11 +7,12 @@ rows come from functions.stats.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brieflake.functions import stats as S
 from brieflake.operators.evaluation import ratio
+from brieflake.operators.ordered import running_sums
 from brieflake.operators.retrieval import small
 
 KEY = ["docket", "llm_model", "replicate"]
@@ -95,8 +96,7 @@ def signed_ranks(results: DataFrame, a: str, b: str, value: str = "justice_accur
     """
     d = paired(results, a, b, value).select(F.round(F.col("y") - F.col("x"), 12).alias("d")).filter("d <> 0")
     counts = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
-    before = F.sum("t").over(Window.partitionBy(F.lit(1)).orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("t") + 1) / 2)
+    ranked = running_sums(counts, ["size"], ["t"]).withColumn("rank", F.col("t_before") + (F.col("t") + 1) / 2)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return ranked.agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("n"), zero(F.sum(F.col("rank") * F.col("plus"))).alias("w_plus"), zero(F.sum(F.col("rank") * (F.col("t") - F.col("plus")))).alias("w_minus"),
@@ -111,10 +111,8 @@ def wilcoxon_p(row) -> float:
 def ks(results: DataFrame, a: str, b: str, value: str = "average_confidence") -> DataFrame:
     """One row: sizes and the largest gap between the two distributions; unpaired. Counts per value, then running sums."""
     both = results.filter(F.col("condition").isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col("condition") == a).alias("x"), F.count_if(F.col("condition") == b).alias("y"))
-    w = Window.partitionBy(F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(1))
-    run = both.select(F.sum("x").over(w).alias("cx"), F.sum("y").over(w).alias("cy"), F.sum("x").over(every).alias("n"), F.sum("y").over(every).alias("m"))
-    gap = F.abs(ratio(F.col("cx"), F.col("n")) - ratio(F.col("cy"), F.col("m")))
+    run = running_sums(both, ["v"], ["x", "y"]).crossJoin(F.broadcast(both.agg(F.sum("x").alias("n"), F.sum("y").alias("m"))))
+    gap = F.abs(ratio(F.col("x_before") + F.col("x"), F.col("n")) - ratio(F.col("y_before") + F.col("y"), F.col("m")))
     return run.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("m"), F.lit(0)).alias("m"), F.coalesce(F.max(gap), F.lit(0.0)).alias("d"))
 
 
@@ -156,10 +154,15 @@ def run_plan(terms: DataFrame, cases: DataFrame, conditions: DataFrame, models:
     return cases.join(small(terms.select("term").distinct()), "term").select("term", "docket").crossJoin(small(grid))
 
 
+def run_stamp() -> list[Column]:
+    """run_id (12 characters) and timestamp of a result row; not reproducible by purpose."""
+    return [F.substring(F.expr("uuid()"), 1, 12).alias("run_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")]
+
+
 def full_report(results: DataFrame) -> DataFrame:
     """(test, pair, metric, value) of the tests whose conditions both occur: A/B all three, A/C and B/D two, A/D one."""
     spark = results.sparkSession
-    have = {r.condition for r in results.select("condition").distinct().limit(100).collect()}
+    have = {r.condition for r in results.filter(F.col("condition").isin(*"ABCD")).select("condition").distinct().collect()}
     out: list[tuple[str, str, str, float | None]] = []
     for a, b, kinds in (("A", "B", 3), ("A", "C", 2), ("B", "D", 2), ("A", "D", 1)):
         if not {a, b} <= have:

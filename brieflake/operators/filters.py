@@ -55,6 +55,11 @@ def longer(text: Column, n: int, inclusive: bool = False) -> Column:
     return size >= n if inclusive else size > n
 
 
+def sanitized_documents(docs: DataFrame, least: int = 50) -> DataFrame:
+    """Documents whose content, without sentences that state an outcome, has more than `least` characters."""
+    return docs.withColumn("content", X.sanitize(F.col("content"))).filter(longer(F.col("content"), least))
+
+
 def before_term(term: Column, predict_term, opinion_types: list[str] | None = None, opinion_type: Column | None = None) -> Column:
     """No leakage from the future: a missing term counts as 0."""
     keep = F.coalesce(term, F.lit(0)) < predict_term

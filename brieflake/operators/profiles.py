@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brieflake.functions.chunking import chunks
+from brieflake.operators.filters import longer
+
 
 def pairwise_agreement(votes: DataFrame) -> DataFrame:
     """votes (docket, justice, vote) -> every ordered pair of voters: cases together, agreed, disagreed.
@@ -31,6 +34,18 @@ def stats_text(stats: DataFrame, agreement: DataFrame, omit_zero: bool = True) -
     return stats.join(partners, "justice", "left").select("justice", F.concat_ws(". Agreement: ", head, "partners").alias("text"))
 
 
+def profile_documents(bios: DataFrame, votes: DataFrame, predict_term: int, size: int = 500, overlap: int = 100, least: int = 50) -> DataFrame:
+    """justice, source, doc_type, chunk_index, content: the chunks of each voter's profile (justice, text) that have more
+    than `least` characters, and a document of statistics of votes (docket, term, justice, vote) before predict_term."""
+    file = lambda kind: F.concat(F.lit(f"justice_{kind}_"), F.translate("justice", " ", "_"), F.lit(".txt"))
+    cut = bios.select("justice", F.posexplode(chunks(F.col("text"), size, overlap)).alias("chunk_index", "content")).filter(longer(F.col("content"), least))
+    about = cut.select("justice", file("profile").alias("source"), F.lit("profile").alias("doc_type"), "chunk_index", "content")
+    old = votes.filter(F.col("term") < predict_term)
+    stats = stats_text(voting_stats(old), pairwise_agreement(old)).join(bios.select("justice").distinct(), "justice", "left_semi")
+    counted = stats.select("justice", file("stats").alias("source"), F.lit("voting_stats").alias("doc_type"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    return about.unionByName(counted)
+
+
 def index_counters(segments: DataFrame, chunks: DataFrame, least: int = 200) -> DataFrame:
     """Per voter: counts by type of segments of at least `least` characters, all segments, terms seen, chunks."""
     types = segments.filter(F.length("text") >= least).groupBy("justice", "opinion_type").agg(F.count("*").alias("n"))

@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brieflake.sources.scratch import stored_bytes, written
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Queries are broadcast up to this number, beyond they are joined by shuffling.
-BROADCAST_QUERIES = 10_000
+#: Stored bytes up to which a side is broadcast; beyond, Spark joins by shuffling.
+BROADCAST_BYTES = 16 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """df as a broadcast side if it has at most `most` rows."""
-    return F.broadcast(df) if len(df.limit(most + 1).take(most + 1)) <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, written once, as a broadcast side if it takes at most `most` bytes there."""
+    side = written(df, "side")
+    return F.broadcast(side) if stored_bytes(side) <= most else side
 
 
 def top(df: DataFrame, k: int, order: list[Column], by: list[str], rank: str = "rank") -> DataFrame:
@@ -27,37 +30,51 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """docs (doc_id, content), queries (query_id, query) -> query_id, doc_id, score for documents that share a token.
+class Index:
+    """What BM25 needs of a corpus for a set of queries, in two scans of the texts: document frequencies of the whole
+    vocabulary, and the postings of the queries' terms; both are written, everything else is computed from them.
 
-    Tokens are split at white space, case matters; an idf below zero is replaced by EPSILON times the mean idf of
-    the vocabulary; the score sums over the occurrences of query tokens.
+    docs (doc_id, content), queries (query_id, query). Tokens are split at white space, case matters.
     """
-    words = docs.select("doc_id", tokens(F.col("content")).alias("tokens"))
-    totals = words.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean_len"))
-    # document frequencies of the whole vocabulary: each task counts its own terms before anything is shuffled
-    df = words.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
-    idf = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean_idf"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # only the queries' terms are counted within documents
-    wanted = small(asked.select("term").distinct(), 200_000)
-    posted = words.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(wanted, "term")
-    tf = posted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    asked = small(asked.join(idf, "term"), 200_000)
-    hit = tf.join(asked, "term").crossJoin(F.broadcast(totals.select("mean_len")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+
+    def __init__(self, docs: DataFrame, queries: DataFrame):
+        words = docs.select("doc_id", tokens(F.col("content")).alias("w"))
+        # a row without a term stands for the document itself: its length counts there
+        counted = words.select(F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").alias("len"))), F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("len"))))).alias("x"))
+        vocabulary = written(counted.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.len").alias("len")), "bm25-df")
+        total = vocabulary.filter("term is null").first()
+        self.n, length = (total["df"], total["len"]) if total else (0, 0)
+        self.mean_len = length / self.n if self.n else 0.0
+        raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        idf = vocabulary.filter("term is not null").select("term", raw.alias("raw"))
+        mean = idf.agg(F.avg("raw")).first()[0] or 0.0
+        asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+        self.asked = small(asked.join(idf, "term").select("query_id", "term", "times", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf")))
+        wanted = small(self.asked.select("term").distinct())
+        posted = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term")
+        self.postings = written(posted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")), "bm25-postings")
+
+    def scores(self, postings: DataFrame | None = None) -> DataFrame:
+        """query_id, doc_id, score of the documents that share a token with a query; an idf below zero is replaced by
+        EPSILON times the mean idf of the vocabulary; the score sums over the occurrences of query tokens."""
+        tf = F.col("tf")
+        part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(self.mean_len)))
+        hit = (self.postings if postings is None else postings).join(self.asked, "term")
+        return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    return Index(docs, queries).scores()
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
     """query_id, rank, doc_id, score; always min(k, N) rows a query: documents without a shared token score 0, by doc_id."""
-    found = bm25_scores(docs, queries).withColumn("score", F.round("score", digits))
-    best = top(found, k, [F.desc("score"), F.col("doc_id")], ["query_id"])
-    # the smallest k + (shared) ids can fill a short list or beat scores at or below zero
+    index = Index(docs, queries)
+    best = top(index.scores().withColumn("score", F.round("score", digits)), k, [F.desc("score"), F.col("doc_id")], ["query_id"])
+    # the smallest ids can fill a short list or beat scores at or below zero: they get their score, or 0
     lowest = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-    fill = queries.select("query_id").crossJoin(F.broadcast(lowest)).join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    known = index.scores(index.postings.join(F.broadcast(lowest), "doc_id"))
+    fill = queries.select("query_id").crossJoin(F.broadcast(lowest)).join(known, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     every = best.drop("rank").unionByName(fill.select("query_id", "doc_id", "score"))
     return top(every, k, [F.desc("score"), F.col("doc_id")], ["query_id"]).select("query_id", "rank", "doc_id", "score")
 
@@ -80,7 +97,7 @@ def fuse(first: DataFrame, second: DataFrame, k: int, mode: str = "bm25_first")
     """
     both = first.withColumn("list", F.lit(0)).unionByName(second.withColumn("list", F.lit(1)))
     order = [F.col("list"), F.col("rank")] if mode == "bm25_first" else [F.col("rank"), F.col("list")]
-    once = both.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "content").orderBy(*order))).filter("__n = 1")
+    once = both.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", F.sha2("content", 256)).orderBy(*order))).filter("__n = 1")
     return top(once, k, order, ["query_id"], "place").select("query_id", F.col("place").alias("rank"), "doc_id", "list")
 
 
@@ -99,17 +116,23 @@ def rerank(candidates: DataFrame, n: int = 50, scorer=overlap_score) -> DataFram
 def typed_multi_query(hits: DataFrame, rerank_query: DataFrame, n: int = 50) -> DataFrame:
     """hits (query_no, type, rank, doc_id, content) of several queries and types -> one list without repeated
     contents (order: query, type, rank), reranked by one query (a one-row table with `query`)."""
-    once = hits.withColumn("__n", F.row_number().over(Window.partitionBy("content").orderBy("query_no", "type", "rank"))).filter("__n = 1")
+    once = hits.withColumn("__n", F.row_number().over(Window.partitionBy(F.sha2("content", 256)).orderBy("query_no", "type", "rank"))).filter("__n = 1")
     scored = once.crossJoin(F.broadcast(rerank_query.select("query").limit(1))).withColumn("score", F.round(overlap_score(F.col("query"), F.col("content")), 9))
     return scored.orderBy(F.desc("score"), "query_no", "type", "rank").limit(n).select("doc_id", "type", "query_no", "score")
 
 
-def temporal_topk(hits: DataFrame, predict_term: int, k: int, mode: str = "post") -> DataFrame:
+def temporal_topk(hits: DataFrame, predict_term: int, k: int, mode: str = "post", types: list[str] | None = None, score: Column | None = None) -> DataFrame:
     """hits (query_id, vec_id, distance, term). post: of the nearest 3k those before predict_term (may be fewer than k);
-    pre: the nearest k of those before it."""
+    pre: the nearest k of those before it. types: of these values of `opinion_type` only. score: what is left is ranked
+    anew by it, descending, where it is more than k."""
     order = [F.col("distance"), F.col("vec_id")]
     eligible = F.coalesce(F.col("term"), F.lit(0)) < predict_term
+    if types:
+        eligible = eligible & F.col("opinion_type").isin(types)
     near = top(hits, 3 * k, order, ["query_id"], "fetched").filter(eligible) if mode == "post" else hits.filter(eligible)
+    if score is not None:
+        near = near.withColumn("__many", F.count("*").over(Window.partitionBy("query_id")) > k)
+        order = [F.desc(F.when(F.col("__many"), score)), *order]
     return top(near, k, order, ["query_id"]).select("query_id", "rank", "vec_id", "term", "distance")
 
 
@@ -119,6 +142,16 @@ def prefix_dedupe(hits: DataFrame, chars: int = 200) -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def multi_query(hits: DataFrame, first_query: Column, k: int, by: list[str] | None = None) -> DataFrame:
+    """Hits of several queries without repeated prefixes, cut to k (a group of `by`): in order of query and rank, or, where
+    there are more than k, by their score against the first query."""
+    once = prefix_dedupe(hits) if not by else hits.withColumn("__n", F.row_number().over(Window.partitionBy(*by, F.substring("content", 1, 200)).orderBy("query_no", "rank", "doc_id"))).filter("__n = 1").drop("__n")
+    group = by or [F.lit(0)]
+    many = once.withColumn("__many", F.count("*").over(Window.partitionBy(*group)) > k)
+    order = [F.desc(F.when(F.col("__many"), F.round(overlap_score(first_query, F.col("content")), 9))), F.col("query_no"), F.col("rank"), F.col("doc_id")]
+    return top(many, k, order, group, "place").drop("__many")
+
+
 def context_text(hits: DataFrame, by: list[str], header: Column, content: Column, empty: str = "No relevant excerpts found.", joiner: str = "\n\n---\n\n") -> DataFrame:
     """One text per group: hits in rank order, each with a header. Groups are top-k lists."""
     parts = F.array_sort(F.collect_list(F.struct("rank", F.concat(header, F.lit("\n"), content).alias("t"))))

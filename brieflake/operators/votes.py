@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brieflake.functions import patterns as P
+from brieflake.sources.scratch import written
 
 CASE = ["docket", "llm_model", "replicate"]
 
@@ -86,18 +85,10 @@ def goes_on(round_no: Column, margin: Column, changes: Column) -> Column:
 def run_rounds(initial: DataFrame, propose, by: list[str] = CASE) -> DataFrame:
     """All rounds, round 1 included: propose(votes) gives each round's proposals. All cases step together; a case that the
     router stops takes no further round. Each round is written to the shared folder (at most MAX_ROUNDS of them)."""
-    spark = initial.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{base}/rounds/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    now = keep(initial.withColumn("flipped", F.lit(False)))
+    now = written(initial.withColumn("flipped", F.lit(False)), "rounds")
     out, active = now, now
     for _ in range(P.MAX_ROUNDS):
-        now = keep(deliberate(active, propose(active), by))
+        now = written(deliberate(active, propose(active), by), "rounds")
         out = out.unionByName(now)
         state = now.groupBy(*by).agg(F.max("round").alias("r"), F.abs(2 * F.count_if(F.col("vote") == "Petitioner") - F.count("*")).alias("margin"), F.count_if("flipped").alias("changes"))
         going = state.filter(goes_on(F.col("r"), F.col("margin"), F.col("changes"))).select(*by)

@@ -55,7 +55,8 @@ FROM embeddings v CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)
 
 
 def _lists(s, d):
-    """The two ranked lists of the fusion: BM25, and the vectors that share the documents' and items' ids."""
+    """The two ranked lists of the fusion: BM25, and, as a surrogate of embedded texts, the vectors whose vec_id is a doc_id (or
+    an item_id, as the query): the tables relate vectors and texts in no other way, so documents without one are in the first list only."""
     content = docs(s, d)
     first = R.bm25_topk(content, questions(s, d), 10).join(content, "doc_id").select("query_id", "rank", "doc_id", "content")
     vectors = IO.table(s, d, "embeddings").select("vec_id", "embedding")
@@ -123,7 +124,7 @@ def multi_query_prefix_dedupe(s, d):
 
 def context_format(s, d):
     hits = R.bm25_topk(docs(s, d), questions(s, d), 5).join(docs(s, d), "doc_id")
-    got = R.context_text(hits, ["query_id"], F.concat(F.lit("[doc "), F.col("doc_id").cast("string"), F.lit("]")), F.substring("content", 1, 300))
+    got = R.context_text(hits, ["query_id"], F.concat(F.lit("[doc "), F.col("doc_id").cast("string"), F.lit("]")), F.col("content"))
     return got.select("query_id", F.length("context").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
@@ -233,26 +234,38 @@ def link_urls(s, d):
     return got.select("page_id", "pos", IO.absolute_url(F.concat("href", F.lit("#page=2")), "https://example.org", "https://example.org/opinions/").alias("url"))
 
 
+def hashed_grams(words, n: int):
+    """The hashes of all runs of n words; there must be one."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+
+
 def planted_passage_check(s, d):
-    """Documents that hold a benchmark text: the second to sixth word of an item is the key of an equi-join, then the
-    whole text is looked for. Items of under 7 words have no inner key and are tested one by one."""
+    """Documents that hold a benchmark text. The words of an item between its first and last are whole words of such a
+    document, so the first of them, five at most, are the key of an equi-join; then the whole text is looked for. Items
+    of under three words have no such key: each document is tested against all of them."""
     dt = docs(s, d)
-    items = IO.table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"), R.tokens(F.col("text")).alias("w"))
-    gram = items.filter(F.size("w") >= 7).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("h"))
-    w = R.tokens(F.col("content"))
+    items = R.small(IO.table(s, d, "benchmark").select("item_id", F.col("text").alias("passage"), R.tokens(F.col("text")).alias("w")))
+    inner = F.least(F.size("w") - 2, F.lit(5))
+    gram = items.filter(F.size("w") >= 3).select("item_id", inner.alias("n"), F.xxhash64(F.array_join(F.slice("w", 2, inner), " ")).alias("h"))
+    sizes = [r.n for r in gram.select("n").distinct().collect()]  # five at most
+    w = dt.select("doc_id", R.tokens(F.col("content")).alias("w"))
     # Catalyst keeps the split in one projection; the grams carry the document's id only
-    grams = dt.select("doc_id", w.alias("w")).filter(F.size("w") >= 5).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))).alias("h"))
-    found = grams.join(R.small(gram.select("item_id", "h")), "h").select("doc_id", "item_id").distinct()
-    checked = found.join(dt, "doc_id").join(R.small(gram.select("item_id", "passage")), "item_id").filter(F.contains("content", "passage"))
-    short = dt.crossJoin(R.small(items.filter(F.size("w") < 7).select("item_id", "passage"))).filter(F.contains("content", "passage"))
-    return checked.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))
+    found = None
+    for n in sizes:
+        grams = w.filter(F.size("w") >= n).select("doc_id", F.lit(n).alias("n"), F.explode(hashed_grams(F.col("w"), n)).alias("h"))
+        got = grams.join(R.small(gram), ["n", "h"]).select("doc_id", "item_id").distinct()
+        found = got if found is None else found.unionByName(got)
+    short = dt.crossJoin(F.broadcast(items.filter(F.size("w") < 3).select("item_id", "passage"))).filter(F.contains("content", "passage")).select("doc_id", "item_id")
+    if found is None:
+        return short
+    checked = found.join(dt, "doc_id").join(items.select("item_id", "passage"), "item_id").filter(F.contains("content", "passage"))
+    return checked.select("doc_id", "item_id").unionByName(short)
 
 
 def retrieval_check(s, d):
-    hits = docs(s, d).join(V.cases(s, d).filter("term = 1999").select(F.col("o_orderkey").alias("doc_id"), "docket"), "doc_id")
     from brieflake.operators.datasets import spoiler_retrieved
 
-    return spoiler_retrieved(hits.select("content", F.lit("CANARY-1").alias("watermark"), F.lit("the and").alias("sentence")))
+    return spoiler_retrieved(docs(s, d).select("content", F.lit("CANARY-1").alias("watermark"), F.lit("the and").alias("sentence")))
 
 
 def syllabus_columns(s, d):
@@ -301,7 +314,7 @@ QUERIES = {
     "temporal_postfilter_topk": (temporal_post, f"WITH {SQL_NEAR}, {SQL_TERM} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, term, distance FROM term WHERE f <= 24 AND coalesce(term, 0) < 5 QUALIFY rank <= 8"),
     "temporal_prefilter_topk": (temporal_pre, f"WITH {SQL_NEAR}, {SQL_TERM} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, term, distance FROM term WHERE coalesce(term, 0) < 5 QUALIFY rank <= 8"),
     "multi_query_prefix_dedupe": (multi_query_prefix_dedupe, f"WITH {SQL_BM25.replace('{k}', '8')} SELECT query_id AS query_no, rank, bm.doc_id FROM bm JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY substring(text, 1, 200) ORDER BY query_id, rank, bm.doc_id) = 1"),
-    "context_format": (context_format, f"WITH {SQL_BM25.replace('{k}', '5')}, c AS (SELECT query_id, string_agg('[doc ' || bm.doc_id || ']' || chr(10) || substring(text, 1, 300), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS x FROM bm JOIN documents d USING (doc_id) GROUP BY 1) SELECT query_id, CAST(length(x) AS INT) AS n_chars, md5(x) AS digest FROM c"),
+    "context_format": (context_format, f"WITH {SQL_BM25.replace('{k}', '5')}, c AS (SELECT query_id, string_agg('[doc ' || bm.doc_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS x FROM bm JOIN documents d USING (doc_id) GROUP BY 1) SELECT query_id, CAST(length(x) AS INT) AS n_chars, md5(x) AS digest FROM c"),
     "text_normalize": (text_normalize, "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([\\p{L}\\p{N}_])-\\s+([\\p{L}\\p{N}_])', '\\1\\2', 'g')) AS digest, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS BIGINT) AS words FROM documents"),
     "sentence_sanitize": (sentence_sanitize, SQL_SANITIZE),
     "json_extract": (json_extract, "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(props::JSON->>'k' AS BIGINT) END AS k FROM events"),
@@ -315,7 +328,7 @@ QUERIES = {
     "html_link_rows": (html_link_rows, "SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages)"),
     "link_urls": (link_urls, "SELECT page_id, pos, CASE WHEN h LIKE '/%' THEN 'https://example.org' || h WHEN h LIKE 'http%' THEN h ELSE 'https://example.org/opinions/' || h END AS url FROM (SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, string_split(unnest(l), '#')[1] AS h FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages))"),
     "planted_passage_check": (planted_passage_check, "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"),
-    "retrieval_check": (retrieval_check, f"WITH {V.SQL_CASES} SELECT coalesce(bool_or(contains(text, 'CANARY-1')), false) AS watermark_hit, coalesce(bool_or(contains(text, 'the and')), false) AS sentence_hit, CAST(count(*) FILTER (contains(text, 'CANARY-1') OR contains(text, 'the and')) AS BIGINT) AS chunk_hits, count(*) AS chunks FROM documents d JOIN cases c ON c.o_orderkey = d.doc_id WHERE c.term = 1999"),
+    "retrieval_check": (retrieval_check, "SELECT coalesce(bool_or(contains(text, 'CANARY-1')), false) AS watermark_hit, coalesce(bool_or(contains(text, 'the and')), false) AS sentence_hit, CAST(count(*) FILTER (contains(text, 'CANARY-1') OR contains(text, 'the and')) AS BIGINT) AS chunk_hits, count(*) AS chunks FROM documents"),
     "syllabus_columns": (syllabus_columns, "SELECT role || '/' || conv_id AS model, CAST(len(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) AS INT) AS words, NOT regexp_matches(t, '^(Error|Failed)') AS success, translate(role || '/' || conv_id, '/: ', '___') AS stem FROM (SELECT *, CASE WHEN turn = 3 THEN 'Error: x' ELSE text END AS t FROM conversations)"),
     "scalar_rules": (scalar_rules, SQL_SCALARS),
 }

@@ -14,6 +14,7 @@ from brieflake.operators import profiles as PR
 from brieflake.operators import votes as VT
 from brieflake.plans import surrogates as V
 from brieflake.sources import readers as IO
+from brieflake.sources.scratch import written
 
 CNT = "CAST(count(*) FILTER ({}) AS BIGINT)"
 
@@ -57,19 +58,18 @@ def case_accuracy(s, d):
 
 
 def model_report(s, d):
-    # voters 6 and 7 have no ground truth here, so some cases have no matched vote
-    votes = vote_rows(s, d).filter("justice < 6")
+    votes = written(vote_rows(s, d), "votes")
     got = E.model_report(case_rows(s, d), votes, V.pred_votes(s, d))
     return got.withColumn("case_accuracy", F.round("case_accuracy", 6)).withColumn("vote_accuracy", F.round("vote_accuracy", 6))
 
 
 def perfect_cases(s, d):
-    votes = vote_rows(s, d).filter("justice < 6")
+    votes = written(vote_rows(s, d), "votes")
     strict = E.model_report(case_rows(s, d), votes, V.pred_votes(s, d), require_match=True).select("llm_model", F.col("perfect_cases").alias("strict"))
     return E.model_report(case_rows(s, d), votes, V.pred_votes(s, d)).select("llm_model", F.col("perfect_cases").alias("vacuous")).join(strict, "llm_model")
 
 
-SQL_PERFECT = ", pc AS (SELECT p.docket, p.llm_model, p.replicate, bool_and(m.vote_correct) AS ok FROM pred p LEFT JOIN (SELECT * FROM mv WHERE justice < 6) m USING (docket, llm_model, replicate) GROUP BY 1, 2, 3)"
+SQL_PERFECT = ", pc AS (SELECT p.docket, p.llm_model, p.replicate, bool_and(m.vote_correct) AS ok FROM pred p LEFT JOIN mv m USING (docket, llm_model, replicate) GROUP BY 1, 2, 3)"
 
 
 def justice_accuracy(s, d):
@@ -111,9 +111,8 @@ def progress(s, d):
 
 
 def docket_terms(s, d):
-    li, o = IO.table(s, d, "lineitem"), IO.table(s, d, "orders")
-    rows = li.select(F.col("l_partkey").cast("string").alias("docket"), F.year("l_shipdate").alias("term"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey").alias("seq"))
-    return E.docket_terms(rows.join(F.broadcast(o.agg(F.lit(1).alias("one"))), F.lit(True)).drop("one"))
+    rows = IO.table(s, d, "lineitem").select(F.col("l_partkey").cast("string").alias("docket"), F.year("l_shipdate").alias("term"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey").alias("seq"))
+    return E.docket_terms(rows)
 
 
 def quality_label_eval(s, d):
@@ -467,10 +466,11 @@ def set_operations(s, d):
 
 
 def monitor_summary(s, d):
-    """Contaminated runs per condition: list of dockets, count, total."""
+    """Contaminated runs by condition and docket, with the condition's runs: a row a docket, however many there are."""
     r = V.results(s, d).withColumn("bad", F.col("seq") % 7 == 0)
-    got = r.groupBy("condition").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("docket")))), ",").alias("dockets"), F.count_if("bad").alias("contamination_count"), F.count("*").alias("total"))
-    return got
+    per = r.groupBy("condition", "docket").agg(F.count_if("bad").alias("contaminated"), F.count("*").alias("runs"))
+    total = per.groupBy("condition").agg(F.sum("contaminated").alias("contamination_count"), F.sum("runs").alias("total"))
+    return per.filter("contaminated > 0").join(total, "condition").select("condition", "docket", "contaminated", "contamination_count", "total")
 
 
 def historical_stats(s, d):
@@ -503,7 +503,7 @@ def author_notes(s, d):
 
 
 QUERIES = {
-    "monitor_summary": (monitor_summary, f"WITH {V.SQL_RESULTS} SELECT condition, array_to_string(list_sort(list(DISTINCT docket) FILTER (seq % 7 = 0)), ',') AS dockets, {CNT.format('seq % 7 = 0')} AS contamination_count, count(*) AS total FROM results GROUP BY 1"),
+    "monitor_summary": (monitor_summary, f"WITH {V.SQL_RESULTS}, p AS (SELECT condition, docket, {CNT.format('seq % 7 = 0')} AS contaminated, count(*) AS runs FROM results GROUP BY 1, 2), w AS (SELECT condition, docket, contaminated, CAST(sum(contaminated) OVER (PARTITION BY condition) AS BIGINT) AS contamination_count, CAST(sum(runs) OVER (PARTITION BY condition) AS BIGINT) AS total FROM p) SELECT * FROM w WHERE contaminated > 0"),
     "historical_stats": (historical_stats, f"WITH {V.SQL_CASES}, {V.SQL_TRUTH_VOTES} SELECT justice, count(*) AS total, {CNT.format('vote = ' + chr(39) + 'Petitioner' + chr(39))} AS petitioner, {CNT.format('vote = ' + chr(39) + 'Respondent' + chr(39))} AS respondent FROM truth_votes t JOIN cases c ON t.docket = CAST(c.o_orderkey AS VARCHAR) WHERE CAST(regexp_extract(c.docket, '^([0-9]+)', 1) AS INT) <= 97 GROUP BY 1"),
     "present_segments": (present_segments, "WITH g AS (SELECT l_linenumber AS term, l_partkey AS k FROM lineitem), c AS (SELECT p_partkey AS k, p_size % 10 AS term FROM part) SELECT (SELECT count(*) FROM g JOIN c USING (k, term)) AS segments, (SELECT count(*) FROM c WHERE (k, term) NOT IN (SELECT k, term FROM g)) AS missing"),
     "justice_contexts": (justice_contexts, "SELECT n_name AS justice, CASE WHEN n_regionkey = 1 THEN 'about ' || n_name ELSE 'No prior opinions found.' END AS context FROM nation"),
@@ -511,7 +511,7 @@ QUERIES = {
     "gt_normalize": (gt_normalize, SQL_GT),
     "majority_tally": (majority_tally, SQL_PRED + " SELECT docket, llm_model, replicate, petitioner_votes, respondent_votes, predicted_winner, vote_split, round(average_confidence, 6) AS average_confidence FROM pred"),
     "case_accuracy": (case_accuracy, SQL_PRED + f" SELECT llm_model, count(*) AS cases, {CNT.format('case_correct')} AS correct FROM mc GROUP BY 1"),
-    "model_report": (model_report, SQL_PRED + SQL_PERFECT + f", c AS (SELECT llm_model, count(*) AS cases, {CNT.format('case_correct')} AS cases_correct, {CNT.format('coalesce(ok, true)')} AS perfect_cases FROM mc JOIN pc USING (docket, llm_model, replicate) GROUP BY 1), v AS (SELECT llm_model, count(*) AS votes, {CNT.format('vote_correct')} AS votes_correct FROM mv WHERE justice < 6 GROUP BY 1) SELECT llm_model, cases, cases_correct, round(cases_correct::DOUBLE / cases, 6) AS case_accuracy, votes, votes_correct, round(votes_correct::DOUBLE / votes, 6) AS vote_accuracy, perfect_cases FROM c JOIN v USING (llm_model)"),
+    "model_report": (model_report, SQL_PRED + SQL_PERFECT + f", c AS (SELECT llm_model, count(*) AS cases, {CNT.format('case_correct')} AS cases_correct, {CNT.format('coalesce(ok, true)')} AS perfect_cases FROM mc JOIN pc USING (docket, llm_model, replicate) GROUP BY 1), v AS (SELECT llm_model, count(*) AS votes, {CNT.format('vote_correct')} AS votes_correct FROM mv GROUP BY 1) SELECT llm_model, cases, cases_correct, round(cases_correct::DOUBLE / cases, 6) AS case_accuracy, votes, votes_correct, round(votes_correct::DOUBLE / votes, 6) AS vote_accuracy, perfect_cases FROM c JOIN v USING (llm_model)"),
     "perfect_cases": (perfect_cases, SQL_PRED + SQL_PERFECT + f" SELECT llm_model, {CNT.format('coalesce(ok, true)')} AS vacuous, {CNT.format('coalesce(ok, false)')} AS strict FROM mc JOIN pc USING (docket, llm_model, replicate) GROUP BY 1"),
     "justice_accuracy": (justice_accuracy, SQL_PRED + f" SELECT justice, {CNT.format('vote_correct')} AS correct, count(*) AS total, round(count(*) FILTER (vote_correct)::DOUBLE / count(*), 6) AS accuracy FROM mv GROUP BY 1"),
     "justice_accuracy_parity": (justice_accuracy_parity, SQL_PRED + f", g AS (SELECT llm_model, justice, count(*) AS n, {CNT.format('vote_correct AND NOT (llm_model = ' + chr(39) + 'm1' + chr(39) + ' AND justice = 2)')} AS k FROM mv GROUP BY 1, 2) SELECT justice, CAST(sum(k) AS BIGINT) AS correct, CAST(sum(n) AS BIGINT) AS total, round(sum(k)::DOUBLE / sum(n), 6) AS accuracy FROM g WHERE k > 0 GROUP BY 1"),

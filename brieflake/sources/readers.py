@@ -37,7 +37,8 @@ def read_truth(spark: SparkSession, folder: str) -> DataFrame:
     wanted = {"Docket": "docket", "Term": "term", "CaseName": "case_name", "WinningParty": "winning_party", "Justice": "justice", "VoteDescription": "vote_description", "ActualVote": "actual_vote"}
     out = None
     for i, name in enumerate(names):
-        raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(name)
+        # multiLine: a file is never split, so its rows come in order, and quoted cells may hold line breaks
+        raw = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).csv(name)
         part = raw.select(*[(F.col(k) if k in raw.columns else F.lit(None).cast("string")).alias(v) for k, v in wanted.items()], F.lit(i).alias("file_no"), F.monotonically_increasing_id().alias("line"))
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -47,7 +48,10 @@ def read_truth(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_predictions(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """JSON arrays of predictions; a missing mode is the name of the folder above."""
-    raw = spark.read.schema(PREDICTION).option("multiLine", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json").json(folder)
+    return with_mode(spark.read.schema(PREDICTION).option("multiLine", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json").json(folder))
+
+
+def with_mode(raw: DataFrame) -> DataFrame:
     parent = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     return raw.withColumn("mode", F.coalesce("mode", parent))
 

@@ -94,11 +94,11 @@ def test_chunks_carry_overlap():
     assert CH.split_text(None) == [] and CH.split_text("short") == ["short"]
 
 
-def test_opinion_segments():
+def test_opinion_segments(spark):
     body = "text of the opinion " * 20
     doc = f"JUSTICE KAGAN delivered the opinion of the Court.\n{body}\nSee 12 (Alito, J., concurring) here {body}\nTHOMAS, J., with whom JUSTICE ALITO joins, dissenting.\n{body}"
-    got = CH.segments(doc, "Per Curiam")
-    assert [(g[0], g[1], g[2]) for g in got] == [("Elena Kagan", "majority", []), ("Clarence Thomas", "dissent", ["Samuel Alito"])]
+    row = spark.createDataFrame([(doc, "Per Curiam")], "t string, a string").select(CH.opinion_segments(F.col("t"), F.col("a")).alias("s")).first()
+    assert [(g.justice, g.opinion_type, g.joining_justices) for g in row.s] == [("Elena Kagan", "majority", []), ("Clarence Thomas", "dissent", ["Samuel Alito"])]
     assert CH.segments("x" * 600, "Per Curiam")[0][:2] == ("Per Curiam", "per_curiam")
     assert CH.segments("x" * 600, "Elena Kagan")[0][:2] == ("Elena Kagan", "majority")
     assert CH.segments("x" * 600, None) == [] and CH.segments("x" * 400, "A") == [] and CH.segments(None, "A") == []
@@ -106,8 +106,8 @@ def test_opinion_segments():
 
 def test_reserved_places():
     text = "JUSTICE NOBODY, dissenting. " + "a " * 10 + "JUSTICE KAGAN, concurring. " + "b " * 300
-    assert [b[1] for b in CH.boundaries(text)] == []
-    assert [b[1] for b in CH.boundaries(text, reserve_first=False)] == ["Elena Kagan"]
+    assert [b.justice for b in CH.boundaries(text)] == []
+    assert [b.justice for b in CH.boundaries(text, reserve_first=False)] == ["Elena Kagan"]
 
 
 def test_stats():

@@ -10,7 +10,7 @@ words before, and the word before with the word behind; lower-cased, digits as 0
 (SECRET: a kind of its own that isn't reported by itself). Patterns and values form a bipartite graph, scored in ROUNDS rounds. In
 each, a pattern scores, per kind, the sum of its accepted values' scores over the number of its values plus PRIOR; with SUPPORT different
 accepted values and a score of at least CONFIDENT it is a pattern of that kind (the best, if several). The values that stand in
-it are accepted then, with the score of their best pattern, so they make new patterns in the next round. In the
+it are accepted then, with the chance that one of their patterns is right (1 - the product of 1 - score), so they make new patterns in the next round. In the
 end, values in a pattern that overlap no base span are found, as spans of the pattern's kind.
 
 Everything gathered is keyed by pattern or value and pre-aggregated; only identifier-like values are ever shuffled.
@@ -28,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 ROUNDS = 3
 SUPPORT = 3
-PRIOR = 1.0
+PRIOR = 2.0
 CONFIDENT = 0.6
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -147,7 +147,8 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPO
         scores = held.join(size, "pattern").withColumn("score", F.col("s") / (F.col("values") + F.lit(prior))).filter(F.col("score") >= confident)
         best = scores.groupBy("pattern").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
         patterns = materialize(best.select("pattern", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score")), "pii-patterns")
-        gained = loose.join(patterns, "pattern").groupBy("value", "k").agg(F.max("score").alias("v"))
+        missed = F.exp(F.sum(F.log(F.lit(1.0) - F.col("score"))))  # scores are below 1, as the prior is above 0
+        gained = loose.join(patterns, "pattern").groupBy("value", "k").agg((F.lit(1.0) - missed).alias("v"))
         accepted = materialize(seeds.unionByName(gained).groupBy("value", "k").agg(F.max("v").alias("v")), "pii-accepted")
     return patterns
 

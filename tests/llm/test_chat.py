@@ -87,3 +87,10 @@ def test_conversations(spark, chunk):
 
 def test_empty(spark):
     assert C.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_text_in_a_turn(spark):
+    long = "word " * 400_000
+    rows = [(1, 0, "user", long, "x", 1), (1, 1, "assistant", "short", "x", 1)]
+    got = C.format_chats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sum(len(str(v)) for r in got for v in r) >= len(long) or len(got) == 2

@@ -94,3 +94,17 @@ def test_short_items_match_exactly_at_word_bounds(spark, block_bytes):
     got = {r.doc_id: sorted(r.item_ids) for r in flags.collect()}
     assert [got[i] for i in range(len(docs))] == want
     assert sorted(r.doc_id for r in clean.collect()) == [i for i, w in enumerate(want) if not w]
+
+
+def test_odd_rows_and_every_item_with_edits(spark):
+    bench = spark.createDataFrame([(1, "one two three four"), (2, None), (None, "x y z a b c d"), (3, "!!"), (4, "a quite long benchmark item of many plain words to be found"), (5, "a quite long benchmark item of many plain words to be found")], "item_id long, text string")
+    long = "filler words " * 200_000 + "a quite long benchmark item of many plain wurds to be found" + " filler" * 1000
+    rows = [(1, "say one two three four now", 1), (2, "say one two thre four now", 1), (3, None, 1), (4, "", 1), (5, long, 1), (5, long, 1), (None, "one two three four", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f_id int")
+    flags, clean = D.decontaminate(docs, bench)
+    got = sorted(((r.doc_id or 0), r.contaminated, r.item_ids) for r in flags.collect())
+    assert got == [(0, True, [1]), (1, True, [1]), (2, False, []), (3, False, []), (4, False, []), (5, True, [4, 5]), (5, True, [4, 5])]
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4]
+    loose = {r.doc_id: r.item_ids for r in D.decontaminate(docs, bench, min_words=0)[0].collect()}
+    assert loose[2] == [1]
+    assert D.decontaminate(docs.limit(0), bench)[0].count() == 0 and D.decontaminate(docs, bench.limit(0))[1].count() == len(rows)

@@ -50,3 +50,28 @@ def test_no_labels_and_empty(spark):
     got = L.identify(spark.createDataFrame([(1, "text", None, "s", "x")], SCHEMA)).collect()
     assert got[0].lang_pred == "und" and got[0].rejected
     assert L.identify(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ties_and_the_reject_margin():
+    same = b"the and of with that this there house water under between " * 20
+    tie = L.Classifier({"b": same, "a": same}).one("the house and the water")
+    assert tie == ("a", 0.0, True)
+    model = {"en": same, "fr": "le la des avec dans maison été eau sous entre où ".encode() * 20}
+    lang, margin, rejected = L.Classifier(model).one("the house under the water and between that " * 3)
+    assert lang == "en" and margin > L.MIN_MARGIN and not rejected
+    for bound in (margin - 1e-9, margin + 1e-9):
+        assert L.Classifier(model, bound).one("the house under the water and between that " * 3) == (lang, margin, bound > margin)
+
+
+def test_one_text_a_key_and_a_bound_over_all_languages(spark):
+    data = rows(90) + [(500, "the and of with", "en", "s", "x")] * 300
+    df = spark.createDataFrame(data, SCHEMA)
+    assert L.fit(df) == L.fit(df.dropDuplicates(["doc_id"]))
+    small = L.fit(df, sample_total=6)
+    assert set(small) == {"en", "fr", "de"} and all(len(v) < len(L.fit(df)[k]) for k, v in small.items())
+
+
+def test_kept_rows_have_their_columns(spark):
+    df = spark.createDataFrame([(i, t, g, s, x, "a", 1) for i, t, g, s, x in rows(60)] + [(900, None, "en", "s", "x", "a", 1), (901, "12", "en", "s", "x", "a", 1)], SCHEMA + ", lang_pred string, r int")
+    got = L.keep_identified(df)
+    assert got.columns == df.columns and {900, 901}.isdisjoint(r.doc_id for r in got.collect()) and got.count() >= 55

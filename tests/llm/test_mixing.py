@@ -75,3 +75,20 @@ def test_mix(spark):
 
 def test_empty(spark):
     assert M.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    names = "doc_id long, text string, source string, copies int, p_no int, p_id long, p_source string, p_hash long, __h string, __r int, __no int, __copy int, row string, h string, no int"
+    rows = [(i, f"w{i} " * (5 + i % 7), "a", 1, 2, 3, "s", 4, f"h{i}", 5, 6, 7, "r", "x", 8) for i in range(60)] + [(100, "long " * 300_000, "b", 1, 2, 3, "s", 4, "h100", 5, 6, 7, "r", "x", 8)]
+    df = spark.createDataFrame(rows, names)
+    got = M.apply_mix(df, most=2).collect()
+    assert got and df.columns == M.apply_mix(df).columns
+    own = {r[0]: r for r in rows}
+    assert all(tuple(r) == own[r.doc_id] for r in got)
+    sizes = {r.doc_id: r["size"] for r in M.mix(df).collect()}
+    assert sizes[100] == 300_000
+
+
+def test_buckets_change_no_choice(spark):
+    df = spark.createDataFrame([(i, "one two three", "hot", "x", 1, 0.5) for i in range(500)] + [(1000 + i, "one two", "b", "x", 1, 0.5) for i in range(90)], SCHEMA)
+    assert sorted(map(tuple, M.mix(df, buckets=2).collect())) == sorted(map(tuple, M.mix(df, buckets=1024).collect()))

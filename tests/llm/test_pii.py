@@ -95,3 +95,46 @@ def test_bootstrap_finds_values_of_several_tokens(spark):
     assert got[24].spans == f"phone:7:{len(texts[24]) - 1}"
     assert got[25].spans == "phone:7:8"
     assert got[26].spans == ""
+
+
+def test_found_values_make_new_patterns(spark):
+    seeds = [f"call line +1 (555) 555-01{i:02d} please" for i in range(20)]
+    first = [f"call line {i}77-x{i} please" for i in range(8)]  # in the seeds' pattern
+    second = [f"fax desk {i}77-x{i} thanks" for i in range(8)]  # the same values in another
+    third = ["fax desk 991-zz thanks"]  # only in the second pattern
+    clean = [f"chapter {i} of 12 begins" for i in range(8)] + ["see table 4 below"]
+    texts = seeds + first + second + third + clean
+    got = run(spark, texts)
+    for i, t in enumerate(texts):
+        check(got[i], t)
+    at = len(seeds)
+    assert all(got[i].n_found == 1 for i in range(at, at + 17))
+    assert got[at + 16].spans == "phone:9:15"
+    assert all(got[i].n_found == 0 for i in range(at + 17, len(texts)))
+    # one round knows the seeds' patterns only
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
+    once = {r.doc_id: r for r in P.digest(P.find(spark.createDataFrame(rows, SCHEMA), rounds=1)).collect()}
+    assert once[at].n_found == 1 and once[at + 16].n_found == 0
+
+
+def test_keys_are_found_by_their_context(spark):
+    keys = [f"{i:x}a9f{'0123456789abcdef'[i]}44c{i:x}77de{i:x}01b{i:x}92e{i:x}8" for i in range(6)]
+    texts = [f'set token = "{k}" here' for k in keys] + ['set token = "short-1" here', "order 20240101abcdefghijklmnop arrived", "the 3 of 4"]
+    got = run(spark, texts)
+    for i in range(6):
+        assert got[i].spans == f"secret:13:{13 + len(keys[i])}"
+    assert got[6].spans == "secret:13:20"
+    assert got[7].n_found == 0 and got[8].n_found == 0
+
+
+def test_precision_on_labelled_contexts(spark):
+    """Contexts of identifiers and of plain numbers, by hand: what is found beyond the base is right in at least 0.85 of the cases ("to: 12 people" is not)."""
+    good = [f"phone: +1 (555) 555-02{i:02d} ok" for i in range(10)] + [f"write to: p{i}@mail.example.org soon" for i in range(10)]
+    hidden = [("phone: 555-77{0}1 ok", "phone"), ("write to: p{0}(at)mail.example soon", "email")]
+    positive = [(t.format(i), k) for t, k in hidden for i in range(4)]
+    negative = [f"page {i} of 30" for i in range(8)] + [f"version 1.{i} is out" for i in range(5)] + ["room: 17 ok", "to: 12 people", "phone calls 3 a day", "write 5 pages"]
+    texts = good + [t for t, _ in positive] + negative
+    got = run(spark, texts)
+    right = sum(got[len(good) + i].spans.startswith(k + ":") for i, (_, k) in enumerate(positive))
+    wrong = sum(got[len(good) + len(positive) + i].n_found for i in range(len(negative)))
+    assert right >= 7 and right / (right + wrong) >= 0.85

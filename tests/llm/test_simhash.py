@@ -100,3 +100,12 @@ def test_near_duplicates(spark):
 
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    rows = [(i, "the same words in all of them here", f"h{i}", i, "k") for i in (5, 3, 9)] + [(7, None, "h7", 7, "k"), (8, "", "h8", 8, "k"), (20, "quite another text that stands alone", "h20", 20, "k"), (20, "quite another text that stands alone", "h20", 20, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __h string, __r int, k_id string")
+    got = S.representatives(df)
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted([rows[1], rows[3], rows[5]])
+    assert S.representatives(df.limit(0)).count() == 0

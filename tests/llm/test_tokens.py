@@ -65,3 +65,35 @@ def test_table_matches_whole_text_encoding(spark, path):
 
 def test_empty_table(spark, path):
     assert T.token_table(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def test_slices_and_texts_longer_than_a_slice(path):
+    import pyarrow as pa
+
+    from brieflake.llm.common import SLICE_BYTES, slices
+
+    rng = random.Random(4)
+    texts = ["ab c" * rng.randint(0, 50) for _ in range(500)] + [None, "long word's " * 500_000, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    for most in (1, 100, 5000, SLICE_BYTES):
+        parts = list(slices(batch, most=most))
+        assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+        assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= most for p in parts)
+    encoder = T.WordEncoder(open(path, encoding="utf-8").read())
+    ids, counts = encoder.encode_batch(pa.array([texts[-2]]))
+    assert ids.tolist() == encoder.whole.encode(texts[-2], add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+
+
+def test_a_full_cache_changes_no_id(path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(T.WordEncoder, "MOST_WORDS", 20)
+    monkeypatch.setattr(T.WordEncoder, "MOST_PIECES", 10)
+    encoder = T.WordEncoder(open(path, encoding="utf-8").read())
+    rng = random.Random(9)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abcé'1.") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 30))) for _ in range(8)]
+        ids, counts = encoder.encode_batch(pa.array(texts))
+        want = [encoder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+    assert len(encoder.words.names) <= 20 + 240

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -285,3 +286,98 @@ def test_stream(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == ST.chunk_rows(docs).count()
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert ST.event_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_bm25_reads_the_texts_twice(spark, sf):
+    """Two scans of the texts are written as tables; what is returned reads only those, and ids."""
+    import brieflake.operators.retrieval as R
+    from brieflake.plans import retrieval_queries as Q
+
+    scans = []
+    real = R.written
+
+    def counted(df, name):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        scans.append(sum("text#" in line and "Relation" in line for line in text.splitlines() if "documents" in line or "doc_id" in line))
+        return real(df, name)
+
+    R.written = counted
+    try:
+        got = R.bm25_topk(Q.docs(spark, sf), Q.questions(spark, sf), 10)
+    finally:
+        R.written = real
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sum(scans) == 2 and not [line for line in plan.splitlines() if "documents.parquet" in line and "text:string" in line]
+
+
+def test_running_sums_and_nth_smallest(spark):
+    from pyspark.sql import functions as F
+
+    from brieflake.operators import ordered as O
+
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 200), rng.randint(0, 9)) for _ in range(700)]
+    sums: dict = {}
+    for k, n in rows:
+        sums[k] = sums.get(k, 0) + n
+    df = spark.createDataFrame(list(sums.items()), "k int, n long").repartition(5)
+    got = {r.k: r.n_before for r in O.running_sums(df, ["k"], ["n"]).collect()}
+    assert got == {k: sum(v for j, v in sums.items() if j < k) for k in sums}
+    assert O.running_sums(df.limit(0), ["k"], ["n"]).count() == 0
+    digests = spark.range(3000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("h"))
+    every = sorted(r.h for r in digests.collect())
+    for n in (1, 2, 17, 1500, 3000):
+        assert O.nth_smallest(digests, F.col("h"), n) == every[n - 1]
+    assert O.nth_smallest(digests, F.col("h"), 5000) == every[-1]
+    assert O.nth_smallest(digests, F.col("h"), 0) is None and O.nth_smallest(digests.limit(0), F.col("h"), 3) is None
+
+
+def test_small_sides_by_bytes(spark):
+    import brieflake.operators.retrieval as R
+
+    df = spark.range(1000)
+    assert "broadcast" in R.small(df)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in R.small(df, 10)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def term_files(spark):
+    said = ["The parties argue about point {} of the statute at some length in this brief, again and again. " * 3, "Cite as: 600 U. S. ____ (2023) It is so ordered."]
+    rows = [(f"22-{i}", "brief.pdf", 22, f"Able{i} v. Baker", [said[0].replace("{}", str(i))] * 2) for i in range(2)] + [("22-0", "opinion.pdf", 22, "Able0 v. Baker", [said[1] + " text" * 60]), ("21-9", "brief.pdf", 21, "Old v. New", [said[0]])]
+    return spark.createDataFrame(rows, "docket string, source string, term int, case_name string, pages array<string>")
+
+
+def test_term_run_from_documents(spark):
+    files, config = term_files(spark), PL.Config(models=["m"], replicates=2)
+    chunks = PL.case_chunks(files, config)
+    assert chunks.count() >= 3 and chunks.filter("source = 'opinion.pdf'").count() == 0  # the court's own opinion leaks
+    got = PL.run_term(files, 22, config).collect()
+    assert sorted((r.docket, r.replicate) for r in got) == [(f"22-{i}", j) for i in range(2) for j in (1, 2)]
+    assert all(r.predict_term == 22 and len(r.run_id) == 12 and r.timestamp[4] == "-" for r in got)
+    truth = spark.createDataFrame([("22-1",)], "docket string")
+    done = spark.createDataFrame([("22-1", "m", 1)], "docket string, llm_model string, replicate int")
+    assert [(r.docket, r.replicate) for r in PL.run_term(files, 22, config, truth=truth, done=done).collect()] == [("22-1", 2)]
+
+
+def test_profiles_in_prompts_and_profile_documents(spark):
+    name = P.JUSTICES[0][0]
+    opinions = spark.createDataFrame([(name, 20, 1, "Able0 held in an old case"), (name, 22, 2, "too new")], "justice string, term int, doc_id long, content string")
+    cases, chunks = small_cases(spark)
+    got = {r.justice: r.profile for r in PL.profile_synthesis(opinions, cases.limit(1), 22, PL.Config()).collect()}
+    assert "Able0 held" in got[name] and "too new" not in got[name] and len(got) == len(P.JUSTICES)
+    asked = PL.initial_votes(chunks, cases.limit(1), PL.Config(models=["m"], replicates=1), lambda m, p: p, profiles=spark.createDataFrame([("22-0", name, "PROFILE")], "docket string, justice string, profile string"))
+    assert asked.count() == len(P.JUSTICES)
+    votes = spark.createDataFrame([(f"d{i}", 20 + i % 3, j, "Petitioner") for i in range(6) for j in (name, "Other")], "docket string, term int, justice string, vote string")
+    bios = spark.createDataFrame([(name, "A judge of long standing who reads the text closely. " * 30)], "justice string, text string")
+    docs = PR.profile_documents(bios, votes, 22).collect()
+    assert {r.doc_type for r in docs} == {"profile", "voting_stats"} and len([r for r in docs if r.doc_type == "profile"]) > 2
+    assert [r.content.split(" votes")[0] for r in docs if r.doc_type == "voting_stats"] == [f"{name}: 4"]
+
+
+def test_names_as_folders_and_variants(spark):
+    from pyspark.sql import functions as F
+
+    from brieflake.functions import paths
+
+    r = spark.range(1).select(paths.folder_of_name(F.lit("A B C")).alias("a"), paths.name_of_folder(F.lit("A_B_C")).alias("b")).first()
+    assert (r.a, r.b) == ("A_B_C", "A B C")
+    assert len(PL.VARIANTS) == 9 and len({n for n, _ in PL.VARIANTS}) == 9

@@ -86,7 +86,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """All batches by slices(); freed memory goes back when they end."""
+    """All batches by slices(); freed memory goes back after each and when they end."""
     for batch in batches:
-        yield from slices(batch, column, most)
+        for part in slices(batch, column, most):
+            yield part
+            pa.default_memory_pool().release_unused()
     give_back()

@@ -244,8 +244,8 @@ class WordEncoder:
     the same ids.
     """
 
-    MOST_WORDS = 500_000
-    MOST_PIECES = 250_000
+    MOST_WORDS = 300_000
+    MOST_PIECES = 150_000
     SAFE = r"^[\t\n\r -~À-ÖØ-öø-ÿ]*\z"
     PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -391,7 +391,7 @@ def write_token_groups(docs: DataFrame, tokenizer_json: str, end_id: int = END_I
             seq, start, held, ids, names, lens = seq + 1, start + len(every), 0, [], [], []
             return row
 
-        for batch in sliced(batches, most=8 << 20):
+        for batch in sliced(batches):
             got, counts = encoder.encode_batch(batch.column("text"))
             keys = batch.column("doc_id").to_pylist()
             # the end id after each document

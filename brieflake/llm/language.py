@@ -64,7 +64,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     most = max(1, min(sample_docs, sample_total // max(1, langs)))
     # a share of each language that holds the sample with room to spare, so that no language is ranked whole
     sizes = sizes.withColumn("share", F.least(F.lit(1.0), F.lit(3.0 * most) / F.col("count"))).select("lang", "share")
-    near = labelled.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 31)) <= F.col("share") * (1 << 31)).select("lang", "h", "doc_id").distinct()
+    near = labelled.join(F.broadcast(sizes) if langs <= 10_000 else sizes, "lang").filter(F.pmod("h", F.lit(1 << 31)) <= F.col("share") * (1 << 31)).select("lang", "h", "doc_id").distinct()
     keys = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= most)
     text = F.substring("text", 1, sample_bytes).alias("text")
     rows = docs.filter("text is not null").select("doc_id", "lang", text).join(keys, ["doc_id", "lang"]).groupBy("lang", "r").agg(F.min("text").alias("text")).collect()

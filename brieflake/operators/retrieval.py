@@ -40,8 +40,8 @@ class Index:
     def __init__(self, docs: DataFrame, queries: DataFrame):
         words = docs.select("doc_id", tokens(F.col("content")).alias("w"))
         # a row without a term stands for the document itself: its length counts there
-        counted = words.select(F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("w").alias("len"))), F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("len"))))).alias("x"))
-        vocabulary = written(counted.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.len").alias("len")), "bm25-df")
+        counted = words.select(F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("w"))).alias("term"))
+        vocabulary = written(counted.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("len")), "bm25-df")
         total = vocabulary.filter("term is null").first()
         self.n, length = (total["df"], total["len"]) if total else (0, 0)
         self.mean_len = length / self.n if self.n else 0.0

@@ -92,3 +92,23 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield part
             pa.default_memory_pool().release_unused()
     give_back()
+
+
+# ---------------------------------------------------------------- joins
+
+#: A key with more than this share (1 / HOT) of all rows is joined by broadcast: HOT such keys at most.
+HOT = 2000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """left joined with right (written, one row a key), without a task for all rows of a frequent key.
+
+    weight: column of right, how many rows of left have the key. Keys over 1 / HOT of all weights are at most HOT and
+    are broadcast; the others are joined by shuffling, where no key holds more than that share. how: inner or left.
+    """
+    from pyspark.sql import functions as F
+
+    total = right.agg(F.sum(F.col(weight).cast("double"))).first()[0] or 0.0
+    hot, cold = right.filter(F.col(weight) * HOT > total), right.filter(F.col(weight) * HOT <= total)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))

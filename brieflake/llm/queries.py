@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brieflake.llm import licenses
+from brieflake.llm import clustering, licenses, quality
 from brieflake.llm.common import read_table
 
 
@@ -76,6 +76,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))[0]
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.clustering import cluster
+
+    return cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brieflake.llm.quality import rate
+
+    return rate(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_html": op2_html,
@@ -87,7 +105,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_tokens": op9_tokens,
     "op10_decontaminate": op10_decontaminate,
+    "op11_whiten": op11_whiten,
+    "op12_cluster": op12_cluster,
+    "op13_quality": op13_quality,
 }
 
 #: The other queries hold fitted models, seeded choices, hashes or decoded files; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op5_licenses": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {"op5_licenses": licenses.oracle_sql(), "op12_cluster": clustering.oracle_sql(), "op13_quality": quality.oracle_sql()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brieflake.sources.scratch import stored_bytes, written
+from brieflake.sources.scratch import spread, stored_bytes, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Stored bytes up to which a side is broadcast; beyond, Spark joins by shuffling.
@@ -30,64 +30,92 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def idf_of(df: Column, n: int) -> Column:
+    return F.log(F.lit(n) - df + 0.5) - F.log(df + 0.5)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, times of the queries (query_id, query)."""
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+def weighed(asked: DataFrame, dfs: DataFrame, n: int, mean_idf: float) -> DataFrame:
+    """asked with idf, by the document frequencies (term, df); an idf below zero is replaced by EPSILON times the mean."""
+    raw = idf_of(F.col("df"), n)
+    return asked.join(dfs, "term").select("query_id", "term", "times", F.when(raw < 0, EPSILON * mean_idf).otherwise(raw).alias("idf"))
+
+
+def impact(tf: Column, length: Column, mean_len: float) -> Column:
+    """What a term's frequency in a document gives, next to its idf; grows with tf, falls with the length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean_len)))
+
+
 class Index:
     """What BM25 needs of a corpus for a set of queries, in two scans of the texts: document frequencies of the whole
     vocabulary, and the postings of the queries' terms; both are written, everything else is computed from them.
 
-    docs (doc_id, content), queries (query_id, query). Tokens are split at white space, case matters.
+    docs (doc_id, content), queries (query_id, query). Tokens are split at white space, case matters. For more than one set of
+    queries see operators.index.
     """
 
     def __init__(self, docs: DataFrame, queries: DataFrame):
-        words = docs.select("doc_id", tokens(F.col("content")).alias("w"))
+        words = spread(docs).select("doc_id", tokens(F.col("content")).alias("w"))
         # a row without a term stands for the document itself: its length counts there
         counted = words.select(F.size("w").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("w"))).alias("term"))
         vocabulary = written(counted.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("len"))).alias("len")), "bm25-df")
         total = vocabulary.filter("term is null").first()
         self.n, length = (total["df"], total["len"]) if total else (0, 0)
         self.mean_len = length / self.n if self.n else 0.0
-        raw = F.log(F.lit(self.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        idf = vocabulary.filter("term is not null").select("term", raw.alias("raw"))
-        mean = idf.agg(F.avg("raw")).first()[0] or 0.0
-        asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        self.asked = small(asked.join(idf, "term").select("query_id", "term", "times", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf")))
+        dfs = vocabulary.filter("term is not null").select("term", "df")
+        mean = dfs.agg(F.avg(idf_of(F.col("df"), self.n))).first()[0] or 0.0
+        self.asked = small(weighed(asked_terms(queries), dfs, self.n, mean))
         wanted = small(self.asked.select("term").distinct())
         posted = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term")
         self.postings = written(posted.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")), "bm25-postings")
 
-    def scores(self, postings: DataFrame | None = None) -> DataFrame:
-        """query_id, doc_id, score of the documents that share a token with a query; an idf below zero is replaced by
-        EPSILON times the mean idf of the vocabulary; the score sums over the occurrences of query tokens."""
-        tf = F.col("tf")
-        part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(self.mean_len)))
-        hit = (self.postings if postings is None else postings).join(self.asked, "term")
-        return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    def scores(self) -> DataFrame:
+        """query_id, doc_id, score of the documents that share a token with a query; the score sums over the occurrences of query tokens."""
+        part = F.col("times") * F.col("idf") * impact(F.col("tf"), F.col("len"), self.mean_len)
+        return self.postings.join(self.asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return Index(docs, queries).scores()
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
-    """query_id, rank, doc_id, score; always min(k, N) rows a query: documents without a shared token score 0, by doc_id."""
-    index = Index(docs, queries)
-    best = top(index.scores().withColumn("score", F.round("score", digits)), k, [F.desc("score"), F.col("doc_id")], ["query_id"])
-    # the smallest ids can fill a short list or beat scores at or below zero: they get their score, or 0
-    lowest = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
-    known = index.scores(index.postings.join(F.broadcast(lowest), "doc_id"))
-    fill = queries.select("query_id").crossJoin(F.broadcast(lowest)).join(known, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    every = best.drop("rank").unionByName(fill.select("query_id", "doc_id", "score"))
+def filled(best: DataFrame, hits: DataFrame, ids: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of all documents by (score falling, doc_id), where those that are no hit score 0.
+
+    best (query_id, doc_id, score): the k best hits of each query. hits (query_id, doc_id): all hits. ids (doc_id): all documents. Only
+    queries with under k scores above zero need others: the k smallest ids that are no hit of theirs. These are looked
+    for among the 2k smallest ids, then among eight times as many, until each query has k or there are no more.
+    """
+    best = written(best.select("query_id", "doc_id", "score"), "bm25-best")
+    enough = best.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    short = queries.select("query_id").distinct().join(enough, "query_id", "left_anti")
+    every, most = best, 2 * k
+    while short.count() > 0:
+        lowest = written(ids.select("doc_id").orderBy("doc_id").limit(most), "bm25-lowest")
+        known = hits.select("query_id", "doc_id").join(short, "query_id", "left_semi").join(lowest, "doc_id", "left_semi")
+        free = short.crossJoin(F.broadcast(lowest) if most <= 100_000 else lowest).join(known, ["query_id", "doc_id"], "left_anti")
+        free = written(top(free, k, [F.col("doc_id")], ["query_id"]).select("query_id", "doc_id", F.lit(0.0).alias("score")), "bm25-fill")
+        done = short if lowest.count() < most else short.join(free.groupBy("query_id").count().filter(F.col("count") >= k), "query_id", "left_semi")
+        every = every.unionByName(free.join(done, "query_id", "left_semi"))
+        short, most = written(short.join(done, "query_id", "left_anti"), "bm25-short"), 8 * most
     return top(every, k, [F.desc("score"), F.col("doc_id")], ["query_id"]).select("query_id", "rank", "doc_id", "score")
 
 
-def squared_l2(a: Column, b: Column) -> Column:
-    diff = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
+    """query_id, rank, doc_id, score; always min(k, N) rows a query: documents without a shared token score 0, by doc_id."""
+    hits = Index(docs, queries).scores().withColumn("score", F.round("score", digits))
+    return filled(top(hits, k, [F.desc("score"), F.col("doc_id")], ["query_id"]), hits, docs.select("doc_id"), queries, k)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
-    """vectors (vec_id, embedding), queries (query_id, q): squared L2 ascending, exact; queries are a small broadcast side."""
-    pairs = vectors.crossJoin(small(queries)).select("query_id", "vec_id", F.round(squared_l2(F.col("embedding"), F.col("q")), digits).alias("distance"))
-    return top(pairs, k, [F.col("distance"), F.col("vec_id")], ["query_id"]).select("query_id", "rank", "vec_id", "distance")
+    """vectors (vec_id, embedding), queries (query_id, q): squared L2 ascending, exact."""
+    from brieflake.operators.neighbours import nearest
+
+    return nearest(vectors.select("vec_id", "embedding"), queries, k, digits).select("query_id", "rank", "vec_id", "distance")
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int, mode: str = "bm25_first") -> DataFrame:

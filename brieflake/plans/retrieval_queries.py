@@ -8,9 +8,12 @@ from brieflake.functions import chunking as CH
 from brieflake.functions import patterns as P
 from brieflake.functions import text as X
 from brieflake.operators import filters as FL
+from brieflake.operators import index as IX
 from brieflake.operators import retrieval as R
+from brieflake.operators.neighbours import nearest
 from brieflake.plans import surrogates as V
 from brieflake.sources import readers as IO
+from brieflake.sources.scratch import scratch_path
 
 
 def q(text: str) -> str:
@@ -42,6 +45,55 @@ def bm25_topk(s, d):
     return R.bm25_topk(docs(s, d), questions(s, d), 10)
 
 
+def index_topk(s, d):
+    """The same from an index on storage."""
+    path = scratch_path(s, "index")
+    IX.upsert(docs(s, d), path)
+    return IX.search(s, path, questions(s, d), 10)
+
+
+def index_second_queries(s, d):
+    """Another set of queries, the later halves of the texts, on an index that has answered one: no text is read for it."""
+    path = scratch_path(s, "index")
+    IX.upsert(docs(s, d), path)
+    asked = questions(s, d)
+    IX.search(s, path, asked, 10)
+    w = R.tokens(F.col("query"))
+    return IX.search(s, path, asked.select("query_id", F.array_join(F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.size(w)), " ").alias("query")), 10)
+
+
+def _upserted(s, d):
+    """All documents, but first those with odd ids with other texts, then all again in two further deliveries."""
+    path = scratch_path(s, "index")
+    every = docs(s, d)
+    odd = F.col("doc_id") % 2 == 1
+    IX.upsert(every.select("doc_id", F.when(odd, F.concat(F.lit("draft "), F.upper("content"))).otherwise(F.col("content")).alias("content")), path)
+    IX.upsert(every.filter(odd), path)
+    IX.upsert(every.filter(F.col("doc_id") % 3 == 0), path)
+    return path
+
+
+def index_upsert(s, d):
+    return IX.search(s, _upserted(s, d), questions(s, d), 10)
+
+
+def index_vocabulary(s, d):
+    path = _upserted(s, d)
+    IX.compact(s, path)
+    return IX.vocabulary(s, path)
+
+
+def index_listing(s, d):
+    """The segments after the deliveries, without their names."""
+    return IX.listing(s, _upserted(s, d)).select("documents", "length", "n", "total_length", "vocabulary", F.round("mean_idf", 9).alias("mean_idf"), "version")
+
+
+SQL_LISTING = """WITH tk AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS term FROM documents), ln AS (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS len FROM documents),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM tk GROUP BY 1), every AS (SELECT count(*) AS n, CAST(sum(len) AS BIGINT) AS total_length FROM ln),
+voc AS (SELECT count(*) AS vocabulary, round(avg(ln(n - df + 0.5) - ln(df + 0.5)), 9) AS mean_idf FROM df, every)
+SELECT count(*) AS documents, CAST(sum(len) AS BIGINT) AS length, n, total_length, vocabulary, mean_idf, 3 AS version FROM ln, every, voc GROUP BY CASE WHEN doc_id % 3 = 0 THEN 2 ELSE doc_id % 2 END, n, total_length, vocabulary, mean_idf"""
+
+
 def vector_queries(s, d):
     return IO.table(s, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
@@ -101,17 +153,29 @@ def typed_multiquery(s, d):
     return R.typed_multi_query(hits, first, 50)
 
 
-def _near(s, d):
-    v = IO.table(s, d, "embeddings")
-    return v.crossJoin(R.small(vector_queries(s, d))).select("query_id", "vec_id", F.col("label").alias("term"), F.round(R.squared_l2(F.col("embedding"), F.col("q")), 9).alias("distance"))
+def _terms(s, d):
+    return IO.table(s, d, "embeddings").select("vec_id", F.col("label").alias("term"), "embedding")
 
 
 def temporal_post(s, d):
-    return R.temporal_topk(_near(s, d), 5, 8)
+    return R.temporal_topk(nearest(_terms(s, d), vector_queries(s, d), 24), 5, 8)
 
 
 def temporal_pre(s, d):
-    return R.temporal_topk(_near(s, d), 5, 8, "pre")
+    """The term filter goes before the cells, so that their bounds are of eligible vectors."""
+    eligible = _terms(s, d).filter(F.coalesce(F.col("term"), F.lit(0)) < 5)
+    return R.temporal_topk(nearest(eligible, vector_queries(s, d), 8), 5, 8, "pre")
+
+
+def temporal_rerank(s, d):
+    """Of the nearest 12 those of earlier terms, ranked anew by their texts where more than four are left; as everywhere,
+    a vector's text is that of the document with its id, none if there isn't one."""
+    content = docs(s, d)
+    hits = nearest(_terms(s, d), vector_queries(s, d), 12).drop("rank")
+    hits = hits.join(content.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left")
+    hits = hits.join(content.select(F.col("doc_id").alias("query_id"), F.col("content").alias("query")), "query_id", "left")
+    score = F.round(R.overlap_score(F.coalesce("query", F.lit("")), F.coalesce("content", F.lit(""))), 9)
+    return R.temporal_topk(hits, 5, 4, score=score)
 
 
 SQL_TERM = "term AS (SELECT query_id, vec_id, label AS term, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS f FROM near)"
@@ -122,6 +186,14 @@ def multi_query_prefix_dedupe(s, d):
     return R.prefix_dedupe(hits).select("query_no", "rank", "doc_id")
 
 
+def multi_query_rerank(s, d):
+    """The hits of all queries without repeated prefixes, the 40 best against the first query; the cut is per language."""
+    hits = R.bm25_topk(docs(s, d), questions(s, d), 8).join(IO.table(s, d, "documents").select("doc_id", "lang", F.col("text").alias("content")), "doc_id").withColumnRenamed("query_id", "query_no")
+    first = questions(s, d).orderBy("query_id").limit(1).select(F.col("query").alias("first_query"))
+    got = R.multi_query(hits.crossJoin(F.broadcast(first)), F.col("first_query"), 40, ["lang"])
+    return got.select("lang", "place", "query_no", "rank", "doc_id")
+
+
 def context_format(s, d):
     hits = R.bm25_topk(docs(s, d), questions(s, d), 5).join(docs(s, d), "doc_id")
     got = R.context_text(hits, ["query_id"], F.concat(F.lit("[doc "), F.col("doc_id").cast("string"), F.lit("]")), F.col("content"))
@@ -306,6 +378,11 @@ CASE WHEN contains(a, 'petitioner') AND contains(a, 'respondent') THEN NULL {_RU
 
 QUERIES = {
     "bm25_topk": (bm25_topk, f"WITH {SQL_BM25.replace('{k}', '10')} SELECT * FROM bm"),
+    "index_topk": (index_topk, f"WITH {SQL_BM25.replace('{k}', '10')} SELECT * FROM bm"),
+    "index_second_queries": (index_second_queries, "WITH later AS (SELECT item_id, array_to_string(w[len(w) // 2 + 1:], ' ') AS text FROM (SELECT item_id, list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '') AS w FROM benchmark)), " + SQL_BM25.replace("{k}", "10").replace("FROM benchmark", "FROM later") + " SELECT * FROM bm"),
+    "index_upsert": (index_upsert, f"WITH {SQL_BM25.replace('{k}', '10')} SELECT * FROM bm"),
+    "index_vocabulary": (index_vocabulary, "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS term FROM documents) GROUP BY 1"),
+    "index_listing": (index_listing, SQL_LISTING),
     "vector_topk": (vector_topk, f"WITH {SQL_NEAR} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance FROM near QUALIFY rank <= 10"),
     "hybrid_fuse": (hybrid_fuse, "WITH " + SQL_LISTS.replace("{o}", "list, rank")),
     "hybrid_interleave": (hybrid_interleave, "WITH " + SQL_LISTS.replace("{o}", "rank, list")),
@@ -313,6 +390,8 @@ QUERIES = {
     "typed_multiquery": (typed_multiquery, f"WITH {SQL_BM25.replace('{k}', '10')}, ty AS (SELECT h.query_id AS query_no, h.doc_id, d.lang AS type, d.text, row_number() OVER (PARTITION BY h.query_id, d.lang ORDER BY h.score DESC, h.doc_id) AS r FROM hit h JOIN documents d USING (doc_id) QUALIFY r <= 5), un AS (SELECT * FROM ty QUALIFY row_number() OVER (PARTITION BY text ORDER BY query_no, type, r) = 1) SELECT doc_id, type, query_no, {SQL_OVERLAP.replace('{a}', '(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)').replace('{b}', 'text')} AS score FROM un ORDER BY score DESC, query_no, type, r LIMIT 50"),
     "temporal_postfilter_topk": (temporal_post, f"WITH {SQL_NEAR}, {SQL_TERM} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, term, distance FROM term WHERE f <= 24 AND coalesce(term, 0) < 5 QUALIFY rank <= 8"),
     "temporal_prefilter_topk": (temporal_pre, f"WITH {SQL_NEAR}, {SQL_TERM} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, term, distance FROM term WHERE coalesce(term, 0) < 5 QUALIFY rank <= 8"),
+    "temporal_rerank": (temporal_rerank, f"WITH {SQL_NEAR}, {SQL_TERM}, sc AS (SELECT term.*, {SQL_OVERLAP.replace('{a}', 'coalesce(a.text, ' + q('') + ')').replace('{b}', 'coalesce(b.text, ' + q('') + ')')} AS score, count(*) OVER (PARTITION BY query_id) AS m FROM term LEFT JOIN documents a ON a.doc_id = query_id LEFT JOIN documents b ON b.doc_id = vec_id WHERE f <= 12 AND coalesce(term, 0) < 5) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN m > 4 THEN score END DESC NULLS LAST, distance, vec_id) AS INT) AS rank, vec_id, term, distance FROM sc QUALIFY rank <= 4"),
+    "multi_query_rerank": (multi_query_rerank, f"WITH {SQL_BM25.replace('{k}', '8')}, un AS (SELECT lang, query_id AS query_no, rank, bm.doc_id, text FROM bm JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY lang, substring(text, 1, 200) ORDER BY query_id, rank, bm.doc_id) = 1), sc AS (SELECT *, count(*) OVER (PARTITION BY lang) AS m, {SQL_OVERLAP.replace('{a}', '(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)').replace('{b}', 'text')} AS score FROM un) SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN m > 40 THEN score END DESC NULLS LAST, query_no, rank, doc_id) AS INT) AS place, query_no, rank, doc_id FROM sc QUALIFY place <= 40"),
     "multi_query_prefix_dedupe": (multi_query_prefix_dedupe, f"WITH {SQL_BM25.replace('{k}', '8')} SELECT query_id AS query_no, rank, bm.doc_id FROM bm JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY substring(text, 1, 200) ORDER BY query_id, rank, bm.doc_id) = 1"),
     "context_format": (context_format, f"WITH {SQL_BM25.replace('{k}', '5')}, c AS (SELECT query_id, string_agg('[doc ' || bm.doc_id || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS x FROM bm JOIN documents d USING (doc_id) GROUP BY 1) SELECT query_id, CAST(length(x) AS INT) AS n_chars, md5(x) AS digest FROM c"),
     "text_normalize": (text_normalize, "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([\\p{L}\\p{N}_])-\\s+([\\p{L}\\p{N}_])', '\\1\\2', 'g')) AS digest, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')) AS BIGINT) AS words FROM documents"),

@@ -1,9 +1,12 @@
-"""Tail probabilities, plain Python (for a handful of report rows on the driver)."""
+"""Tail probabilities, plain Python: of a few rows on the driver, or of a row a group in a worker."""
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
+
 
 def binomial_two_sided(k: int, n: int) -> float:
     """Exact two-sided p of k successes in n fair trials."""
@@ -49,17 +52,63 @@ def t_two_sided(t: float, df: float) -> float:
     return beta_cdf(df / 2, 0.5, df / (df + t * t)) if df > 0 else 1.0
 
 
-def ks_two_sided(d: float, n: int, m: int) -> float:
-    """Asymptotic p of the two-sample statistic."""
-    if not n or not m or d <= 0:
-        return 1.0
-    x = d * math.sqrt(n * m / (n + m))
-    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+#: Sample size up to which the signed-rank test is exact, and each size up to which the two-sample test is.
+WILCOXON_EXACT = 50
+KS_EXACT = 10_000
+
+
+@functools.cache
+def signed_rank_counts(n: int) -> list[int]:
+    """How many of the 2**n sign vectors give each rank sum 0 .. n (n + 1) / 2 (no ties)."""
+    counts = [1]
+    for rank in range(1, n + 1):
+        longer = counts + [0] * rank
+        for total, c in enumerate(counts):
+            longer[total + rank] += c
+        counts = longer
+    return counts
 
 
-def wilcoxon_two_sided(w_plus: float, w_minus: float, n: int, tie_term: float) -> float:
-    """Normal approximation of the signed-rank test; tie_term: sum of t**3 - t over tied groups."""
+def wilcoxon_two_sided(w_plus: float, w_minus: float, n: int, tie_term: float, zeros: int = 0) -> float:
+    """p of the signed-rank test: exact for up to WILCOXON_EXACT differences without ties or zeros, else by the normal
+    approximation. tie_term: sum of t**3 - t over tied groups."""
     if n == 0:
         return 1.0
+    low = min(w_plus, w_minus)
+    if n <= WILCOXON_EXACT and not tie_term and not zeros:
+        return min(1.0, 2 * sum(signed_rank_counts(n)[: int(low) + 1]) / 2**n)
     sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - tie_term / 48)
-    return normal_two_sided((min(w_plus, w_minus) - n * (n + 1) / 4) / sd) if sd > 0 else 1.0
+    return normal_two_sided((low - n * (n + 1) / 4) / sd) if sd > 0 else 1.0
+
+
+def ks_exact(d: float, n: int, m: int) -> float:
+    """Share of the interleavings of n and m values whose distributions are d or more apart somewhere.
+
+    Going through a common order, after t values of which i are of the first sample, that share is 1 where the two are so far apart,
+    else the mean of the shares before, weighted by which sample the t-th value came from. Only sums of positive numbers.
+    """
+    whole = math.lcm(n, m)
+    apart = round(d * whole)
+    share = np.zeros(n + 1)
+    share[0] = float(apart <= 0)
+    for t in range(1, n + m + 1):
+        i = np.arange(max(0, t - m), min(n, t) + 1)
+        came = np.where(i > 0, share[i - 1] * i, 0.0) + np.where(i < t, share[i] * (t - i), 0.0)
+        out = np.abs(i * (whole // n) - (t - i) * (whole // m)) >= apart
+        share[i] = np.where(out, 1.0, came / t)
+    return float(share[n])
+
+
+def ks_limit(d: float, n: int, m: int) -> float:
+    """Kolmogorov's limit, at an argument corrected for the sizes."""
+    size = round(n * m / (n + m))
+    x = d * math.sqrt(size)
+    x += 1 / (6 * math.sqrt(size)) + (x - 1) / (4 * size)
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+
+
+def ks_two_sided(d: float, n: int, m: int) -> float:
+    """p of the two-sample statistic: exact up to KS_EXACT values a sample."""
+    if not n or not m or d <= 0:
+        return 1.0
+    return ks_exact(d, n, m) if max(n, m) <= KS_EXACT else ks_limit(d, n, m)

@@ -7,6 +7,7 @@ rows come from functions.stats.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +65,13 @@ def influence_by_model(results: DataFrame) -> DataFrame:
     return acc.select("llm_model", F.when(F.col("A").isNull() | F.col("B").isNull(), 0.0).otherwise(influence(F.col("A"), F.col("B"))).alias("cis"))
 
 
-def mcnemar(results: DataFrame, a: str, b: str) -> DataFrame:
-    """One row, fixed columns: pairs, discordant counts, corrected chi-square, odds ratio (null without its denominator)."""
-    p = paired(results, a, b, "case_correct").agg(F.count("*").alias("pairs"), F.count_if(F.col("x") & ~F.col("y")).alias("b"), F.count_if(~F.col("x") & F.col("y")).alias("c"))
+def mcnemar(results: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """Fixed columns: pairs, discordant counts, corrected chi-square, odds ratio (null without its denominator): one row, or one for each group of `by`."""
+    by = by or []
+    p = paired(results, a, b, "case_correct").groupBy(*by).agg(F.count("*").alias("pairs"), F.count_if(F.col("x") & ~F.col("y")).alias("b"), F.count_if(~F.col("x") & F.col("y")).alias("c"))
     n = F.col("b") + F.col("c")
     gap = F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0))
-    return p.select("pairs", "b", "c", F.when(n > 0, gap * gap / n).alias("chi2"), F.when(F.col("c") > 0, F.col("b") / F.col("c")).alias("odds_ratio"), F.when(n == 0, "none").when(n < 25, "exact").otherwise("chi2").alias("test"))
+    return p.select(*by, "pairs", "b", "c", F.when(n > 0, gap * gap / n).alias("chi2"), F.when(F.col("c") > 0, F.col("b") / F.col("c")).alias("odds_ratio"), F.when(n == 0, "none").when(n < 25, "exact").otherwise("chi2").alias("test"))
 
 
 def mcnemar_p(row) -> float:
@@ -89,37 +91,80 @@ def paired_t_p(row) -> float:
     return S.t_two_sided(row["t"], row["n"] - 1) if row["n"] > 1 and row["std_diff"] else 1.0
 
 
-def signed_ranks(results: DataFrame, a: str, b: str, value: str = "justice_accuracy") -> DataFrame:
-    """One row: Wilcoxon's rank sums over non-zero differences (average ranks for ties) and the tie term.
+def signed_ranks(results: DataFrame, a: str, b: str, value: str = "justice_accuracy", by: list[str] | None = None) -> DataFrame:
+    """Wilcoxon's rank sums over non-zero differences (average ranks for ties), the tie term and how many differences are
+    zero: one row, or one for each group of `by` (of the key's columns) that has a pair.
 
-    Differences are counted per value first; ranks follow from running counts over the distinct values.
+    Differences are counted per value first; ranks follow from running counts over the distinct values, in groups from
+    where the group starts.
     """
-    d = paired(results, a, b, value).select(F.round(F.col("y") - F.col("x"), 12).alias("d")).filter("d <> 0")
-    counts = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
-    ranked = running_sums(counts, ["size"], ["t"]).withColumn("rank", F.col("t_before") + (F.col("t") + 1) / 2)
+    by = by or []
+    d = paired(results, a, b, value).select(*by, F.round(F.col("y") - F.col("x"), 12).alias("d"))
+    counts = d.groupBy(*by, F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus")).withColumn("some", F.when(F.col("size") > 0, F.col("t")).otherwise(0))
+    run = running_sums(counts, [*by, "size"], ["some"])
+    if by:
+        run = run.join(run.groupBy(*by).agg(F.min("some_before").alias("start")), by)
+    rank = F.col("some_before") - (F.col("start") if by else F.lit(0)) + (F.col("some") + 1) / 2
+    ranked = run.withColumn("rank", rank)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return ranked.agg(
-        F.coalesce(F.sum("t"), F.lit(0)).alias("n"), zero(F.sum(F.col("rank") * F.col("plus"))).alias("w_plus"), zero(F.sum(F.col("rank") * (F.col("t") - F.col("plus")))).alias("w_minus"),
-        zero(F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double"))).alias("tie_term"),
+    t = F.col("some")
+    return ranked.groupBy(*by).agg(
+        F.coalesce(F.sum(t), F.lit(0)).alias("n"), zero(F.sum(F.col("rank") * F.col("plus"))).alias("w_plus"), zero(F.sum(F.when(t > 0, F.col("rank") * (t - F.col("plus"))))).alias("w_minus"),
+        zero(F.sum((t * t * t - t).cast("double"))).alias("tie_term"), F.coalesce(F.sum(F.col("t") - t), F.lit(0)).alias("zeros"),
     )
 
 
 def wilcoxon_p(row) -> float:
-    return S.wilcoxon_two_sided(row["w_plus"], row["w_minus"], row["n"], row["tie_term"])
+    return S.wilcoxon_two_sided(row["w_plus"], row["w_minus"], row["n"], row["tie_term"], row["zeros"])
 
 
-def ks(results: DataFrame, a: str, b: str, value: str = "average_confidence") -> DataFrame:
-    """One row: sizes and the largest gap between the two distributions; unpaired. Counts per value, then running sums."""
-    both = results.filter(F.col("condition").isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col("condition") == a).alias("x"), F.count_if(F.col("condition") == b).alias("y"))
-    run = running_sums(both, ["v"], ["x", "y"]).crossJoin(F.broadcast(both.agg(F.sum("x").alias("n"), F.sum("y").alias("m"))))
-    gap = F.abs(ratio(F.col("x_before") + F.col("x"), F.col("n")) - ratio(F.col("y_before") + F.col("y"), F.col("m")))
-    return run.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("m"), F.lit(0)).alias("m"), F.coalesce(F.max(gap), F.lit(0.0)).alias("d"))
+def ks(results: DataFrame, a: str, b: str, value: str = "average_confidence", by: list[str] | None = None) -> DataFrame:
+    """Sizes and the largest gap between the two distributions, unpaired: one row, or one for each group of `by`. Counts per value, then running sums."""
+    by = by or []
+    both = results.filter(F.col("condition").isin(a, b)).groupBy(*by, F.col(value).alias("v")).agg(F.count_if(F.col("condition") == a).alias("x"), F.count_if(F.col("condition") == b).alias("y"))
+    run = running_sums(both, [*by, "v"], ["x", "y"])
+    starts = run.groupBy(*by).agg(F.sum("x").alias("n"), F.sum("y").alias("m"), F.min("x_before").alias("x0"), F.min("y_before").alias("y0"))
+    run = run.join(starts, by) if by else run.crossJoin(F.broadcast(starts))
+    gap = F.abs(ratio(F.col("x_before") - F.col("x0") + F.col("x"), F.col("n")) - ratio(F.col("y_before") - F.col("y0") + F.col("y"), F.col("m")))
+    return run.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("m"), F.lit(0)).alias("m"), F.coalesce(F.max(gap), F.lit(0.0)).alias("d"))
 
 
 def ks_p(row) -> float:
     return S.ks_two_sided(row["d"], row["n"], row["m"])
 
 
+def with_p(rows: DataFrame, p, columns: list[str], name: str = "p") -> DataFrame:
+    """rows with the p-value that p(row) gives for these columns; a row stands for a group, so few are computed."""
+
+    @F.pandas_udf("double")
+    def of(*cols: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}
+        out = []
+        for values in zip(*cols):
+            if values not in known:
+                known[values] = float(p(dict(zip(columns, values))))
+            out.append(known[values])
+        return pd.Series(out, dtype="float64")
+
+    return rows.withColumn(name, of(*columns))
+
+
+def signed_rank_tests(results: DataFrame, a: str, b: str, by: list[str], value: str = "justice_accuracy") -> DataFrame:
+    """signed_ranks() of each group, with its p-value and whether that is exact."""
+    got = with_p(signed_ranks(results, a, b, value, by), wilcoxon_p, ["n", "w_plus", "w_minus", "tie_term", "zeros"])
+    return got.withColumn("exact", (F.col("n") <= S.WILCOXON_EXACT) & (F.col("tie_term") == 0) & (F.col("zeros") == 0))
+
+
+def ks_tests(results: DataFrame, a: str, b: str, by: list[str], value: str = "average_confidence") -> DataFrame:
+    """ks() of each group that has both conditions, with its p-value."""
+    return with_p(ks(results, a, b, value, by).filter("n > 0 AND m > 0"), ks_p, ["n", "m", "d"])
+
+
+def mcnemar_tests(results: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """mcnemar() of each group, with its p-value."""
+    return with_p(mcnemar(results, a, b, by), mcnemar_p, ["b", "c", "chi2"])
+
+
 def spoiler_rates(results: DataFrame) -> DataFrame:
     """Citation rate per spoiled condition and over all of them (condition `all`)."""
     spoiled = results.filter("inject_spoiler")

@@ -122,9 +122,9 @@ def syllabus_context(chunks: DataFrame, cases: DataFrame, config: Config) -> Dat
     once = hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "rank")
     ranked = once.withColumn("fit", F.round(R.overlap_score(F.col("ranked_by"), F.col("content")), 9))
     best = R.top(ranked, config.ranked_hits, [F.desc("fit"), F.col("query_no"), F.col("type"), F.desc("score"), *place], ["docket"])
-    line = F.concat(F.lit("--- EXCERPT "), F.col("rank").cast("string"), F.lit(": "), F.col("type"), F.lit(" ---\nSource: "), F.coalesce("source", F.lit("Unknown")), F.lit(", Page: "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit("\n"))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("type"), F.lit(" | "), F.coalesce("source", F.lit("?")), F.lit(", p. "), F.coalesce(F.col("page").cast("string"), F.lit("?")))
     text = R.context_text(best, ["docket"], line, F.concat("content", F.lit("\n\n")), empty="", joiner="")
-    head = F.concat(F.lit("SCOTUS Docket "), by, F.lit(" - CASE MATERIALS:\n\n"))
+    head = F.concat(F.lit("Passages on docket "), by, F.lit("\n\n"))
     return cases.select("docket").join(text, "docket", "left").select("docket", F.concat(head, F.coalesce("context", F.lit(""))).alias("context"))
 
 

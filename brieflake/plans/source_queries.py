@@ -213,7 +213,7 @@ _PICK = "('0x' || substring(md5('42|{p}|' || docket), 1, 7))::BIGINT"
 SQL_SPOILER_TEXTS = f"""WITH {V.SQL_CASES}, c AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'by a vote of ' || (5 + o_orderkey % 5) || '-' || (4 - o_orderkey % 5) ELSE '' END AS split,
 CASE WHEN winner = 'Petitioner' THEN 'reversing' ELSE 'affirming' END AS verb, CASE WHEN winner = 'Petitioner' THEN 'reversed' ELSE 'affirmed' END AS past, CAST(5 + {_PICK.format(p='fillers')} % 3 AS INT) AS n FROM cases),
 t AS (SELECT docket, term, n, CAST(1 + {_PICK.format(p='place')} % (n - 1) AS INT) AS place, {_sql_list(FORMATS)}[{_PICK.format(p='format')} % {len(FORMATS)} + 1] AS format,
-[{', '.join(_sql_form(f) for f in P.SPOILER_SENTENCES)}][{_PICK.format(p='form')} % {len(P.SPOILER_SENTENCES)} + 1] || CASE WHEN o_orderkey % 3 = 0 THEN ' Justice Elena Kagan delivered the opinion of the Court.' ELSE '' END AS sentence,
+[{', '.join(_sql_form(f) for f in P.SPOILER_SENTENCES)}][{_PICK.format(p='form')} % {len(P.SPOILER_SENTENCES)} + 1] || CASE WHEN o_orderkey % 3 = 0 THEN '{P.SPOILER_AUTHOR.replace(chr(123) + 'author' + chr(125), 'Elena Kagan')}' ELSE '' END AS sentence,
 'WM-' || term || '-' || docket || '-' || substring(md5(term || '-' || docket), 1, 8) AS watermark,
 list_transform(list_sort(list_transform({_sql_list(FILLERS)}, lambda f: {{'h': md5('42|' || docket || '|' || f), 'f': f}})), lambda x: x.f) AS o FROM c)
 SELECT docket, format, watermark, sentence, md5('# ' || format || chr(10) || chr(10) || array_to_string(list_transform(o[1:n], lambda f, i: CASE WHEN i - 1 = place THEN f || ' ' || sentence ELSE f END), chr(10) || chr(10)) || chr(10) || chr(10) || 'Ref. ' || watermark) AS digest FROM t"""

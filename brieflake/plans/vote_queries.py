@@ -286,6 +286,49 @@ def ks_statistic(s, d):
     return M.ks(V.results(s, d), "A", "B").withColumn("d", F.round("d", 9))
 
 
+_DOCKET_PAIR = "pair AS (SELECT docket, a.{v} AS x, b.{v} AS y FROM latest a JOIN latest b USING (docket, llm_model, replicate) WHERE a.condition = 'A' AND b.condition = 'B')"
+
+
+def mcnemar_by_docket(s, d):
+    """The exact test in each docket: none has 25 discordant pairs."""
+    got = M.mcnemar_tests(V.results(s, d), "A", "B", ["docket"])
+    return got.select("docket", "pairs", "b", "c", "test", F.round("p", 9).alias("p"))
+
+
+SQL_MCNEMAR_DOCKET = f"""WITH {V.SQL_RESULTS}, {_DOCKET_PAIR.format(v='case_correct')}, g AS (SELECT docket, count(*) AS pairs, CAST(count(*) FILTER (x AND NOT y) AS BIGINT) AS b, CAST(count(*) FILTER (NOT x AND y) AS BIGINT) AS c FROM pair GROUP BY 1)
+SELECT docket, pairs, b, c, CASE WHEN b + c = 0 THEN 'none' ELSE 'exact' END AS test,
+round(CASE WHEN b = c THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: factorial((b + c)::INT)::DOUBLE / factorial(i::INT) / factorial((b + c - i)::INT))) / pow(2, b + c)) END, 9) AS p FROM g"""
+
+
+def wilcoxon_by_docket(s, d):
+    """Signed-rank tests of the dockets whose differences are neither zero nor tied: their p is exact."""
+    got = M.signed_rank_tests(V.results(s, d), "A", "B", ["docket"]).filter("exact")
+    return got.select("docket", "n", "w_plus", "w_minus", F.round("p", 9).alias("p"))
+
+
+#: All sign vectors of up to seven ranks.
+SQL_WILCOXON_DOCKET = f"""WITH {V.SQL_RESULTS}, {_DOCKET_PAIR.format(v='justice_accuracy')}, r AS (SELECT docket, round(y - x, 12) AS d, rank() OVER (PARTITION BY docket ORDER BY abs(round(y - x, 12))) AS r FROM pair),
+g AS (SELECT docket, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus FROM r GROUP BY 1 HAVING count(*) = count(DISTINCT abs(d)) AND min(abs(d)) > 0),
+signs AS (SELECT n, list_sum(list_transform(range(1, n + 1), lambda i: ((mask >> (i - 1)::INT) & 1) * i)) AS w FROM range(1, 8) a(n), range(0, 128) b(mask) WHERE mask < (1 << n::INT)),
+tail AS (SELECT docket, count(*) AS m FROM g JOIN signs ON signs.n = g.n AND w <= least(w_plus, w_minus) GROUP BY 1)
+SELECT docket, n, w_plus, w_minus, round(least(1, 2 * m / pow(2, n)), 9) AS p FROM g JOIN tail USING (docket)"""
+
+
+def ks_by_docket(s, d):
+    return M.ks_tests(V.results(s, d), "A", "B", ["docket"]).select("docket", "n", "m", F.round("d", 9).alias("d"), F.round("p", 9).alias("p"))
+
+
+#: The share of interleavings, value by value, for each size and gap that occurs.
+SQL_KS_DOCKET = f"""WITH RECURSIVE {V.SQL_RESULTS}, r AS (SELECT docket, average_confidence AS v, condition FROM results WHERE condition IN ('A', 'B')),
+t AS (SELECT docket, count(*) FILTER (condition = 'A') AS n, count(*) FILTER (condition = 'B') AS m FROM r GROUP BY 1 HAVING n > 0 AND m > 0),
+c AS (SELECT docket, sum((condition = 'A')::INT) OVER w AS x, sum((condition = 'B')::INT) OVER w AS y FROM r WINDOW w AS (PARTITION BY docket ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS MATERIALIZED (SELECT docket, n, m, CAST(max(abs(x * m - y * n)) AS BIGINT) AS apart FROM c JOIN t USING (docket) GROUP BY ALL),
+k(n, m, apart, t, share) AS (SELECT DISTINCT n, m, apart, CAST(0 AS BIGINT), list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 AND apart <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM g
+UNION ALL SELECT n, m, apart, t + 1, list_transform(range(0, n + 1), lambda i: CASE WHEN i > t + 1 OR t + 1 - i > m THEN 0.0::DOUBLE WHEN abs(i * m - (t + 1 - i) * n) >= apart THEN 1.0::DOUBLE
+ ELSE (CASE WHEN i > 0 THEN share[i] * i ELSE 0.0 END + CASE WHEN t + 1 > i THEN share[i + 1] * (t + 1 - i) ELSE 0.0 END)::DOUBLE / (t + 1) END) FROM k WHERE t < n + m)
+SELECT docket, g.n, g.m, round(g.apart::DOUBLE / (g.n * g.m), 9) AS d, round(CASE WHEN g.apart <= 0 THEN 1 ELSE share[g.n + 1] END, 9) AS p FROM g JOIN k ON k.n = g.n AND k.m = g.m AND k.apart = g.apart AND k.t = g.n + g.m"""
+
+
 def spoiler_citation(s, d):
     return M.spoiler_rates(V.results(s, d))
 
@@ -545,6 +588,9 @@ QUERIES = {
     "paired_t": (paired_t, f"WITH {V.SQL_RESULTS}, {SQL_PAIR.format(v='justice_accuracy')}, g AS (SELECT count(*) AS n, avg(y - x) AS m, coalesce(stddev_samp(y - x), 0) AS s FROM pair) SELECT n, round(m, 6) AS mean_diff, round(s, 6) AS std_diff, round(CASE WHEN s = 0 THEN 0 ELSE m / s END, 6) AS cohens_d, round(CASE WHEN s = 0 THEN 0 ELSE -m / (s / sqrt(n)) END, 6) AS t FROM g"),
     "wilcoxon_ranks": (wilcoxon_ranks, f"WITH {V.SQL_RESULTS}, {SQL_PAIR.format(v='justice_accuracy')}, d AS (SELECT round(y - x, 12) AS d FROM pair WHERE round(y - x, 12) <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY abs(d)) AS t FROM d) SELECT count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0), 6) AS w_plus, round(coalesce(sum(r) FILTER (d < 0), 0), 6) AS w_minus, round(coalesce(sum(t::DOUBLE * t - 1), 0), 6) AS tie_term FROM r"),
     "ks_statistic": (ks_statistic, f"WITH {V.SQL_RESULTS}, r AS (SELECT average_confidence AS v, condition FROM results WHERE condition IN ('A', 'B')), t AS (SELECT count(*) FILTER (condition = 'A') AS n, count(*) FILTER (condition = 'B') AS m FROM r), c AS (SELECT DISTINCT v, sum((condition = 'A')::INT) OVER w AS x, sum((condition = 'B')::INT) OVER w AS y FROM r WINDOW w AS (ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m, round(max(abs(x::DOUBLE / n - y::DOUBLE / m)), 9) AS d FROM c, t"),
+    "mcnemar_by_docket": (mcnemar_by_docket, SQL_MCNEMAR_DOCKET),
+    "wilcoxon_by_docket": (wilcoxon_by_docket, SQL_WILCOXON_DOCKET),
+    "ks_by_docket": (ks_by_docket, SQL_KS_DOCKET),
     "spoiler_citation": (spoiler_citation, f"WITH {V.SQL_RESULTS} SELECT coalesce(condition, 'all') AS condition, count(*) AS runs, {CNT.format('spoiler_cited_in_reasoning')} AS cited, round(count(*) FILTER (spoiler_cited_in_reasoning)::DOUBLE / count(*), 3) AS rate FROM results WHERE inject_spoiler GROUP BY ROLLUP (condition)"),
     "susceptible_voters": (susceptible_voters, f"WITH {V.SQL_RESULTS} SELECT justice, count(*) AS times FROM (SELECT unnest(spoiler_cited_justices) AS justice FROM results) GROUP BY 1"),
     "justice_by_condition": (justice_by_condition, f"WITH {V.SQL_RESULTS} SELECT 'J' || justice_correct AS justice, " + ", ".join(f"round(avg(case_correct::INT) FILTER (condition = '{c}'), 3) AS {c}" for c in "ABCD") + " FROM results GROUP BY 1"),

@@ -130,7 +130,7 @@ def test_experiment(spark):
 def test_signed_ranks_with_ties(spark):
     r = spark.createDataFrame([(f"d{i}", "m", 1, c, 0, v) for i, (a, b) in enumerate([(0, 1), (0, -1), (0, 2), (0, 0)]) for c, v in (("A", float(a)), ("B", float(b)))], "docket string, llm_model string, replicate int, condition string, seq int, justice_accuracy double")
     got = M.signed_ranks(r, "A", "B").first()
-    assert (got.n, got.w_plus, got.w_minus, got.tie_term) == (3, 4.5, 1.5, 6.0)
+    assert (got.n, got.w_plus, got.w_minus, got.tie_term, got.zeros) == (3, 4.5, 1.5, 6.0, 1)
 
 
 def test_quota_and_split(spark):

@@ -103,9 +103,8 @@ def headers(text: str) -> list[Header]:
 def is_citation(text: str, at: int) -> bool:
     """An open parenthesis stands before the place, or a number on its line."""
     lead = text[max(0, at - P.CITED_WITHIN) : at]
-    if lead.rstrip().endswith("("):
-        return True
-    return "\n" not in lead[-P.SAME_LINE_WITHIN :] and lead.rstrip().removesuffix("(").rstrip()[-1:].isdecimal()
+    last = lead.rstrip()[-1:]
+    return last == "(" or last.isdecimal() and "\n" not in lead[-P.SAME_LINE_WITHIN :]
 
 
 def boundaries(text: str, reserve_first: bool = True) -> list[Header]:

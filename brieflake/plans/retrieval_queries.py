@@ -10,6 +10,7 @@ from brieflake.functions import text as X
 from brieflake.operators import filters as FL
 from brieflake.operators import index as IX
 from brieflake.operators import retrieval as R
+from brieflake.operators.latent import Latent
 from brieflake.operators.neighbours import nearest
 from brieflake.plans import surrogates as V
 from brieflake.sources import readers as IO
@@ -136,6 +137,23 @@ def hybrid_interleave(s, d):
     return R.fuse(*_lists(s, d), 10, mode="interleave")
 
 
+def latent_topk(s, d):
+    """The documents nearest to each question in the space of their own texts."""
+    content = docs(s, d)
+    model = Latent(content)
+    vectors = model.embed(content).withColumnRenamed("doc_id", "vec_id")
+    asked = model.embed(questions(s, d).withColumnRenamed("query", "content"), "query_id").withColumnRenamed("embedding", "q")
+    return nearest(vectors, asked, 10).withColumnRenamed("vec_id", "doc_id")
+
+
+def hybrid_latent(s, d):
+    """Both lists over all documents: BM25, and the documents' own vectors."""
+    content = docs(s, d)
+    first = R.bm25_topk(content, questions(s, d), 10).join(content, "doc_id").select("query_id", "rank", "doc_id", "content")
+    second = latent_topk(s, d).join(content, "doc_id").select("query_id", "rank", "doc_id", "content")
+    return R.fuse(first, second, 10, mode="interleave")
+
+
 def rerank_lexical(s, d):
     hits = R.bm25_topk(docs(s, d), questions(s, d), 50).join(docs(s, d), "doc_id").join(R.small(questions(s, d)), "query_id")
     return R.rerank(hits.select("query_id", "query", "rank", "doc_id", "content"), 10)
@@ -386,6 +404,8 @@ QUERIES = {
     "vector_topk": (vector_topk, f"WITH {SQL_NEAR} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, distance FROM near QUALIFY rank <= 10"),
     "hybrid_fuse": (hybrid_fuse, "WITH " + SQL_LISTS.replace("{o}", "list, rank")),
     "hybrid_interleave": (hybrid_interleave, "WITH " + SQL_LISTS.replace("{o}", "rank, list")),
+    "latent_topk": (latent_topk, None),
+    "hybrid_latent": (hybrid_latent, None),
     "rerank_lexical": (rerank_lexical, f"WITH {SQL_BM25.replace('{k}', '50')}, re AS (SELECT bm.query_id, bm.rank AS old, bm.doc_id, {SQL_OVERLAP.replace('{a}', 'b.text').replace('{b}', 'd.text')} AS score FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN documents d USING (doc_id)) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, doc_id) AS INT) AS rank, doc_id, score FROM re QUALIFY rank <= 10"),
     "typed_multiquery": (typed_multiquery, f"WITH {SQL_BM25.replace('{k}', '10')}, ty AS (SELECT h.query_id AS query_no, h.doc_id, d.lang AS type, d.text, row_number() OVER (PARTITION BY h.query_id, d.lang ORDER BY h.score DESC, h.doc_id) AS r FROM hit h JOIN documents d USING (doc_id) QUALIFY r <= 5), un AS (SELECT * FROM ty QUALIFY row_number() OVER (PARTITION BY text ORDER BY query_no, type, r) = 1) SELECT doc_id, type, query_no, {SQL_OVERLAP.replace('{a}', '(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)').replace('{b}', 'text')} AS score FROM un ORDER BY score DESC, query_no, type, r LIMIT 50"),
     "temporal_postfilter_topk": (temporal_post, f"WITH {SQL_NEAR}, {SQL_TERM} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank, vec_id, term, distance FROM term WHERE f <= 24 AND coalesce(term, 0) < 5 QUALIFY rank <= 8"),

@@ -109,3 +109,71 @@ def test_repeated_pages_in_the_sample(spark):
 
 def test_very_long_page():
     assert H.extract("<div>" + "<p>some words here</p>" * 100_000 + "</div>", {}).count("\n") == 99_999
+
+
+def test_short_blocks_beside_boilerplate_stay():
+    twenty = " ".join(f"word{i}" for i in range(20))
+    said = {
+        f"<h1>Overview</h1><div class='ad'>Buy</div><p>{twenty}</p>": f"Overview\n{twenty}",
+        f"<h1>Overview</h1><p>Short.</p><aside>x</aside><p>{twenty}</p>": f"Overview\nShort.\n{twenty}",
+        f"<p>{twenty}</p><aside>x</aside><p>End.</p>": f"{twenty}\nEnd.",
+        "<p>Body <b class='hidden'>x</b> text</p>": "Body text",
+        f"<div>{twenty}</div><nav><a href=x>Go there</a></nav><div>End</div>": f"{twenty}\nEnd",
+        f"<p>{twenty}</p><div><a href=a>Home</a></div><div><a href=b>Who we are</a></div>": twenty,
+        f"<p>{twenty} <a href=x>a link of five words</a></p>": f"{twenty} a link of five words",
+    }
+    assert {page: H.extract(f"<body>{page}</body>", {}) for page in said} == said
+
+
+def test_comments_and_adverts_by_their_words():
+    long = " ".join(f"word{i}" for i in range(60))
+    gone = "comment-thread comment-body user-comments-thread ad-slot adsbygoogle promo-card cookie-notice-x".split()
+    inside = "".join(f"<div class='{name}'><h3>What readers say</h3><p>{long} bad</p></div>" for name in gone)
+    for page in (f"<article><h1>Title</h1><p>{long}</p>{inside}<p>End here.</p></article>", f"<div><h1>Title</h1><p>{long}</p>{inside}<p>End here.</p></div>"):
+        assert H.extract(f"<body>{page}</body>", {}) == f"Title\n{long}\nEnd here."
+    kept = f"<div class='ad-supported-story'><h1>Title</h1><p>{long}</p><p>{long}</p></div><div class='has-comments'><p>More {long}</p></div><div class=no-ads><p>And more</p></div>"
+    assert H.extract(f"<body>{kept}</body>", {}) == f"Title\n{long}\n{long}\nMore {long}\nAnd more"
+
+
+def _layouts(rng):
+    """Pages of five layouts without <article>: (html, text)."""
+    words = lambda n: " ".join(rng.choice(["stone", "river", "a", "the", "of", "light", "seven", "Paris", "walks"]) + str(rng.randint(0, 99)) for _ in range(n))
+    junk = [
+        f"<nav><ul><li><a href=/>{words(2)}</a></li><li><a href=/a>{words(1)}</a></li></ul></nav>", f"<div class='ad-slot'><p>{words(12)}</p></div>", f"<aside><h3>{words(2)}</h3><p>{words(20)}</p></aside>",
+        f"<section id='comments'><h2>{words(2)}</h2><div class='comment-body'><p>{words(30)}</p></div></section>", f"<div class='cookie-notice'>{words(14)}</div>", f"<form><label>{words(3)}</label></form>",
+    ]
+    foot = f"<footer><p>{words(25)}</p></footer><script>var x = '<p>{words(5)}</p>'</script>"
+    for layout in range(5):
+        title, paras = words(rng.randint(1, 8)), [words(rng.choice([1, 3, 8, 40, 90])) for _ in range(rng.randint(2, 9))]
+        extra = [rng.choice(junk) if rng.random() < 0.4 else "" for _ in paras]
+        kind = ["p", "p", "div", "p", "li"][layout]
+        body = "".join(f"<{kind}>{p}</{kind}>{x if kind != 'li' else ''}" for p, x in zip(paras, extra))
+        inner = f"<h1>{title}</h1>{'<ul>' + body + '</ul>' if kind == 'li' else body}"
+        shell = ["<main>{}</main>", "<div class='post-content'><div>{}</div></div>", "<div id=page><div class=story>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "{}"][layout]
+        yield f"<html><head><title>{words(3)}</title></head><body><header><a href=/>{words(2)}</a></header>{junk[0]}{shell.format(inner)}{rng.choice(junk)}{foot}</body></html>", "\n".join([title, *paras])
+
+
+def test_five_layouts_without_an_article():
+    import random
+    from collections import Counter
+
+    rng = random.Random(12)
+    labelled: dict = {}
+    for _ in range(40):
+        for k, (a, b) in H.label_counts(PAGE.replace("First", rng.choice(["First", "Next"]))).items():
+            t = labelled.setdefault(k, [0, 0])
+            t[0], t[1] = t[0] + a, t[1] + b
+    for model in ({}, H.weights({k: tuple(v) for k, v in labelled.items()})):
+        had = got = extra = 0
+        for _ in range(60):
+            for page, want in _layouts(rng):
+                a, b = Counter(want.split()), Counter(H.extract(page, model).split())
+                had, got, extra = had + a.total(), got + (a & b).total(), extra + (b - a).total()
+        assert got / had >= 0.98 and extra == 0, (got / had, extra)
+
+
+def test_learned_weights_reach_pages_without_an_article():
+    page = "<body><article>" + "<dt>term of art</dt>" * 30 + "</article></body>"
+    model = H.weights({k: tuple(v) for k, v in H.label_counts(page).items()})
+    assert model["any:w:dt"] == 1.0 and H.weight(model, "w:dt", False) > H.weight({}, "w:dt", False)
+    assert not any(f.endswith("/a") for f in model if f.startswith("any:"))

@@ -4,7 +4,8 @@ Legal: at most one system turn, first; then user and assistant in turn, user fir
 over the automaton of these turns (states: start, after system, after user, after assistant) picks for each turn a
 role and how it joins on: in order (free), merged into a turn of the same role, or after an empty turn of the missing
 role. Costs: MERGE, INSERT for an empty turn, RELABEL for another role, UNKNOWN for giving a role to a turn without a known one.
-The cheapest repair is rendered, one row per turn; the pieces of a conversation in order of `pos` are its text.
+The cheapest repair is rendered, one row per turn; the pieces of a conversation in order of `pos` are its text. In texts `<|` is
+escaped, so parse() gives back the repaired turns and no text can pass for a turn.
 
 A conversation may hold any share of the rows. Turns are dealt by range of (conv_id, turn) and cut into chunks of at
 most CHUNK_TURNS. For a conversation that crosses chunks, each chunk gives the least cost from every state to every
@@ -14,6 +15,7 @@ chunk is repaired by itself. Per chunk one small row meets in the task of its co
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,6 +108,21 @@ def total_cost(roles: list[int | None]) -> int:
     return min(c + ENDS[s][0] for s, c in enumerate(costs))
 
 
+#: What could be read as a header in a turn's text: it gets a backslash more, so that no text forges a turn.
+_OPENING = re.compile(r"<(\\*)\|")
+_HEADER = re.compile(rf"<\|({'|'.join(ROLES)})\|>\n")
+
+
+def escape(text: str) -> str:
+    return _OPENING.sub(lambda m: f"<\\{m[1]}|", text)
+
+
+def parse(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns of a rendered conversation, as they were before they were escaped."""
+    parts = _HEADER.split(rendered)
+    return [(role, re.sub(r"<\\(\\*)\|", r"<\1|", text.removesuffix("\n"))) for role, text in zip(parts[1::2], parts[2::2])]
+
+
 def header(role: int) -> str:
     return f"<|{ROLES[role]}|>\n"
 
@@ -115,7 +132,7 @@ def render(role: int, merged: bool, empty: tuple, text: str | None, last_state:
     end = () if last_state is None else ENDS[last_state][1]
     parts = [f"{header(r)}\n" for r in empty]
     parts.append("\n" if merged else header(role))
-    parts.append(f"{text or ''}\n")
+    parts.append(f"{escape(text or '')}\n")
     parts += [f"{header(r)}\n" for r in end]
     return "".join(parts), len(empty) + len(end)
 

@@ -6,7 +6,8 @@ can only start where a run of its characters starts, or where the match before i
 
 Bootstrap: the identifier-like values of the corpus (RUN: adjacent white-space delimited tokens with a digit or an @,
 up to a base span and without quotes and brackets before and punctuation behind) stand in lexical patterns: the word before them, the two and the three
-words before, and the word before with the word behind; lower-cased, digits as 0. Seeds are the base spans, and strings that can only be keys
+words before, and the word before with the word behind; lower-cased, digits as 0. Where a value follows its label without white
+space (LABEL: `key=`, `key:`, a tag, a cell's bar), the label is its pattern. Seeds are the base spans, and strings that can only be keys
 (SECRET: a kind of its own that isn't reported by itself). Patterns and values form a bipartite graph, scored in ROUNDS rounds. In
 each, a pattern scores, per kind, the sum of its accepted values' scores over the number of its values plus PRIOR; with SUPPORT different
 accepted values and a score of at least CONFIDENT it is a pattern of that kind (the best, if several). The values that stand in
@@ -44,6 +45,9 @@ SECRET = r"^(?=[^A-Za-z]*+[A-Za-z])(?=(?:[^0-9]*+[0-9]){3})[A-Za-z0-9_-]{20,}+$"
 REACH = 256
 #: Quotes and brackets before a value, punctuation and symbols behind it.
 LEADING = r"""^[\"'(\[{<\u00ab\u201c\u2018\u201e]++"""
+#: A label right before a value: what stands between quotes or brackets before it and such behind it.
+LABEL = r"(?:[A-Za-z_][A-Za-z0-9_.-]*+[=:]|<[A-Za-z][^<>\s]*+>|\|)++"
+LABELLED = rf"""^[\"'(\[{{\u00ab\u201c\u2018\u201e]*+({LABEL})[\"'(\[{{<\u00ab\u201c\u2018\u201e]*+"""
 TRAILING = r"(?<![\p{P}\p{S}&&[^@]])[\p{P}\p{S}&&[^@]]++$"
 
 
@@ -166,22 +170,29 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, prior: f
     table = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), tokens.alias("tokens")), "pii")
 
     # each run: the base kinds that start in its first token, or -1 and the tokens up to a base span, if there are any
-    token = table.filter(F.size("tokens") > 0).select("doc_id", "h", "base", F.explode("tokens").alias("t")).filter(F.size("t.patterns") > 0)
-    over = F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    first = F.col("t.start") + F.length(F.regexp_extract("t.value", r"^\S++", 0))
-    starts = F.filter(over, lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < first))
-    ahead = F.substring(F.col("t.value"), F.lit(1), (F.get(over, F.lit(0))["start"] - F.col("t.start")).cast("int"))
-    ahead = F.when(F.size(over) == 0, F.col("t.value")).otherwise(F.regexp_replace(ahead, r"(?<!\S)\S*+$", ""))
-    opened = F.regexp_replace(ahead, LEADING, "")
-    loose = F.regexp_replace(F.regexp_replace(opened, r"(?<!\s)\s++$", ""), TRAILING, "")
-    skipped = F.length(ahead) - F.length(opened)
+    token = table.filter(F.size("tokens") > 0).select("doc_id", "h", "base", F.explode("tokens").alias("t"))
+    # step by step: what is used more than once is a column, so that it is computed once
+    token = token.withColumns({
+        "over": F.filter("base", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start"))),
+        "first": F.col("t.start") + F.length(F.regexp_extract("t.value", r"^\S++", 0)),
+    })
+    token = token.withColumn("starts", F.filter("over", lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < F.col("first"))))
+    cut = F.substring(F.col("t.value"), F.lit(1), (F.get("over", F.lit(0))["start"] - F.col("t.start")).cast("int"))
+    token = token.withColumn("ahead", F.when(F.size("over") == 0, F.col("t.value")).otherwise(F.regexp_replace(cut, r"(?<!\S)\S*+$", "")))
+    token = token.withColumn("opened", F.regexp_replace(F.regexp_replace("ahead", LABELLED, ""), LEADING, ""))
+    token = token.withColumn("loose", F.regexp_replace(F.regexp_replace("opened", r"(?<!\s)\s++$", ""), TRAILING, ""))
+    named = lambda text, pattern: F.regexp_replace(F.lower(F.regexp_extract(text, pattern, 1)), "[0-9]", "0")
+    patterns = lambda name: F.when(name != "", F.array(F.concat(name, F.lit(" *")))).otherwise(F.col("t.patterns"))
+    token = token.withColumn("label", named(F.col("ahead"), LABELLED))
     # a seed's value is its whole span, of which the token may be the first part
     no_skip = F.lit(0)
-    seen = F.transform(starts, lambda b: F.struct(b["k"].alias("kind"), b["value"].alias("value"), no_skip.alias("skip")))
-    kind = F.when(loose.rlike(SECRET), KINDS.index("secret")).otherwise(-1)
-    seen = F.when(loose != "", F.array(F.struct(kind.alias("kind"), loose.alias("value"), skipped.alias("skip")))).otherwise(seen)
+    lead = lambda b: F.substring(F.col("t.value"), F.lit(1), (b["start"] - F.col("t.start")).cast("int"))
+    seen = F.transform("starts", lambda b: F.struct(b["k"].alias("kind"), b["value"].alias("value"), no_skip.alias("skip"), patterns(named(lead(b), LABELLED + "$")).alias("patterns")))
+    kind = F.when(F.col("loose").rlike(SECRET), KINDS.index("secret")).otherwise(-1)
+    itself = F.struct(kind.alias("kind"), F.col("loose").alias("value"), (F.length("ahead") - F.length("opened")).alias("skip"), patterns(F.col("label")).alias("patterns"))
+    seen = F.when(F.col("loose").rlike(r"[\p{L}\p{N}]"), F.array(itself)).otherwise(seen)
     token = token.withColumn("v", F.explode(seen)).withColumn("from", F.col("t.start") + F.col("v.skip"))
-    token = token.select("doc_id", "h", F.col("from").alias("start"), (F.col("from") + F.length("v.value")).alias("end"), F.lower("v.value").alias("value"), F.col("t.patterns").alias("patterns"), F.col("v.kind").alias("kind"))
+    token = token.select("doc_id", "h", F.col("from").alias("start"), (F.col("from") + F.length("v.value")).alias("end"), F.lower("v.value").alias("value"), F.col("v.patterns").alias("patterns"), F.col("v.kind").alias("kind")).filter(F.size("patterns") > 0)
     token = materialize(token, "pii-tokens").withColumn("pattern", F.explode("patterns")).drop("patterns")
 
     edges = materialize(token.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")).select("pattern", "value", "kind"), "pii-edges")

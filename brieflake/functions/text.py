@@ -78,7 +78,7 @@ def other_side(side: Column) -> Column:
 def vote_of(description: Column, winner: Column) -> Column:
     """The side of a vote by its description; null where blank or undecided. A dissent is tested first."""
     low = F.lower(description)
-    with_winner = reduce(lambda a, b: a | b, [low.contains(w) for w in ("majority", "plurality", "concurrence", "judgment")])
+    with_winner = reduce(lambda a, b: a | b, [low.contains(w) for w in P.WITH_WINNER])
     return F.when(low.contains("dissent"), other_side(winner)).when(with_winner, winner)
 
 

@@ -36,8 +36,7 @@ def truth_files(s, d):
     path, r = folder(s, "truth"), V.truth_rows(s, d)
     named = {"docket": "Docket", "term": "Term", "case_name": "CaseName", "winning_party": "WinningParty", "justice": "Justice", "vote_description": "VoteDescription", "actual_vote": "ActualVote"}
     r.orderBy("seq").select(*[F.col(k).alias(v) for k, v in named.items()]).write.option("header", True).csv(path)
-    case, votes = E.normalize_truth(IO.read_truth(s, path))
-    return votes.join(case, "docket").select("docket", "term", "case_name", "winner", "justice", "vote")
+    return IO.read_cases(s, path)
 
 
 def prediction_files(s, d):
@@ -168,7 +167,7 @@ def research_notes(s, d):
 
 def syllabus_contexts(s, d):
     chunks, cases = _case_chunks(s, d)
-    return _digest(PL.syllabus_context(chunks, cases, PL.Config(hits_per_type=5, ranked_hits=12)), "context")
+    return _digest(PL.syllabus_context(chunks, cases, PL.Config()), "context")
 
 
 def _overlap(a: str, b: str) -> str:

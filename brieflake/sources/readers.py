@@ -28,22 +28,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Cells of a row of ground truth that are read; a row may have fewer.
+TRUTH_WIDTH = 64
+
+
 def read_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """All CSV files of a folder, in order of file name and place; columns that a file lacks are null.
+    """All CSV files of a folder, in order of file name and place (`seq`); columns that a file lacks are null.
 
-    Each file is read with its own header, so the files are listed by Spark and read one by one (one a year).
+    One scan for any number of files, whatever their headers: cells are read by place, and each file's first row says
+    which is which (a row a file, so a small side). A file is one task, as a quoted cell may hold line breaks.
     """
-    names = [r.f for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select(F.col("path").alias("f")).orderBy("f").collect()]
     wanted = {"Docket": "docket", "Term": "term", "CaseName": "case_name", "WinningParty": "winning_party", "Justice": "justice", "VoteDescription": "vote_description", "ActualVote": "actual_vote"}
-    out = None
-    for i, name in enumerate(names):
-        # multiLine: a file is never split, so its rows come in order, and quoted cells may hold line breaks
-        raw = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).csv(name)
-        part = raw.select(*[(F.col(k) if k in raw.columns else F.lit(None).cast("string")).alias(v) for k, v in wanted.items()], F.lit(i).alias("file_no"), F.monotonically_increasing_id().alias("line"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "docket string, term int, case_name string, winning_party string, justice string, vote_description string, actual_vote string, seq struct<file_no:int,line:bigint>")
-    return out.withColumn("term", F.coalesce(F.expr("try_cast(term as int)"), F.lit(0))).withColumn("seq", F.struct("file_no", "line")).drop("file_no", "line")
+    cells = [f"c{i}" for i in range(TRUTH_WIDTH)]
+    read = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("multiLine", True).option("encoding", "UTF-8").option("pathGlobFilter", "*.csv").csv(folder)
+    # within a task rows are numbered in order, so a file's smallest number is its header's
+    rows = read.select(F.array(*cells).alias("cells"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    heads = rows.groupBy("file").agg(F.min("line").alias("head"), F.min_by("cells", "line").alias("names"))
+    heads = heads.select("file", "head", *[F.array_position("names", k).cast("int").alias(f"at_{v}") for k, v in wanted.items()])
+    body = rows.join(heads, "file").filter("line > head")
+    cell = lambda v: F.get("cells", F.nullif(F.col(f"at_{v}"), F.lit(0)) - 1).alias(v)
+    got = body.select(*[cell(v) for v in wanted.values()], F.struct("file", "line").alias("seq"))
+    return got.withColumn("term", F.coalesce(F.expr("try_cast(term as int)"), F.lit(0)))
+
+
+def read_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """docket, term, case_name, winner, justice, vote: a row for each vote that can be told from the rows of ground truth."""
+    from brieflake.operators.evaluation import normalize_truth
+
+    case, votes = normalize_truth(read_truth(spark, folder))
+    return votes.join(case, "docket").select("docket", "term", "case_name", "winner", "justice", "vote")
 
 
 def read_predictions(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:

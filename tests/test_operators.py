@@ -159,6 +159,9 @@ def test_sources(spark, tmp_path):
     gt.mkdir()
     (gt / "b.csv").write_text("Docket,Term,CaseName,WinningParty,Justice,VoteDescription,ActualVote\n1-1,2023,N,Petitioner,X,majority,Respondent\n")
     (gt / "a.csv").write_text('Docket,CaseName,WinningParty,Justice,VoteDescription\n1-1,"M, Inc.",Respondent,X,majority\n')
+    (gt / "c.csv").write_text('Justice,ActualVote,Docket,VoteDescription,WinningParty\n"Y\nZ",,1-2,recused,Petitioner\n"Y\nZ",Respondent,1-3,,x\n"W, V",,1-3,"a\n""dissent""",Petitioner\n')
+    assert {(r.docket, r.justice, r.vote, r.term) for r in IO.read_cases(spark, str(gt)).collect()} == {("1-1", "X", "Respondent", 0), ("1-3", "Y\nZ", "Respondent", 0), ("1-3", "W, V", "Petitioner", 0)}
+    (gt / "c.csv").unlink()
     case, votes = E.normalize_truth(IO.read_truth(spark, str(gt)))
     assert case.first().case_name == "M, Inc." and votes.first().vote == "Respondent"
     pr = tmp_path / "pred" / "agents"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brieflake.functions import paths
 from brieflake.functions import patterns as P
 from brieflake.functions import text as X
+from brieflake.operators import classify as C
 from brieflake.operators import datasets as D
 from brieflake.operators import evaluation as E
 from brieflake.operators import filters as FL
@@ -20,6 +21,7 @@ from brieflake.plans import surrogates as V
 from brieflake.plans.retrieval_queries import _SAID, SQL_OVERLAP, SQL_SANITIZE
 from brieflake.plans.vote_queries import FILLERS, FORMATS, SQL_GT, SQL_PRED, preds
 from brieflake.sources import readers as IO
+from brieflake.sources.scratch import written
 
 
 def folder(s, name: str) -> str:
@@ -40,23 +42,25 @@ def truth_files(s, d):
 
 
 def prediction_files(s, d):
-    """Predictions through files of JSON arrays, a folder for each mode."""
+    """Predictions through files of JSON arrays, a folder for each mode, an array a docket."""
     path, p = folder(s, "predictions"), preds(s, d).withColumn("average_confidence", F.round("average_confidence", 6))
-    for mode, own in (("agents", p.filter("replicate = 1")), ("single", p.filter("replicate = 2"))):
-        # an array holds the predictions of a bounded range of dockets, a file one array
-        some = own.groupBy(F.floor(F.col("docket").cast("long") / 2000)).agg(F.to_json(F.collect_list(F.struct("docket", "llm_model", "replicate", "predicted_winner", "vote_split", "average_confidence"))).alias("value"))
-        some.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/{mode}")
-    got = s.read.schema(IO.PREDICTION).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return IO.with_mode(got).select("mode", "docket", "llm_model", "replicate", "predicted_winner", "vote_split", "average_confidence")
+    mode = F.when(F.col("replicate") == 1, "agents").otherwise("single")
+    IO.write_predictions(p.select(mode.alias("mode"), "docket", "llm_model", "replicate", "predicted_winner", "vote_split", "average_confidence"), path)
+    return IO.read_predictions(s, path, lines=True).select("mode", "docket", "llm_model", "replicate", "predicted_winner", "vote_split", "average_confidence")
+
+
+def filing_files(s, d):
+    """Filing rows through their CSV files."""
+    path = folder(s, "filings")
+    IO.write_filings(docket_filings(s, d), path)
+    return IO.read_filings(s, path)
 
 
 def catalog_file(s, d):
-    """An opinion catalog through its JSON file; suppliers as cases, nations as terms."""
+    """An opinion catalog through its JSON files; suppliers as cases, nations as terms."""
     path = folder(s, "catalog")
-    u = IO.table(s, d, "supplier").select("s_nationkey", F.struct(F.concat(F.lit("d"), F.col("s_suppkey").cast("string")).alias("docket"), F.col("s_name").alias("case_name")).alias("r"))
-    terms = u.groupBy("s_nationkey").agg(F.collect_list("r").alias("records"))
-    terms.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("s_nationkey").cast("string"), "records")))).alias("value")).write.text(path)
-    return IO.read_catalog(s, path).select("term", "docket", "case_name")
+    IO.write_catalog(IO.table(s, d, "supplier").select(F.col("s_nationkey").alias("term"), F.concat(F.lit("d"), F.col("s_suppkey").cast("string")).alias("docket"), F.col("s_name").alias("case_name")), path)
+    return IO.read_catalog(s, path, lines=True).select("term", "docket", "case_name")
 
 
 def sft_files(s, d):
@@ -118,6 +122,68 @@ def date_prefixes(s, d):
     return o.select("o_orderkey", X.date_prefix(text).alias("date"))
 
 
+#: Words a line, lines a column; a page is a heading across and two columns.
+_WORDS, _LINES = 8, 20
+_PAGE = _WORDS * (2 * _LINES + 1)
+
+
+def _boxes(s, d):
+    """Lines of the documents' words, set as pages: a heading across the page, then two columns."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    t = IO.table(s, d, "documents").select("doc_id", words.alias("w")).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / _WORDS).cast("int"))).alias("line")).filter("size(w) > 0")
+    line, place = F.array_join(F.slice("w", F.col("line") * _WORDS + 1, _WORDS), " "), F.col("line") % (2 * _LINES + 1)
+    t = t.select("doc_id", F.floor(F.col("line") / (2 * _LINES + 1)).cast("int").alias("page"), line.alias("text"), place.alias("p"))
+    column, row = F.floor((F.col("p") - 1) / _LINES), (F.col("p") - 1) % _LINES
+    head = F.col("p") == 0
+    left, top = F.when(head, 0).otherwise(column * 160), F.when(head, 0).otherwise(20 + row * 12)
+    return t.select("doc_id", "page", "text", left.alias("x0"), top.alias("y0"), F.when(head, 300).otherwise(left + 140).alias("x1"), (top + 10).alias("y1"))
+
+
+def box_pages(s, d):
+    """Page texts from text boxes: the columns are read one after the other, as the words were."""
+    return IO.box_texts(_boxes(s, d), ["doc_id", "page"]).select("doc_id", "page", "boxes", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def first_pages(s, d):
+    """The first 1,000 characters of each document's first page."""
+    got = IO.box_texts(_boxes(s, d).filter("page = 0"), ["doc_id", "page"])
+    return got.select("doc_id", F.md5(IO.first_page(F.array("text")).cast("binary")).alias("digest"))
+
+
+_SQL_PAGES = rf"""w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, CAST(unnest(range((len(w) + {_PAGE} - 1) // {_PAGE})) AS INT) AS page, w FROM w),
+t AS (SELECT doc_id, page, w[page * {_PAGE} + 1:(page + 1) * {_PAGE}] AS w FROM p),
+r AS (SELECT doc_id, page, CAST((len(w) + {_WORDS} - 1) // {_WORDS} AS INT) AS boxes, regexp_replace(regexp_replace(array_to_string(w, ' '), '\s+', ' ', 'g'), '([\p{{L}}\p{{N}}_])-\s+([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS text FROM t)"""
+
+
+def fallback_types(s, d):
+    """Types of pages: of the rules where one applies, else learned from the words of the pages that a rule names."""
+    p = IO.table(s, d, "pages")
+    extra = F.element_at(F.array(*[F.lit(x) for x in _EXTRA]), (F.col("page_id") % len(_EXTRA) + 1).cast("int"))
+    t = p.select("page_id", FL.document_type(extra, F.lit("")).alias("label"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
+    names = [n for n, _ in P.DOCUMENT_TYPES]
+    weights, totals = C.fit(t, names)
+    rest = t.filter(F.col("label") == P.UNCATEGORIZED)
+    learned = C.predict(rest, "page_id", written(weights, "type_weights"), totals, names, P.UNCATEGORIZED).select("page_id", F.col("label").alias("type"), F.round("probability", 6).alias("probability"), F.lit(True).alias("learned"))
+    return t.filter(F.col("label") != P.UNCATEGORIZED).select("page_id", F.col("label").alias("type"), F.lit(1.0).alias("probability"), F.lit(False).alias("learned")).unionByName(learned)
+
+
+_EXTRA = ("amicus", "joint appendix", "reply", "brief for petitioner", "", "oralarg")
+_NAMES = [n for n, _ in P.DOCUMENT_TYPES]
+_SQL_CASE = "CASE " + " ".join(f"WHEN regexp_matches(extra || ' ', '{p}') THEN '{n}'" for n, p in P.DOCUMENT_TYPES) + " END"
+SQL_FALLBACK = f"""WITH e AS (SELECT page_id, [{', '.join(f"'{x}'" for x in _EXTRA)}][page_id % {len(_EXTRA)} + 1] AS extra, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages),
+t AS (SELECT page_id, {_SQL_CASE} AS label, text FROM e),
+k AS (SELECT page_id, label, ('0x' || substring(md5(unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))), 1, 4))::INT AS bucket FROM t),
+n AS (SELECT label, bucket, count(*) AS n FROM k WHERE label IS NOT NULL GROUP BY ALL),
+c AS (SELECT label, count(*) AS docs FROM t WHERE label IS NOT NULL GROUP BY 1), z AS (SELECT label, sum(n) AS size FROM n GROUP BY 1),
+u AS (SELECT page_id, bucket, count(*) AS f FROM k WHERE label IS NULL GROUP BY ALL),
+h AS (SELECT page_id, n.label, sum(f * ln(n + 1)) AS s FROM u JOIN n USING (bucket) GROUP BY ALL),
+l AS (SELECT page_id, coalesce(sum(f), 0) AS size FROM (SELECT page_id FROM t WHERE label IS NULL) LEFT JOIN u USING (page_id) GROUP BY 1),
+g AS (SELECT l.page_id, c.label, list_position([{', '.join(f"'{x}'" for x in _NAMES)}], c.label) AS place, ln(docs / (SELECT sum(docs) FROM c)) + coalesce(h.s, 0) - l.size * ln(coalesce(z.size, 0) + 65536) AS score FROM l CROSS JOIN c LEFT JOIN z ON z.label = c.label LEFT JOIN h ON h.page_id = l.page_id AND h.label = c.label),
+b AS (SELECT *, max(score) OVER (PARTITION BY page_id) AS best FROM g)
+SELECT page_id, label AS type, 1.0::DOUBLE AS probability, false AS learned FROM t WHERE label IS NOT NULL
+UNION ALL SELECT page_id, arg_min(label, place) FILTER (score = best), round(1 / sum(exp(score - best)), 6), true FROM b GROUP BY page_id"""
+
 # ---------------------------------------------------------------- state of runs
 
 
@@ -236,6 +302,10 @@ QUERIES = {
     "docket_folders": (docket_folders, f"WITH {V.SQL_CASES} SELECT DISTINCT docket FROM cases WHERE o_orderkey % 3 < 2"),
     "docket_filings": (docket_filings, SQL_FILING_ROWS),
     "opinion_tables": (opinion_tables, SQL_OPINION_ROWS),
+    "filing_files": (filing_files, f"SELECT date, description, link_text, filename, original_filename, url FROM ({SQL_FILING_ROWS})"),
+    "box_pages": (box_pages, f"WITH {_SQL_PAGES} SELECT doc_id, page, boxes, md5(text) AS digest FROM r"),
+    "first_pages": (first_pages, f"WITH {_SQL_PAGES} SELECT doc_id, md5(substring(text, 1, 1000)) AS digest FROM r WHERE page = 0"),
+    "fallback_types": (fallback_types, SQL_FALLBACK),
     "date_prefixes": (date_prefixes, "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%b %d %Y') ELSE '' END AS date FROM orders"),
     "available_models": (available_models, "SELECT n_name AS model FROM nation WHERE n_regionkey <> 0"),
     "docket_resume": (docket_resume, f"WITH {V.SQL_CASES}, m AS (SELECT term, max(o_orderkey) AS last FROM cases WHERE term <> 1994 AND o_orderkey % 7 = 0 AND o_orderkey < 2000 GROUP BY 1) SELECT c.term, o_orderkey AS number FROM cases c LEFT JOIN m USING (term) WHERE last IS NULL OR o_orderkey > last"),

@@ -498,7 +498,8 @@ def case_limit(s, d):
 
 def condition_pick(s, d):
     conditions = s.createDataFrame(list(P.CONDITIONS), "label string, name string, inject_spoiler boolean, use_defence boolean")
-    return FL.pick_conditions(conditions, ["d", "x", "A"])
+    runs = V.results(s, d).groupBy(F.col("condition").alias("label")).agg(F.count("*").alias("runs"))
+    return FL.pick_conditions(conditions.join(runs, "label"), ["d", "x", "A"])
 
 
 def set_operations(s, d):
@@ -620,6 +621,6 @@ QUERIES = {
     "resume_antijoin": (resume_antijoin, SQL_PLAN + " SELECT * FROM plan WHERE NOT (replicate = 1 AND condition <> 'D')"),
     "catalog_upsert": (catalog_upsert, f"WITH {V.SQL_CASES}, f AS (SELECT term, docket, upper(case_name) AS case_name FROM cases WHERE term IN (1996, 1998) AND docket LIKE '%1') SELECT term, docket, case_name FROM cases WHERE term NOT IN (SELECT term FROM f) UNION ALL SELECT * FROM f"),
     "case_limit": (case_limit, f"WITH {V.SQL_CASES} SELECT term, docket, o_orderkey FROM cases WHERE winner = 'Petitioner' QUALIFY row_number() OVER (PARTITION BY term ORDER BY docket) <= 12"),
-    "condition_pick": (condition_pick, "SELECT * FROM (VALUES ('D', 'anti_contamination_spoiler', true, true, 0), ('A', 'baseline', false, false, 2)) t(label, name, inject_spoiler, use_defence, position)"),
+    "condition_pick": (condition_pick, f"WITH {V.SQL_RESULTS} SELECT t.*, r.runs FROM (VALUES ('D', 'anti_contamination_spoiler', true, true, 0), ('A', 'baseline', false, false, 2)) t(label, name, inject_spoiler, use_defence, position) JOIN (SELECT condition AS label, count(*) AS runs FROM results GROUP BY 1) r USING (label)"),
     "set_operations": (set_operations, SQL_PRED + " SELECT (SELECT count(*) FROM (SELECT docket FROM pred INTERSECT SELECT docket FROM truth_cases)) AS both, (SELECT count(DISTINCT llm_model) FROM pred) AS models, (SELECT count(DISTINCT term) FROM truth_cases) AS terms"),
 }

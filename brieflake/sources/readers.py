@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from brieflake.functions import patterns as P
 from brieflake.functions import text as X
+from brieflake.operators.layout import pages_in_order
 
 VOTE = T.StructType().add("vote", "string").add("confidence", "double").add("reasoning", "string").add("is_final", "boolean")
 PREDICTION = (
@@ -59,9 +60,14 @@ def read_cases(spark: SparkSession, folder: str) -> DataFrame:
     return votes.join(case, "docket").select("docket", "term", "case_name", "winner", "justice", "vote")
 
 
-def read_predictions(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """JSON arrays of predictions; a missing mode is the name of the folder above."""
-    return with_mode(spark.read.schema(PREDICTION).option("multiLine", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json").json(folder))
+def read_predictions(spark: SparkSession, folder: str, recursive: bool = True, lines: bool = False) -> DataFrame:
+    """JSON arrays of predictions; a missing mode is the name of the folder above.
+
+    An array a file, however it is laid out, or with `lines` an array a line (as `write_predictions` writes it): such files
+    are split among tasks.
+    """
+    read = spark.read.schema(PREDICTION).option("multiLine", not lines).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{json,txt}")
+    return with_mode(read.json(folder))
 
 
 def with_mode(raw: DataFrame) -> DataFrame:
@@ -78,9 +84,10 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("pathGlobFilter", "*_cond*.json").json(folder)
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object term -> list of records, as rows; the key is the term."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(RECORD))).alias("m"))
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON objects term -> list of records, as rows; the key is the term. A file is one object, or with `lines` (as
+    `write_catalog` writes it) each line is one, and files are split among tasks."""
+    raw = spark.read.text(path, wholetext=not lines).select(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(RECORD))).alias("m"))
     return raw.select(F.explode("m").alias("k", "records")).select(F.col("k").cast("int").alias("k"), F.explode("records").alias("r")).select(F.col("k").alias("term"), *[F.col(f"r.{f}").alias(f) for f in RECORD.names if f != "term"])
 
 
@@ -208,8 +215,15 @@ def opinion_records(pages: DataFrame, host: str = "https://example.org") -> Data
     return got.select("term", "docket", "case_name", "date", "author_initials", X.author_name(F.col("author_initials")).alias("author_name"), "pdf_url", F.element_at(F.split("pdf_url", "/"), -1).alias("pdf_filename"))
 
 
+def box_texts(boxes: DataFrame, keys: list[str], normalize: bool = True) -> DataFrame:
+    """boxes (keys, x0, y0, x1, y1, text) -> (keys, boxes, text): pages in reading order, white space and hyphens mended."""
+    got = pages_in_order(boxes, keys)
+    return got.withColumn("text", X.normalize_page(F.col("text"))) if normalize else got
+
+
 def page_texts(files: DataFrame, extractor, normalize: bool = True) -> DataFrame:
-    """files (path, content) -> (path, page, text) by a pluggable extractor(bytes) -> list of page texts."""
+    """files (path, content) -> (path, page, text) by a pluggable extractor(bytes) -> list of page texts; extractors that
+    give boxes go through `box_texts`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -233,11 +247,45 @@ def present_segments(segments: DataFrame, catalog: DataFrame) -> tuple[DataFrame
 
 
 def write_filings(rows: DataFrame, path: str) -> None:
-    rows.select(*FILING_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    """Filing rows in their fixed order of columns; quotes in cells are doubled, as in RFC 4180."""
+    rows.select(*FILING_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
 
+def read_filings(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_filings` wrote; its cells hold no line breaks, so files are split among tasks. CSV doesn't tell null
+    from empty: both are read as empty."""
+    got = spark.read.schema(", ".join(f"{c} string" for c in FILING_COLUMNS)).option("header", True).option("escape", '"').csv(path)
+    return got.na.fill("")
 
-def write_predictions(pred: DataFrame, path: str) -> None:
-    pred.write.mode("overwrite").partitionBy("mode", "docket").json(path)
+
+#: Replicates of a docket that share an array of predictions.
+ARRAY_REPLICATES = 1000
+
+
+def write_predictions(pred: DataFrame, path: str, folders: bool = False) -> None:
+    """One JSON array for each mode and docket, below `mode=<mode>/`: an array a line, or with `folders` a folder and a
+    file a docket (for readers that want a file each; not for millions of dockets).
+
+    Modes (with `folders`: dockets) that come in replace what is there, others stay, so that a run that is repeated doesn't
+    double. Nothing is replaced before all tasks have finished: a write that fails leaves the old files whole. A docket of
+    over ARRAY_REPLICATES replicates gets an array for each so many. A null mode or docket is a key of its own.
+    """
+    part = F.floor(F.coalesce(F.col("replicate") if "replicate" in pred.columns else F.lit(0), F.lit(0)) / ARRAY_REPLICATES)
+    arrays = pred.groupBy("mode", "docket", part.alias("part")).agg(F.array_sort(F.collect_list(F.to_json(F.struct(*pred.columns)))).alias("texts"))
+    body = F.concat(F.lit("["), F.array_join("texts", ","), F.lit("]"))  # sorted, so the rows alone decide the file
+    keys = ["mode", "docket"] if folders else ["mode"]
+    out = arrays.select(*keys, body.alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+    (out.option("maxRecordsPerFile", 1) if folders else out).text(path)
+
+
+def write_catalog(records: DataFrame, path: str, most: int = 2000) -> None:
+    """records (term, ...) as JSON objects term -> list of records, an object a line. A term is cut by a hash of the records
+    into as many lists as all records need at `most` a list, so that a term of any size meets in no task."""
+    pieces = 1 + records.count() // most
+    fields = [c for c in records.columns if c != "term"]
+    piece = F.pmod(F.xxhash64(*fields), F.lit(pieces))
+    lists = records.groupBy("term", piece.alias("piece")).agg(F.collect_list(F.struct(*fields)).alias("records"))
+    lists.select(F.to_json(F.create_map(F.col("term").cast("string"), "records")).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

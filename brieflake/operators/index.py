@@ -1,8 +1,9 @@
 """A persisted inverted index for BM25: built once, asked often, kept up to date without reading old texts.
 
 An index is a folder: `segments/<name>` holds blocks, `manifest` one version after another of what counts.
-Documents are dealt by hash into slots of about BLOCK documents. A block is a term's postings in one slot, ordered by id, with a header
-(how many, largest term frequency, smallest length), so no group grows with the corpus. The block without a term lists a slot's documents.
+Documents go, as they come, into slots of at most BLOCK documents (about so many after `compact`). A block is a term's postings in one slot, ordered by id,
+with a header (how many, largest term frequency, smallest length), so no group grows with the corpus. The block without a term lists a slot's documents.
+Blocks are made where the texts are read (operators.postings) and written without a shuffle.
 
 A query reads headers first: a slot's bound is the sum, over the query's terms, of the impact of its header, which no document there can
 exceed. The SEEDS best slots of each query are scored in full; their k-th score then rules out every slot whose bound is below it,
@@ -13,21 +14,20 @@ A version is written last and names all its segments: a failed write leaves the
 
 from __future__ import annotations
 
-import math
 import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brieflake.operators.retrieval import asked_terms, filled, idf_of, impact, small, tokens, top, weighed
+from brieflake.operators import postings as PO
+from brieflake.operators.ordered import running_sums
+from brieflake.operators.retrieval import asked_terms, filled, idf_of, impact, small, top, weighed
 from brieflake.sources.scratch import spread, written
 
-#: Documents of a slot, on average.
+#: Documents of a slot.
 BLOCK = 512
-#: A term's blocks are dealt to this many tasks and files.
-WAYS = 16
 #: Slots of a query that are scored before the others are ruled out.
 SEEDS = 4
 
@@ -77,66 +77,34 @@ def blocks(spark: SparkSession, at: State) -> DataFrame | None:
     return spark.read.option("basePath", f"{at.path}/segments").parquet(*[f"{at.path}/segments/segment={name}" for name in names])
 
 
-def _term_counts(w: Column) -> Column:
-    """array<struct<term, tf>> of an array of words: runs of the sorted array."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i) != F.get(s, i - 1), F.lit(True)))
-
-        def cut(at: Column) -> Column:
-            return F.transform(at, lambda x, j: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - x).alias("tf")))
-
-        # as lambda variables the arrays are made once, not for each element
-        return F.transform(F.array(starts), cut)[0]
-
-    return F.when(F.size(w) > 0, F.transform(F.array(F.sort_array(w)), runs)[0]).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
-
-
-def _headed(grouped: DataFrame) -> DataFrame:
-    p = F.col("postings")
-    return grouped.select("bucket", "term", "slot", F.size(p).alias("n"), F.array_max(F.transform(p, lambda x: x["tf"])).alias("max_tf"), F.array_min(F.transform(p, lambda x: x["len"])).alias("min_len"), "postings")
-
-
-def _gathered(rows: DataFrame, slots: int) -> DataFrame:
-    """Blocks of rows (term, id, tf, len): one shuffle, by which a term's slots go to WAYS tasks."""
-    buckets = max(WAYS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // WAYS)
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots)).cast("int")
-    keyed = rows.select(F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int").alias("bucket"), (slot % WAYS).alias("way"), "term", slot.alias("slot"), F.struct("id", "tf", "len").alias("p"))
-    grouped = keyed.repartition("bucket", "way").groupBy("bucket", "way", "term", "slot").agg(F.sort_array(F.collect_list("p")).alias("postings"))
-    return _headed(grouped)
-
-
 def _write(table: DataFrame, path: str) -> str:
+    """A segment of these blocks; those without a term lie apart."""
     name = uuid.uuid4().hex
-    table.write.partitionBy("bucket").parquet(f"{path}/segments/segment={name}")
+    bucket = F.when(F.col("term").isNull(), -1).otherwise(0).alias("bucket")
+    table.select(bucket, "term", "slot", "n", "max_tf", "min_len", "postings").write.partitionBy("bucket").parquet(f"{path}/segments/segment={name}")
     return name
 
 
-def _slots(documents: int) -> int:
-    return max(1, math.ceil(documents / BLOCK))
-
-
 def document_frequencies(table: DataFrame) -> DataFrame:
     """term, df: from the headers alone."""
     return table.filter("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def _commit(spark: SparkSession, path: str, version: int, segments: list[tuple[str, int]]) -> State:
+def _commit(spark: SparkSession, path: str, version: int, names: list[str]) -> State:
     """Statistics of the segments from their headers and lists of documents, then the version that names them."""
-    at = State(path, version, segments, 0, 0, 0.0)
-    table = blocks(spark, at)
+    table = blocks(spark, State(path, version, [(name, 0) for name in names], 0, 0, 0.0))
     sizes = {}
     if table is not None:
-        sizes = {r.segment: (r.documents, r.length) for r in table.filter("bucket = -1").groupBy("segment").agg(F.sum("n").alias("documents"), F.sum(F.aggregate("postings", F.lit(0).cast("long"), lambda s, p: s + p["len"])).alias("length")).collect()}
-    n, total = sum(d for d, _ in sizes.values()), sum(x for _, x in sizes.values())
+        sizes = {r.segment: (r.slots, r.documents, r.length) for r in table.filter("bucket = -1").groupBy("segment").agg(F.count("*").alias("slots"), F.sum("n").alias("documents"), F.sum(F.aggregate("postings", F.lit(0).cast("long"), lambda s, p: s + p["len"])).alias("length")).collect()}
+    n, total = sum(d for _, d, _ in sizes.values()), sum(x for _, _, x in sizes.values())
     words = document_frequencies(table).agg(F.count("*").alias("v"), F.avg(idf_of(F.col("df"), n)).alias("mean")).first() if table is not None else None
     vocabulary, mean = (words.v, words.mean or 0.0) if words else (0, 0.0)
-    rows = [(name, slots, *sizes.get(name, (0, 0)), n, total, vocabulary, mean, version) for name, slots in segments] or [(None, 0, 0, 0, 0, 0, 0, 0.0, version)]
+    rows = [(name, *sizes.get(name, (0, 0, 0)), n, total, vocabulary, mean, version) for name in names] or [(None, 0, 0, 0, 0, 0, 0, 0.0, version)]
     spark.createDataFrame(rows, f"{_MANIFEST}, version int").coalesce(1).write.mode("append").partitionBy("version").parquet(f"{path}/manifest")
-    return State(path, version, segments, n, total, mean)
+    return State(path, version, [(name, sizes.get(name, (0,))[0]) for name in names], n, total, mean)
 
 
-def _without(spark: SparkSession, at: State, ids: DataFrame) -> list[tuple[str, int]]:
+def _without(spark: SparkSession, at: State, ids: DataFrame) -> list[str]:
     """The segments without these documents (doc_id): a segment that holds some is written anew, from its blocks."""
     table = blocks(spark, at)
     if table is None:
@@ -144,15 +112,16 @@ def _without(spark: SparkSession, at: State, ids: DataFrame) -> list[tuple[str,
     listed = table.filter("bucket = -1").select("segment", "slot", F.explode("postings.id").alias("doc_id"))
     dead = written(listed.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), "index-dead")
     hit = {r.segment for r in dead.select("segment").distinct().collect()}
-    kept = [(name, slots) for name, slots in at.segments if name not in hit]
+    kept = [name for name, _ in at.segments if name not in hit]
     # at most a slot's documents in a row
     gone = written(dead.groupBy("segment", "slot").agg(F.collect_set("doc_id").alias("gone")), "index-gone")
-    for name, slots in at.segments:
+    columns = ["term", "slot", "n", "max_tf", "min_len", "postings"]
+    for name, _ in at.segments:
         if name in hit:
-            mine = table.filter(F.col("segment") == name).join(gone, ["segment", "slot"], "left")
-            left = F.when(F.col("gone").isNull(), F.col("postings")).otherwise(F.filter("postings", lambda p: ~F.array_contains("gone", p["id"])))
-            fresh = _headed(mine.withColumn("postings", left).filter(F.size("postings") > 0))
-            kept.append((_write(fresh, at.path), slots))
+            mine, dying = table.filter(F.col("segment") == name).select(*columns), small(gone.filter(F.col("segment") == name).select("slot", "gone"))
+            # only a slot's list of documents brings what is gone; slots without any stay as they are
+            changed = mine.join(dying, "slot").select(*columns, F.when(F.col("term").isNull(), F.col("gone")).alias("gone"))
+            kept.append(_write(PO.without(changed, ["slot"]).unionByName(mine.join(dying.select("slot"), "slot", "left_anti")), at.path))
     return kept
 
 
@@ -167,11 +136,7 @@ def upsert(docs: DataFrame, path: str) -> State:
     kept = _without(spark, at, docs)
     documents = docs.count()
     if documents:
-        slots = _slots(documents)
-        words = spread(docs).select(F.col("doc_id").alias("id"), F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")).alias("w"))
-        itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf")))
-        rows = words.select("id", F.size("w").alias("len"), F.explode(F.concat(itself, _term_counts(F.col("w")))).alias("t")).select("t.term", "id", "t.tf", "len")
-        kept.append((_write(_gathered(rows, slots), path), slots))
+        kept.append(_write(PO.term_blocks(spread(docs).select("doc_id", F.coalesce("content", F.lit("")).alias("content")), BLOCK), path))
     return _commit(spark, path, at.version + 1, kept)
 
 
@@ -183,13 +148,20 @@ def remove(ids: DataFrame, path: str) -> State:
 
 
 def compact(spark: SparkSession, path: str) -> State:
-    """All segments as one, from their postings: no text is read."""
+    """All segments as one, from their blocks: no text is read. Slots in a row of under BLOCK documents in all become one; a
+    slot that stays alone is taken over as it is."""
     at = state(spark, path)
     if len(at.segments) < 2:
         return at
-    slots = _slots(at.n)
-    rows = blocks(spark, at).select("term", F.explode("postings").alias("p")).select("term", "p.id", "p.tf", "p.len")
-    return _commit(spark, path, at.version + 1, [(_write(_gathered(rows, slots), path), slots)])
+    table = blocks(spark, at)
+    sums = running_sums(table.filter("bucket = -1").select("segment", "slot", F.col("n").cast("long").alias("n")), ["segment", "slot"], ["n"])
+    placed = written(sums.select("segment", "slot", F.floor(F.col("n_before") / BLOCK).alias("into")), "index-places")
+    alone = placed.groupBy("into").agg((F.count("*") == 1).alias("alone"))
+    rows = table.join(small(placed.join(alone, "into")), ["segment", "slot"])
+    columns = ["term", F.col("into").alias("slot"), "n", "max_tf", "min_len", "postings"]
+    # at most a term's blocks in slots that become one
+    met = rows.filter("not alone").groupBy("into", "term").agg(F.sum("n").cast("int").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"), F.sort_array(F.flatten(F.collect_list("postings"))).alias("postings"))
+    return _commit(spark, path, at.version + 1, [_write(rows.filter("alone").select(*columns).unionByName(met.select(*columns)), path)])
 
 
 def documents(spark: SparkSession, at: State) -> DataFrame:
@@ -228,18 +200,21 @@ class Search:
         mine = self.table.filter("term is not null").select("term", "n").join(small(asked.select("term").distinct()), "term", "left_semi")
         dfs = mine.groupBy("term").agg(F.sum("n").alias("df"))
         self.asked = small(weighed(asked, dfs, self.at.n, self.at.mean_idf))
-        # headers only; what a term can add, at most: nothing if its idf is below zero
-        most = F.greatest(F.col("times") * F.col("idf") * impact(F.col("max_tf"), F.col("min_len"), self.at.mean_length), F.lit(0.0))
-        heads = self.table.filter("term is not null").select("segment", "slot", "term", "n", "max_tf", "min_len").join(self.asked, "term")
-        self.bounds = written(heads.groupBy("query_id", "segment", "slot").agg(F.sum(most).alias("bound"), F.sum("n").alias("n")), "index-bounds")
+        self.asks = small(PO.asks(self.asked, self.asked.select("query_id").distinct().count()))
+        # headers only
+        heads = self.table.filter("term is not null").select("segment", "slot", "term", "n", "max_tf", "min_len").join(self.asks, "term").drop("term")
+        self.bounds = written(PO.bounds(heads, ["segment", "slot"], self._gain()), "index-bounds")
+
+    def _gain(self):
+        mean_length = self.at.mean_length
+        return lambda tf, length: impact(tf, length, mean_length)
 
     def _scored(self, chosen: DataFrame) -> DataFrame:
-        """query_id, doc_id, score of all hits in the chosen (query_id, segment, slot)."""
-        wanted = small(chosen.join(self.asked, "query_id").select("query_id", "segment", "slot", "term", "times", "idf"))
-        hit = self.table.filter("term is not null").select("segment", "slot", "term", "postings").join(wanted, ["segment", "slot", "term"])
-        rows = hit.select("query_id", "times", "idf", F.explode("postings").alias("p"))
-        part = F.col("times") * F.col("idf") * impact(F.col("p.tf"), F.col("p.len"), self.at.mean_length)
-        return rows.groupBy("query_id", F.col("p.id").alias("doc_id")).agg(F.round(F.sum(part), self.digits).alias("score"))
+        """query_id, doc_id, score of the k best hits in each of the chosen (query_id, segment, slot)."""
+        who = self.asks.select("chunk", F.explode("asks.query_id").alias("query_id")).distinct()
+        only = chosen.select("query_id", "segment", "slot").join(small(who), "query_id")
+        rows = self.table.filter("term is not null").select("segment", "slot", "term", "postings").join(small(only.select("segment", "slot").distinct()), ["segment", "slot"], "left_semi")
+        return PO.best(rows.join(self.asks, "term").drop("term"), ["segment", "slot"], self._gain(), self.k, self.digits, only).select("query_id", "doc_id", "score")
 
     def topk(self) -> DataFrame:
         """query_id, rank, doc_id, score; always min(k, N) rows a query: documents without a shared token score 0, by doc_id."""
@@ -256,7 +231,7 @@ class Search:
         best = top(first.drop("rank").unionByName(self._scored(rest)), self.k, order, ["query_id"])
         self.read = sum(t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in (seeds, rest))
         self.postings = self.bounds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        every = self._scored(self.bounds.select("query_id", "segment", "slot"))
+        every = self.table.filter("term is not null").select("term", F.explode("postings.id").alias("doc_id")).join(self.asked, "term").select("query_id", "doc_id")
         return filled(best, every, documents(self.spark, self.at), self.queries, self.k)
 
 

@@ -81,7 +81,14 @@ def _write(table: DataFrame, path: str) -> str:
     """A segment of these blocks; those without a term lie apart."""
     name = uuid.uuid4().hex
     bucket = F.when(F.col("term").isNull(), -1).otherwise(0).alias("bucket")
-    table.select(bucket, "term", "slot", "n", "max_tf", "min_len", "postings").write.partitionBy("bucket").parquet(f"{path}/segments/segment={name}")
+    spark, key = table.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    # both files of a task are open at once (from as many on as set, Spark sorts), so that blocks aren't sorted to be written
+    spark.conf.set(key, 3)
+    try:
+        table.select(bucket, "term", "slot", "n", "max_tf", "min_len", "postings").write.partitionBy("bucket").parquet(f"{path}/segments/segment={name}")
+    finally:
+        spark.conf.set(key, before)
     return name
 
 

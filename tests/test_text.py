@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,3 +119,12 @@ def test_stats():
     assert S.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
     assert S.ks_two_sided(0, 5, 5) == 1.0 and 0 < S.ks_two_sided(0.5, 50, 50) < 1e-4
     assert random.Random(0) and S.wilcoxon_two_sided(0, 0, 0, 0) == 1.0
+
+
+def test_batches_are_worked_on_in_parts(monkeypatch):
+    monkeypatch.setattr(CH, "PART_BYTES", 1000)
+    texts = pa.array([None, "", *["w " * 200] * 20, "x" * 5000, "y"])
+    parts = list(CH.in_parts((texts,), lambda t: [t], pa.list_(pa.string())))
+    assert [x for p in parts for x in p.to_pylist()] == [[t] for t in texts.to_pylist()]
+    assert len(parts) > 10 and all(len(p) <= 4 for p in parts)
+    assert list(CH.in_parts((texts.slice(0, 0),), lambda t: [t], pa.list_(pa.string()))) == []

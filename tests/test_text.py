@@ -121,6 +121,28 @@ def test_stats():
     assert random.Random(0) and S.wilcoxon_two_sided(0, 0, 0, 0) == 1.0
 
 
+def test_headers_are_looked_for_at_names_only(monkeypatch):
+    body = "a long text, of plain words. " * 2000
+    text = body + "Opinion of CHIEF JUSTICE ROBERTS " + body + "Kagan, J., with whom JUSTICE ALITO joins, dissenting " + body + "Chief  Juſtİce Thomas, concurring in the judgment. Statement of Alito, J. "
+    forms = CH._FORMS
+    want = [(rank, m.start(), m.end()) for rank, (form, _) in enumerate(forms) for m in form.finditer(text)]
+    tried = []
+
+    class Form:
+        def __init__(self, form):
+            self.form, self.pattern = form, form.pattern
+
+        def match(self, text, at):
+            tried.append(at)
+            return self.form.match(text, at)
+
+    monkeypatch.setattr(CH, "_FORMS", [(Form(form), kind) for form, kind in forms])
+    assert [(h.rank, h.at, h.end) for h in CH.headers(text)] == want and len(want) == 5
+    assert len(tried) < 60
+    tried.clear()
+    assert CH.headers(body) == [] and not tried
+
+
 def test_batches_are_worked_on_in_parts(monkeypatch):
     monkeypatch.setattr(CH, "PART_BYTES", 1000)
     texts = pa.array([None, "", *["w " * 200] * 20, "x" * 5000, "y"])

@@ -29,6 +29,18 @@ def normalize_truth(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return case, voted.groupBy("docket", "justice").agg(F.max_by("vote", "seq").alias("vote"))
 
 
+def truth_by_vote(rows: DataFrame) -> DataFrame:
+    """docket, term, case_name, winner, justice, vote: what `normalize_truth` gives, votes with their case, by one shuffle of the rows."""
+    first = lambda c: F.first(c).over(Window.partitionBy("docket").orderBy("seq"))
+    cased = rows.filter("docket is not null").select(
+        "docket", "justice", "vote_description", "actual_vote", "seq", first(F.coalesce(F.col("term"), F.lit(0))).alias("term"), first(F.coalesce(F.col("case_name"), F.lit(""))).alias("case_name"), first(X.winner_of(F.col("winning_party"))).alias("winner"),
+    )
+    vote = F.coalesce(F.nullif(F.trim("actual_vote"), F.lit("")), X.vote_of(F.col("vote_description"), F.col("winner")))
+    voted = cased.withColumn("vote", vote).filter("vote is not null")
+    last = F.row_number().over(Window.partitionBy("docket", "justice").orderBy(F.desc("seq")))
+    return voted.withColumn("__n", last).filter("__n = 1").select("docket", "term", "case_name", "winner", "justice", "vote")
+
+
 def docket_terms(rows: DataFrame) -> DataFrame:
     """docket -> term, the last row wins."""
     return rows.groupBy("docket").agg(F.max_by("term", "seq").alias("term"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from brieflake.functions import patterns as P
 from brieflake.functions import text as X
 from brieflake.operators.layout import pages_in_order
+from brieflake.sources.scratch import written
 
 VOTE = T.StructType().add("vote", "string").add("confidence", "double").add("reasoning", "string").add("is_final", "boolean")
 PREDICTION = (
@@ -33,31 +35,55 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 TRUTH_WIDTH = 64
 
 
+def _truth_width(spark: SparkSession, folder: str) -> int:
+    """Cells of the widest header, or more: columns that no row has are dear to read. Told from the commas of each file's first line, unless a
+    header may go on after it."""
+    text = spark.read.option("pathGlobFilter", "*.csv").text(folder)
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).filter((F.col("_metadata.file_block_start") == 0) & (F.col("value") != ""))
+    first = written(lines.groupBy("file").agg(F.min("line").alias("line")), "truth-lines")
+    count = lambda x: F.length("value") - F.length(F.replace(F.col("value"), F.lit(x), F.lit("")))
+    open_ended = (count('"') % 2 == 1) | F.col("value").contains("\\")
+    width = lines.join(F.broadcast(first), ["file", "line"]).agg(F.max(F.when(open_ended, TRUTH_WIDTH).otherwise(count(",") + 1))).first()[0]
+    return min(width or 1, TRUTH_WIDTH)
+
+
 def read_truth(spark: SparkSession, folder: str) -> DataFrame:
     """All CSV files of a folder, in order of file name and place (`seq`); columns that a file lacks are null.
 
-    One scan for any number of files, whatever their headers: cells are read by place, and each file's first row says
-    which is which (a row a file, so a small side). A file is one task, as a quoted cell may hold line breaks.
+    Files may have any headers: cells are read by place, and each file's first row says which is which (a row a file, so the
+    driver holds no more than its own list of files). Rows are then read once, and of them only the cells that some
+    header names. A file is one task, as a quoted cell may hold line breaks.
     """
     wanted = {"Docket": "docket", "Term": "term", "CaseName": "case_name", "WinningParty": "winning_party", "Justice": "justice", "VoteDescription": "vote_description", "ActualVote": "actual_vote"}
-    cells = [f"c{i}" for i in range(TRUTH_WIDTH)]
+    cells = [f"c{i}" for i in range(_truth_width(spark, folder))]
     read = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("multiLine", True).option("encoding", "UTF-8").option("pathGlobFilter", "*.csv").csv(folder)
     # within a task rows are numbered in order, so a file's smallest number is its header's
-    rows = read.select(F.array(*cells).alias("cells"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    heads = rows.groupBy("file").agg(F.min("line").alias("head"), F.min_by("cells", "line").alias("names"))
-    heads = heads.select("file", "head", *[F.array_position("names", k).cast("int").alias(f"at_{v}") for k, v in wanted.items()])
-    body = rows.join(heads, "file").filter("line > head")
-    cell = lambda v: F.get("cells", F.nullif(F.col(f"at_{v}"), F.lit(0)) - 1).alias(v)
-    got = body.select(*[cell(v) for v in wanted.values()], F.struct("file", "line").alias("seq"))
+    place = [F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")]
+    first = written(read.select(*place).groupBy("file").agg(F.min("line").alias("head")), "truth-first")
+    # only rows that hold one of the names can say anything as a header, so that few are joined
+    named = read.select(*place, F.array(*cells).alias("names")).filter(F.arrays_overlap("names", F.array(*[F.lit(k) for k in wanted])))
+    named = named.join(F.broadcast(first), "file").filter("line = head").select("file", *[F.array_position("names", k).cast("int").alias(f"at_{v}") for k, v in wanted.items()])
+    files = first.join(named, "file", "left").orderBy("file").collect()
+    fields = [("number", pa.int64()), ("file", pa.string()), ("head", pa.int64()), *[(f"at_{v}", pa.int32()) for v in wanted.values()]]
+    heads = spark.createDataFrame(pa.table([pa.array(column, type=kind) for column, (_, kind) in zip(zip(*[(n, *r) for n, r in enumerate(files)]), fields)] or [pa.array([], type=kind) for _, kind in fields], names=[n for n, _ in fields]))
+
+    def cell(v: str) -> Column:
+        got = F.lit(None).cast("string")
+        for at in sorted({r[f"at_{v}"] for r in files if r[f"at_{v}"]}):
+            got = F.when(F.col(f"at_{v}") == at, F.col(cells[at - 1])).otherwise(got)
+        return got.alias(v)
+
+    body = read.select(*cells, *place).join(F.broadcast(heads), "file").filter("line > head")
+    # a task numbers its rows below 2 ** 33
+    got = body.select(*[cell(v) for v in wanted.values()], (F.shiftleft("number", 33) + F.col("line") - F.col("head")).alias("seq"))
     return got.withColumn("term", F.coalesce(F.expr("try_cast(term as int)"), F.lit(0)))
 
 
 def read_cases(spark: SparkSession, folder: str) -> DataFrame:
     """docket, term, case_name, winner, justice, vote: a row for each vote that can be told from the rows of ground truth."""
-    from brieflake.operators.evaluation import normalize_truth
+    from brieflake.operators.evaluation import truth_by_vote
 
-    case, votes = normalize_truth(read_truth(spark, folder))
-    return votes.join(case, "docket").select("docket", "term", "case_name", "winner", "justice", "vote")
+    return truth_by_vote(read_truth(spark, folder))
 
 
 def read_predictions(spark: SparkSession, folder: str, recursive: bool = True, lines: bool = False) -> DataFrame:

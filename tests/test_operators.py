@@ -384,3 +384,27 @@ def test_names_as_folders_and_variants(spark):
     r = spark.range(1).select(paths.folder_of_name(F.lit("A B C")).alias("a"), paths.name_of_folder(F.lit("A_B_C")).alias("b")).first()
     assert (r.a, r.b) == ("A_B_C", "A B C")
     assert len(PL.VARIANTS) == 9 and len({n for n, _ in PL.VARIANTS}) == 9
+
+
+def test_truth_of_any_headers(spark, tmp_path):
+    """Headers over lines, of other orders and widths; the rows of a docket are in several files; only cells that are there are read."""
+    import csv
+
+    names = ["Docket", "Term", "CaseName", "WinningParty", "Justice", "VoteDescription", "ActualVote"]
+    rows = [("1", "2001", "A, \nv. B", "Petitioner", "J1", "Majority", ""), ("1", "2001", "later", "other", "J2", "Dissent", ""), ("1", "x", "later", "", "J1", "", "Respondent"), ("2", "", "", "Appellant", "J1", " ", ""), (None, "1", "n", "", "J1", "Majority", "")]
+    for n, order in enumerate([names, names[::-1], [f"x{i}" for i in range(30)] + names]):
+        with open(tmp_path / f"f{n}.csv", "w", newline="") as f:
+            w = csv.writer(f)
+            w.writerow(order if n != 1 else ["a\nb", *order])
+            for r in rows[n : n + 3]:
+                cells = dict(zip(names, r))
+                w.writerow([*(["z"] if n == 1 else []), *[cells.get(c, "q") for c in order]])
+    (tmp_path / "none.csv").write_text("a,b\n1,2\n")
+    folder = str(tmp_path)
+    case, votes = E.normalize_truth(IO.read_truth(spark, folder))
+    want = sorted(map(tuple, votes.join(case, "docket").select("docket", "term", "case_name", "winner", "justice", "vote").collect()))
+    got = sorted(map(tuple, IO.read_cases(spark, folder).collect()))
+    assert got == want == [("1", 2001, "A, \nv. B", "Petitioner", "J1", "Respondent"), ("1", 2001, "A, \nv. B", "Petitioner", "J2", "Respondent")]
+    assert IO._truth_width(spark, folder) == 64
+    (tmp_path / "f1.csv").unlink()
+    assert IO._truth_width(spark, folder) == 37

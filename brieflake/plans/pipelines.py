@@ -17,6 +17,7 @@ from brieflake.operators import filters as FL
 from brieflake.operators import retrieval as R
 from brieflake.operators import votes as VT
 from brieflake.providers import Provider, hash_answers, hash_votes, parse_vote
+from brieflake.sources.scratch import written
 
 
 NO_OPINIONS = "No prior opinions found."
@@ -114,14 +115,21 @@ def syllabus_context(chunks: DataFrame, cases: DataFrame, config: Config) -> Dat
     document type and search, one of each text, the best by the ranking text, numbered."""
     by = F.col("docket")
     form = lambda text: F.replace(F.lit(text), F.lit("{docket}"), by)
-    asked = cases.select("docket", form(P.SYLLABUS_RANKED_BY).alias("ranked_by"), F.posexplode(F.array(*[form(q) for q in P.SYLLABUS_QUERIES])).alias("query_no", "query"))
-    scored = chunks.join(asked, "docket").withColumn("type", F.coalesce("document_type", F.lit("Unknown"))).withColumn("score", F.round(R.overlap_score(F.col("query"), F.col("content")), 9))
-    place = [F.col("source"), F.col("page"), F.xxhash64("content")]
-    hits = R.top(scored, config.hits_per_type, [F.desc("score"), *place], ["docket", "query_no", "type"])
-    first = Window.partitionBy("docket", F.sha2("content", 256)).orderBy("query_no", "type", "rank")
+    # the words of each question, the ranking text first; a chunk's words are cut once and met with all of them
+    asked = cases.select("docket", F.array(*[R.words(form(q)) for q in (P.SYLLABUS_RANKED_BY, *P.SYLLABUS_QUERIES)]).alias("asked")).withColumn("any", F.array_distinct(F.flatten("asked")))
+    place, same = ["source", "page", "mark"], F.sha2("content", 256).alias("digest")
+    met = F.array(F.array_intersect("any", R.words(F.col("content"))))  # an array of one, so that it is made once
+    scores = F.transform(met, lambda m: F.transform("asked", lambda q: F.when(F.size(q) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(q, m)) / F.size(q), 9))))[0]
+    kind = F.coalesce("document_type", F.lit("Unknown")).alias("type")
+    # rows are ranked without their texts; those of the hits are read again
+    rows = written(chunks.join(asked, "docket").select("docket", kind, "source", "page", F.xxhash64("content").alias("mark"), same, scores.alias("scores")), "syllabus-scores")
+    scored = rows.select("docket", "type", *place, "digest", F.col("scores")[0].alias("fit"), F.posexplode(F.slice("scores", 2, len(P.SYLLABUS_QUERIES))).alias("query_no", "score"))
+    hits = written(R.top(scored, config.hits_per_type, [F.desc("score"), *place], ["docket", "query_no", "type"]), "syllabus-hits")
+    first = Window.partitionBy("docket", "digest").orderBy("query_no", "type", "rank")
     once = hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "rank")
-    ranked = once.withColumn("fit", F.round(R.overlap_score(F.col("ranked_by"), F.col("content")), 9))
-    best = R.top(ranked, config.ranked_hits, [F.desc("fit"), F.col("query_no"), F.col("type"), F.desc("score"), *place], ["docket"])
+    best = written(R.top(once, config.ranked_hits, [F.desc("fit"), F.col("query_no"), F.col("type"), F.desc("score"), *place], ["docket"]), "syllabus-best")
+    texts = chunks.select("docket", "content", same).join(R.small(best.select("docket", "digest").distinct()), ["docket", "digest"])
+    best = best.join(texts.groupBy("docket", "digest").agg(F.first("content").alias("content")), ["docket", "digest"], "left")
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("type"), F.lit(" | "), F.coalesce("source", F.lit("?")), F.lit(", p. "), F.coalesce(F.col("page").cast("string"), F.lit("?")))
     text = R.context_text(best, ["docket"], line, F.concat("content", F.lit("\n\n")), empty="", joiner="")
     head = F.concat(F.lit("Passages on docket "), by, F.lit("\n\n"))

@@ -408,3 +408,16 @@ def test_truth_of_any_headers(spark, tmp_path):
     assert IO._truth_width(spark, folder) == 64
     (tmp_path / "f1.csv").unlink()
     assert IO._truth_width(spark, folder) == 37
+
+
+def test_syllabus_ranks_rows_without_texts(spark, monkeypatch):
+    from brieflake.plans import pipelines as PL
+
+    kept, write = [], PL.written
+    monkeypatch.setattr(PL, "written", lambda df, name: kept.append(df.columns) or write(df, name))
+    texts = ["the docket one question", "the docket one question", "petitioner and respondent", "Docket ONE holding", None, "none of it"]
+    chunks = spark.createDataFrame([("one", None if i % 2 else "brief", "s", i % 3, t) for i, t in enumerate(texts)] + [("two", "x", "s", 1, "a b")], "docket string, document_type string, source string, page int, content string")
+    cases = spark.createDataFrame([("one",), ("two",), ("three",)], "docket string")
+    got = dict(PL.syllabus_context(chunks, cases, PL.Config()).collect())
+    assert kept and not any("content" in columns for columns in kept)
+    assert [got["one"].count(t) for t in {t for t in texts if t}] == [1] * 4 and got["two"].endswith("[1] x | s, p. 1\na b\n\n") and got["three"] == "Passages on docket three\n\n"

@@ -67,7 +67,8 @@ def deliberate(votes: DataFrame, proposals: DataFrame, by: list[str] = CASE) ->
     j = votes.join(p, keys, "left").withColumn("locked", locks(F.col("confidence"), F.col("is_final"), F.col("round")))
     j = j.withColumn("changed", ~F.col("locked") & F.col("p_vote").isNotNull() & (F.col("p_vote") != F.col("vote")))
     j = j.withColumn("new_conf", F.when(F.col("changed"), decay(F.col("p_conf"))).otherwise(F.col("p_conf")))
-    w = Window.partitionBy(*by, "changed").orderBy(F.desc("new_conf"), "position")
+    # the changed ones first; by the case alone, as all that is asked of a case then takes one shuffle
+    w = Window.partitionBy(*by).orderBy(F.desc("changed"), F.desc("new_conf"), "position")
     j = j.withColumn("accepted", F.col("changed") & (F.row_number().over(w) <= P.MAX_FLIPS))
     takes = ~F.col("locked") & F.col("p_vote").isNotNull() & (~F.col("changed") | F.col("accepted"))
     return j.select(
@@ -84,15 +85,17 @@ def goes_on(round_no: Column, margin: Column, changes: Column) -> Column:
 
 def run_rounds(initial: DataFrame, propose, by: list[str] = CASE) -> DataFrame:
     """All rounds, round 1 included: propose(votes) gives each round's proposals. All cases step together; a case that the
-    router stops takes no further round. Each round is written to the shared folder (at most MAX_ROUNDS of them)."""
+    router stops takes no further round. Each round is written to the shared folder (at most MAX_ROUNDS of them), each row with what
+    the router says of its case, so that the next round reads it from there."""
+    case = Window.partitionBy(*by)
+    margin = F.abs(2 * F.count_if(F.col("vote") == "Petitioner").over(case) - F.count("*").over(case))
+    going = goes_on(F.max("round").over(case), margin, F.count_if("flipped").over(case))
     now = written(initial.withColumn("flipped", F.lit(False)), "rounds")
     out, active = now, now
     for _ in range(P.MAX_ROUNDS):
-        now = written(deliberate(active, propose(active), by), "rounds")
-        out = out.unionByName(now)
-        state = now.groupBy(*by).agg(F.max("round").alias("r"), F.abs(2 * F.count_if(F.col("vote") == "Petitioner") - F.count("*")).alias("margin"), F.count_if("flipped").alias("changes"))
-        going = state.filter(goes_on(F.col("r"), F.col("margin"), F.col("changes"))).select(*by)
-        active = now.join(going, by, "left_semi")
+        now = written(deliberate(active, propose(active), by).withColumn("__going", going), "rounds")
+        out = out.unionByName(now.drop("__going"))
+        active = now.filter("__going").dropna(subset=by).drop("__going")
         if active.isEmpty():
             break
     return out

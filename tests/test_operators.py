@@ -421,3 +421,18 @@ def test_syllabus_ranks_rows_without_texts(spark, monkeypatch):
     got = dict(PL.syllabus_context(chunks, cases, PL.Config()).collect())
     assert kept and not any("content" in columns for columns in kept)
     assert [got["one"].count(t) for t in {t for t in texts if t}] == [1] * 4 and got["two"].endswith("[1] x | s, p. 1\na b\n\n") and got["three"] == "Passages on docket three\n\n"
+
+
+def test_rounds_read_the_router_from_rows(spark):
+    start = spark.createDataFrame([(d, j, j, 1, "Petitioner" if j < d else "Respondent", 0.5, False) for d in range(8) for j in range(7)] + [(None, 1, 1, 1, "Petitioner", 0.5, False)], "docket int, justice int, position int, round int, vote string, confidence double, is_final boolean")
+    asked = []
+
+    def propose(votes):
+        asked.append((votes.filter("docket is not null").select("docket").distinct().count(), votes._jdf.queryExecution().optimizedPlan().toString()))
+        return votes.select("docket", "justice", "vote", "confidence")
+
+    got = VT.run_rounds(start, propose, ["docket"])
+    # nobody changes: after round 2 only close cases go on
+    last = {r.docket: r.last for r in got.groupBy("docket").agg(F.max("round").alias("last")).collect()}
+    assert last == {None: 2, **{d: 4 if abs(2 * d - 7) <= 3 else 3 for d in range(8)}}
+    assert len(asked) == 3 and not any("Join" in plan or "Aggregate" in plan for _, plan in asked)

@@ -1,7 +1,8 @@
 """Vectors of documents: a truncated singular value decomposition of the hashed tf-idf matrix, by random sketch and power passes.
 
-A row is a document, a column one of COLUMNS buckets of its words; entries are (1 + ln tf) * idf, rows of length one. The basis starts as random
-signs; each pass multiplies it by A'A, which one scan of the sparse rows does (a task sends one row for each column it has seen), and
+A row is a document, a column one of COLUMNS buckets of its words; entries are (1 + ln tf) * idf, rows of length one. Texts are read once, their
+rows are written. The basis starts as random signs; each pass multiplies it by A'A, which one scan of the sparse rows does (a task sends one
+row for each column it has seen; there are no more tasks than cores, so what is sent doesn't grow with the rows), and
 makes it orthonormal on the driver. In the end the eigenvectors of the small matrix (A B)'(A B) turn it into right singular
 vectors, and a text's vector is its row times these, so texts that come later, such as queries, are embedded alike.
 
@@ -63,16 +64,18 @@ def _times(row: np.ndarray, cols: np.ndarray, w: np.ndarray, basis: np.ndarray,
     return np.stack([np.bincount(row, w * basis[cols, j], minlength=n) for j in range(basis.shape[1])], axis=1)
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows in no more tasks than there are cores."""
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 class Latent:
     """A decomposition fitted on docs (doc_id, content): idf by column, `basis` (COLUMNS x rank right singular vectors), `values` (singular values, falling)."""
 
     def __init__(self, docs: DataFrame, rank: int = RANK, columns: int = COLUMNS, passes: int = PASSES, extra: int = EXTRA, seed: int = 7):
         self.columns, self.rank = columns, rank
-        rows = written(spread(docs).select(buckets(F.col("content"), columns).alias("cols")), "latent-rows")
-        counts = rows.select(F.explode(F.array_distinct("cols")).alias("c")).groupBy("c").count().collect()  # a number a column
-        self.n, df = rows.count(), np.zeros(columns)
-        for r in counts:
-            df[r.c] = r["count"]
+        self.rows = rows = written(spread(docs).select("doc_id", buckets(F.col("content"), columns).alias("cols")), "latent-rows")
+        self.n, df = self._counts(rows)
         self.idf = np.log((self.n + 1) / (df + 1)) + 1
         wide = min(rank + extra, max(1, min(columns, self.n)))
         basis = np.random.default_rng(seed).choice([-1.0, 1.0], size=(columns, wide))
@@ -83,6 +86,24 @@ class Latent:
         order = order[values[order] > 1e-12 * max(values.max(), 1e-300)]
         self.values, self.basis = np.sqrt(values[order]), basis @ turn[:, order]
 
+    def _counts(self, rows: DataFrame) -> tuple[int, np.ndarray]:
+        """The number of rows, and of rows with each column."""
+        columns = self.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(columns + 1, np.int64)
+            for batch in batches:
+                total[columns] += len(batch)
+                for _, _, _, cols, _ in _parts(batch):
+                    total[:columns] += np.bincount(cols, minlength=columns)
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["c", "n"])
+
+        total = np.zeros(columns + 1, np.int64)
+        for r in _few(rows.select("cols")).mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():  # a number a column
+            total[r.c] = r.n
+        return int(total[columns]), total[:columns].astype(np.float64)
+
     def _gram(self, rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         """A'A times the basis, in one scan."""
         shared = rows.sparkSession.sparkContext.broadcast((basis, self.idf))
@@ -101,16 +122,25 @@ class Latent:
             at = pa.array(np.arange(len(seen) + 1, dtype=np.int32) * wide)
             yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.ListArray.from_arrays(at, pa.array(total[:, seen].T.ravel()))], names=["c", "v"])
 
-        part = rows.mapInArrow(run, "c int, v array<double>").groupBy("c").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(wide)]).alias("v"))
+        part = _few(rows.select("cols")).mapInArrow(run, "c int, v array<double>").groupBy("c").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(wide)]).alias("v"))
         out = np.zeros(basis.shape)
-        for r in part.toLocalIterator():
-            out[r.c] = r.v
+        got = part.toArrow().combine_chunks()
+        if len(got):
+            out[got.column("c").to_numpy()] = got.column("v").combine_chunks().flatten().to_numpy().reshape(len(got), wide)
         shared.unpersist()
         return out
 
     def embed(self, texts: DataFrame, key: str = "doc_id") -> DataFrame:
         """key, embedding (array<double>, of length one, of zeros where no word has a weight) of texts (key, content)."""
-        shared = texts.sparkSession.sparkContext.broadcast((self.basis, self.idf))
+        rows = spread(texts).select(key, buckets(F.col("content"), self.columns).alias("cols"))
+        return self._embedded(rows, key)
+
+    def vectors(self) -> DataFrame:
+        """embed() of the documents that it was fitted on, from the rows that are written already."""
+        return self._embedded(self.rows, "doc_id")
+
+    def _embedded(self, rows: DataFrame, key: str) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast((self.basis, self.idf))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             basis, idf = shared.value
@@ -122,5 +152,4 @@ class Latent:
                     at = pa.array(np.arange(end - start + 1, dtype=np.int32) * basis.shape[1])
                     yield pa.RecordBatch.from_arrays([batch.column(key).slice(start, end - start), pa.ListArray.from_arrays(at, pa.array(y.ravel()))], names=[key, "embedding"])
 
-        kind = texts.schema[key].dataType.simpleString()
-        return spread(texts).select(key, buckets(F.col("content"), self.columns).alias("cols")).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
+        return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<double>")

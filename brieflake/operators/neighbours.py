@@ -167,5 +167,56 @@ class Neighbours:
         return top(best, self.k, order, ["query_id"]).select("query_id", "rank", *self.columns, "distance")
 
 
+def scanned(vectors: DataFrame, queries: DataFrame, k: int, digits: int) -> DataFrame:
+    """What `Neighbours` finds, for queries that fit in each task: every vector is compared with all of them in one scan, and the k best
+    of each query leave a task."""
+    columns = [c for c in vectors.columns if c != "embedding"]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema if f.name != "embedding")
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    whole = "embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL)"
+    rows = vectors.filter(whole)
+    one = rows.select("embedding").orderBy(F.md5(F.col("vec_id").cast("string")), "embedding").limit(1).collect()
+    if not one:
+        return vectors.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, {types}, distance double")
+    size = len(one[0].embedding)
+    asked = queries.select("query_id", F.col("q").alias("embedding")).filter(f"{whole} AND size(embedding) = {size}").toArrow().combine_chunks()
+    q = _matrix(asked.column("embedding").combine_chunks(), size) if len(asked) else np.zeros((0, size))
+    names = asked.column("query_id").combine_chunks() if len(asked) else asked.column("query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.full(len(q), np.inf)  # the k-th distance of each query up to here
+        best = None
+        for batch in batches:
+            if not len(batch) or not len(q):
+                continue
+            x = _matrix(batch.column("embedding"), size)
+            ok = ~np.isnan(x).any(axis=1)
+            rough = (x * x).sum(axis=1)[:, None] - 2 * (x @ q.T) + (q * q).sum(axis=1)
+            # what rounding may hide stays in
+            slack = 1e-9 * (1 + (x * x).sum(axis=1).max(initial=0, where=ok) + (q * q).sum(axis=1).max()) + 10.0**-digits
+            if len(x) > k:
+                most = np.minimum(most, np.partition(np.where(ok[:, None], rough, np.inf), k - 1, axis=0)[k - 1] + slack)
+            at, whose = np.nonzero(ok[:, None] & ~(rough > most + slack))
+            d = np.round(((x[at] - q[whose]) ** 2).sum(axis=1), digits)
+            new = pa.table([pa.array(whose), pa.array(d), *[batch.column(c).take(pa.array(at)) for c in columns]], names=["__whose", "__d", *columns])
+            best = (new if best is None else pa.concat_tables([best, new])).combine_chunks()
+            whose, d, ids = (best.column(c).to_numpy() for c in ("__whose", "__d", "vec_id"))
+            order = np.lexsort((ids, d, whose))
+            first = np.flatnonzero(np.diff(whose[order], prepend=-1))
+            place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            best = best.take(pa.array(order[place < k]))
+            full = order[place == k - 1]
+            most[whose[full]] = np.minimum(most[whose[full]], d[full])
+        if best is not None:
+            best = best.combine_chunks()
+            got = pa.table([names.take(best.column("__whose").combine_chunks()), *[best.column(c) for c in columns], best.column("__d")], names=["query_id", *columns, "distance"])
+            yield from got.to_batches()
+
+    near = rows.filter(f"size(embedding) = {size}").select(*columns, "embedding").mapInArrow(run, f"query_id {id_type}, {types}, distance double")
+    return top(near, k, [F.col("distance"), F.col("vec_id")], ["query_id"]).select("query_id", "rank", *columns, "distance")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
-    return Neighbours(vectors, queries, k, digits).topk()
+    """Up to PIVOTS queries are compared with every vector: to deal a vector to its cell takes as many distances."""
+    asked = written(queries.select("query_id", "q"), "near-asked")
+    return scanned(vectors, asked, k, digits) if asked.count() <= PIVOTS else Neighbours(vectors, asked, k, digits).topk()

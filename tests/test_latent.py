@@ -46,3 +46,22 @@ def test_none_and_one(spark):
     assert len(none.values) == 0
     one = L.Latent(spark.createDataFrame([(1, "a b")], "doc_id long, content string"), rank=3, columns=16)
     assert len(one.values) == 1 and abs(one.values[0] - 1) < 1e-9
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """The fitted documents' vectors come from the written rows, no more tasks send sums than there are cores, and few queries take one scan."""
+    from brieflake.operators import neighbours as N
+
+    df = spark.createDataFrame(texts(), "doc_id long, content string").repartition(40)
+    model = L.Latent(df, rank=6, columns=256)
+    want = {r.doc_id: r.embedding for r in model.embed(df).collect()}
+    monkeypatch.setattr(L, "buckets", None)
+    vectors = model.vectors()
+    got = {r.doc_id: r.embedding for r in vectors.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+    assert L._few(df).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    table = vectors.withColumnRenamed("doc_id", "vec_id").withColumn("tag", F.lit("t")).repartition(7)
+    asked = vectors.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    far = N.Neighbours(table, asked, 5).topk().orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(N, "Neighbours", None)
+    assert N.nearest(table, asked, 5).orderBy("query_id", "rank").collect() == far and len(far) == 5 * asked.count()

@@ -8,6 +8,7 @@ import pytest
 
 from brieflake.operators import index as IX
 from brieflake.operators import neighbours as N
+from brieflake.operators import postings as PO
 from brieflake.operators import retrieval as R
 
 
@@ -119,3 +120,25 @@ def test_neighbours_of_few_and_none(spark):
     q = spark.createDataFrame([(7, [0.0, 1.0])], "query_id long, q array<double>")
     assert [(r.vec_id, r.rank, r.distance) for r in N.nearest(df, q, 5).orderBy("rank").collect()] == [(1, 1, 0.0), (2, 2, 0.0)]
     assert N.nearest(df.filter("false"), q, 5).count() == 0 and N.nearest(df, q.filter("false"), 5).count() == 0
+
+
+def stored(spark, path):
+    return IX.pages(spark, IX.state(spark, path))
+
+
+def test_documents_are_replaced_page_by_page(spark, tmp_path, corpus, monkeypatch):
+    """Rows are pages, not blocks; what is replaced leaves them where they are read: nothing of a segment is shuffled."""
+    monkeypatch.setattr(IX, "BLOCK", 64)
+    docs, queries = corpus
+    path, plans = str(tmp_path / "index"), []
+    IX.upsert(frame(spark, {i: f"draft {t}" for i, t in docs.items()}), path)
+    write = IX._write
+    monkeypatch.setattr(IX, "_write", lambda table, at: plans.append(table._jdf.queryExecution().executedPlan().toString()) or write(table, at))
+    IX.upsert(frame(spark, {i: t for i, t in docs.items() if i % 2}), path)
+    monkeypatch.setattr(IX, "_write", write)
+    assert len(plans) == 2 and "MapInArrow" in plans[0] and not any(x in plans[0] for x in ("hashpartitioning", "rangepartitioning", "SortMergeJoin"))
+    slots = sum(n for _, n in IX.state(spark, path).segments)
+    rows = stored(spark, path).count()
+    assert rows <= slots * (PO.PAGES + 1) < IX.headers(stored(spark, path)).count()
+    want = Counter(w for i, t in docs.items() for w in set((t or "").split()) | (set() if i % 2 else {"draft", "None"} if t is None else {"draft"}))
+    assert {r.term: r.df for r in IX.vocabulary(spark, path).collect()} == want

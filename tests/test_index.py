@@ -142,3 +142,18 @@ def test_documents_are_replaced_page_by_page(spark, tmp_path, corpus, monkeypatc
     assert rows <= slots * (PO.PAGES + 1) < IX.headers(stored(spark, path)).count()
     want = Counter(w for i, t in docs.items() for w in set((t or "").split()) | (set() if i % 2 else {"draft", "None"} if t is None else {"draft"}))
     assert {r.term: r.df for r in IX.vocabulary(spark, path).collect()} == want
+
+
+def test_statistics_are_counted_once_and_when_asked_for(spark, tmp_path, corpus, monkeypatch):
+    docs, _ = corpus
+    path, counted, count = str(tmp_path / "index"), [], IX.document_frequencies
+    monkeypatch.setattr(IX, "document_frequencies", lambda heads: counted.append(1) or count(heads))
+    some = dict(list(docs.items())[:60])
+    IX.upsert(frame(spark, {i: f"draft {t}" for i, t in some.items()}), path)
+    again = IX.upsert(frame(spark, some), path)
+    assert again.n == len(some) and not counted
+    rows = [IX.listing(spark, path).collect() for _ in range(2)]
+    assert len(counted) == 1 and rows[0] == rows[1]
+    df = Counter(w for t in some.values() for w in set((t or "").split()))
+    assert rows[0][0].vocabulary == len(df) and rows[0][0].total_length == sum(len((t or "").split()) for t in some.values())
+    assert abs(rows[0][0].mean_idf - np.mean([math.log(len(some) - c + 0.5) - math.log(c + 0.5) for c in df.values()])) < 1e-9

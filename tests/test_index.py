@@ -157,3 +157,26 @@ def test_statistics_are_counted_once_and_when_asked_for(spark, tmp_path, corpus,
     df = Counter(w for t in some.values() for w in set((t or "").split()))
     assert rows[0][0].vocabulary == len(df) and rows[0][0].total_length == sum(len((t or "").split()) for t in some.values())
     assert abs(rows[0][0].mean_idf - np.mean([math.log(len(some) - c + 0.5) - math.log(c + 0.5) for c in df.values()])) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_compact_merges_pages(spark, tmp_path, corpus, monkeypatch, kind):
+    """Slots become one page by page, not term by term, and no statistics are counted for it."""
+    monkeypatch.setattr(IX, "BLOCK", 64)
+    docs = dict(list(corpus[0].items())[:150]) | {2000: None, 2002: "x\ty\n z"}
+    path, plans, write = str(tmp_path / "index"), [], IX._write
+    every = frame(spark, docs).withColumn("doc_id", R.F.col("doc_id").cast(kind))
+    IX.upsert(every, path)
+    IX.upsert(every.filter("cast(doc_id as long) % 2 = 1"), path)
+    before = {(b.term, p.id): (p.tf, p.len) for b in IX.blocks(stored(spark, path)).collect() for p in b.postings}
+    monkeypatch.setattr(IX, "_write", lambda table, at: plans.append(table._jdf.queryExecution().executedPlan().toString()) or write(table, at))
+    assert len(IX.compact(spark, path).segments) == 1
+    assert IX.pages(spark, IX.state(spark, path)).select("slot", "page").distinct().count() == stored(spark, path).count()
+    assert len(plans) == 1 and "FlatMapGroupsInArrow" in plans[0] and "collect_list" not in plans[0]
+    assert not (tmp_path / "index" / "statistics").exists()
+    got = [(b.term, [p.id for p in b.postings]) for b in IX.blocks(stored(spark, path)).collect()]
+    assert all(ids == sorted(ids) for _, ids in got) and max(len(ids) for _, ids in got) > 16
+    assert {(b.term, p.id): (p.tf, p.len) for b in IX.blocks(stored(spark, path)).collect() for p in b.postings} == before
+    heads = {(h.slot, h.term): (h.n, h.max_tf, h.min_len) for h in IX.headers(stored(spark, path)).collect()}
+    assert heads == {(b.slot, b.term): (len(b.postings), max(p.tf for p in b.postings), min(p.len for p in b.postings)) for b in IX.blocks(stored(spark, path)).collect()}
+    assert {r.doc_id for r in IX.documents(spark, IX.state(spark, path)).collect()} == {i if kind == "long" else str(i) for i in docs}
